@@ -22,8 +22,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from docframe.session import checkpoint
@@ -83,15 +85,35 @@ def _utf8_pass(word: str, codec: str, alphabet: frozenset[str] | None) -> tuple[
     return _HIGH.sub(run, word), found
 
 
-def utf8_guess(word: str, codecs: tuple[str, ...], alphabet: frozenset[str] | None) -> tuple[str, str] | None:
-    """Best restoration of ``word`` as UTF-8 read through one of ``codecs``, up to three layers deep."""
-    first, text = None, word
+def utf8_guess(word: str, codecs: tuple[str, ...], alphabet: frozenset[str]) -> tuple[str, str] | None:
+    """(read as, restored) of a word as UTF-8 read through some of ``codecs``, up to three layers deep.
+
+    The layers in between may hold any character; what comes out must consist of known ones. Where no
+    chain restores the whole word, the sequences of one layer that stand for known characters are.
+    """
+
+    def known(text: str) -> bool:
+        return all(c in alphabet for c in text if c > "\x7f")
+
+    best = None
+    layer = [(0, word, None)]
     for _ in range(3):
-        best = max(((n, -i, c, t) for i, c in enumerate(codecs) for t, n in [_utf8_pass(text, c, alphabet)] if n), default=None)
-        if best is None:
+        found = {}
+        for done, text, first in layer:
+            for i, c in enumerate(codecs):
+                out, n = _utf8_pass(text, c, None)
+                if n and out not in found:
+                    found[out] = (done + n, -i, out, first or c)
+        if not found:
             break
-        first, text = first or best[2], best[3]
-    return (first, text) if first else None
+        for n, i, out, first in found.values():
+            if known(out) and (best is None or (n, i) > best[0]):
+                best = ((n, i), first, out)
+        layer = [(n, out, first) for n, _, out, first in sorted(found.values(), reverse=True)[:4]]
+    if best:
+        return best[1], best[2]
+    part = max(((n, -i, c, t) for i, c in enumerate(codecs) for t, n in [_utf8_pass(word, c, alphabet)] if n), default=None)
+    return (part[2], part[3]) if part else None
 
 
 def legacy_guesses(word: str) -> list[tuple[str, str, str]]:
@@ -138,26 +160,44 @@ def _lines(rec: DataFrame) -> DataFrame:
     return keep.select("source_table", "row_id", F.explode(lines).alias("line"))
 
 
-def _words(line: str = "line"):
-    """Array of (word, key) of the words of a line that hold a non-ASCII character."""
-    toks = F.split(F.col(line), r"[\x00-\x3F]+")
+_TOKENS = re.compile(r"[\x00-\x3f]+")
+_LETTERS = re.compile(r"[^A-Za-z]+")
+_WORDS = T.StructType([T.StructField(n, T.StringType()) for n in ("line_key", "word", "key")])
 
-    def skeleton(c):
-        return F.regexp_replace(c, "[^A-Za-z]+", "")
 
-    def at(t, i):
-        return F.coalesce(F.try_element_at(t, i), F.lit(""))
+@lru_cache(maxsize=200_000)
+def _skeleton(token: str) -> str:
+    return _LETTERS.sub("", token)
+
+
+def context_words(line: str) -> set[tuple[str, str | None]]:
+    """The distinct (word, context key) of the words of a line that hold a non-ASCII character."""
+    toks = _TOKENS.split(line)
+    out = set()
+    for i, t in enumerate(toks):
+        if t.isascii():
+            continue
+        before = _skeleton(toks[i - 1]) if i else ""
+        own, after = _skeleton(t), _skeleton(toks[i + 1]) if i + 1 < len(toks) else ""
+        out.add((t, f"{before}\1{own}\1{after}" if len(before) + len(own) + len(after) >= 3 else None))
+    return out
 
-    def one(t, i):
-        key = F.concat_ws("\u0001", skeleton(F.when(i > 1, at(t, F.greatest(i - 1, F.lit(1)))).otherwise("")), skeleton(at(t, i)), skeleton(at(t, i + 1)))
-        return F.struct(at(t, i).alias("word"), F.when(F.length(key) >= 5, key).alias("key"))
 
-    nums = F.sequence(F.lit(1), F.size(toks))
-    return F.transform(F.filter(nums, lambda i: at(toks, i).rlike(r"[^\x00-\x7F]")), lambda i: one(toks, i))
+def _line_words(lines: DataFrame) -> DataFrame:
+    """line_key (digest of the line), word, key of every distinct line. Arrow, as the JVM needs ten times as long."""
+    src = lines.select("line").distinct().select(F.md5("line").alias("line_key"), "line")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, words, contexts = [], [], []
+            for key, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for w, k in context_words(line):
+                    keys.append(key)
+                    words.append(w)
+                    contexts.append(k)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (keys, words, contexts)], names=_WORDS.names)
 
-def _occurrences(lines: DataFrame, *ids: str) -> DataFrame:
-    return lines.select(*ids, F.explode(_words()).alias("w")).select(*ids, "w.word", "w.key")
+    return src.mapInArrow(run, _WORDS)
 
 
 _GUESS = T.StructType([T.StructField(n, T.StringType()) for n in ("word", "kind", "read_as", "written_as", "restored")])
@@ -180,36 +220,47 @@ def _guess_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def learn(rec: DataFrame, min_votes: int = 1, min_legacy_votes: int = 3) -> dict[str, DataFrame]:
     """Learn the wrong decodings of a corpus.
 
-    Returns ``vocab`` (word, key, n), ``pairs`` (kind, read_as, written_as, votes, against, learned),
-    ``fixes`` (word, key or null, restored, read_as, written_as). ``vocab`` and the guesses are cut
-    through the checkpoint folder because several joins use them.
+    Returns ``line_words`` (line_key, word, key), ``vocab`` (word, key, n), ``pairs`` (kind, read_as, written_as, votes, against, learned),
+    ``fixes`` (word, key or null, restored, read_as, written_as). What several joins use
+    is cut through the checkpoint folder.
     """
-    vocab = checkpoint(_occurrences(_lines(rec).select("line").distinct()).groupBy("word", "key").agg(F.count("*").alias("n")))
+    line_words = checkpoint(_line_words(_lines(rec)))
+    vocab = checkpoint(line_words.groupBy("word", "key").agg(F.count("*").alias("n")))
     words = vocab.groupBy("word").agg(F.sum("n").alias("n"))
-    guesses = checkpoint(words.select("word").mapInPandas(_guess_all, _GUESS))
+    # guessing costs far more than the words' bytes suggest: keep AQE from merging its partitions
+    spread = int(rec.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    guesses = checkpoint(words.select("word").repartition(spread, "word").mapInPandas(_guess_all, _GUESS))
 
-    # twins: equal key and equal restored word; words without ASCII letters twin on the word alone
-    clean_key = vocab.filter("key is not null").select("key", F.col("word").alias("restored"), F.col("n").alias("n_clean"))
-    keyed = guesses.join(vocab.filter("key is not null").select("word", "key", "n"), "word").join(clean_key, ["key", "restored"])
-    clean_word = words.select(F.col("word").alias("restored"), F.col("n").alias("n_clean"))
-    worded = guesses.join(words, "word").join(clean_word, "restored").filter(F.length("restored") >= 3)
     seen = ["kind", "read_as", "written_as"]
-    aligned = keyed.select(*seen, "key", "word", "restored", "n", "n_clean").unionByName(worded.select(*seen, F.lit(None).cast("string").alias("key"), "word", "restored", "n", "n_clean"))
-    pairs = aligned.groupBy(*seen).agg(
-        F.count(F.when((F.col("kind") == "utf8") | (F.col("n_clean") > F.col("n")), 1)).alias("votes"),
-        F.count(F.when((F.col("kind") != "utf8") & (F.col("n_clean") < F.col("n")), 1)).alias("against"),
-    )
-    least = F.when(F.col("kind") == "utf8", F.lit(min_votes)).otherwise(F.lit(min_legacy_votes))
-    pairs = pairs.withColumn("learned", (F.col("votes") >= least) & (F.col("votes") > 2 * F.col("against")))
-    known = [r.asDict() for r in pairs.filter("learned").orderBy(F.desc("votes"), *seen).collect()]  # at most one row per pair of code pages
-    codecs = tuple(r["read_as"] for r in known if r["kind"] == "utf8")
-    ranks = {(r["read_as"], r["written_as"]): (i, r["votes"]) for i, r in enumerate(known) if r["kind"] == "legacy"}
 
-    # characters seen in words no UTF-8 hypothesis explains: what a restored text may consist of
+    def align(part: DataFrame, clean: DataFrame) -> DataFrame:
+        """Guesses joined with clean near-twins: equal key and equal restored word; or, for longer words, equal restored word."""
+        keys = vocab.join(clean, "word", "left_semi").filter("key is not null").select("key", F.col("word").alias("restored"), F.col("n").alias("n_clean"))
+        keyed = part.join(vocab.filter("key is not null").select("word", "key", "n"), "word").join(keys, ["key", "restored"])
+        alone = words.join(clean, "word", "left_semi").select(F.col("word").alias("restored"), F.col("n").alias("n_clean"))
+        worded = part.filter(F.length("restored") >= 3).join(words, "word").join(alone, "restored")
+        cols = [*seen, "key", "word", "restored", "n", "n_clean"]
+        return keyed.select(*cols).unionByName(worded.withColumn("key", F.lit(None).cast("string")).select(*cols))
+
+    def vote(aligned: DataFrame) -> DataFrame:
+        utf8 = F.col("kind") == "utf8"
+        out = aligned.groupBy(*seen).agg(
+            F.count(F.when(utf8 | (F.col("n_clean") > F.col("n")), 1)).alias("votes"),
+            F.count(F.when(~utf8 & (F.col("n_clean") < F.col("n")), 1)).alias("against"),
+        )
+        # UTF-8 and the East Asian encodings have a structure that does not come about by chance
+        least = F.when(utf8 | F.col("written_as").isin(*WRITTEN_WIDE), F.lit(min_votes)).otherwise(F.lit(min_legacy_votes))
+        return out.withColumn("learned", (F.col("votes") >= least) & (F.col("votes") > 2 * F.col("against")))
+
+    # UTF-8 first: a garbled word holds valid sequences, its twin none
     dirty = guesses.filter("kind = 'utf8'").select("word").distinct()
-    clean = words.join(dirty, "word", "left_anti").filter(~F.col("word").contains(LOST))
-    letters = clean.select(F.explode(F.array_distinct(F.split(F.regexp_replace("word", r"[\x00-\x7F]", ""), ""))).alias("c"), "n")
-    alphabet = frozenset(r["c"] for r in letters.groupBy("c").agg(F.count("*").alias("k")).select("c").collect() if r["c"])  # at most all of Unicode
+    clean = checkpoint(words.join(dirty, "word", "left_anti").filter(~F.col("word").contains(LOST)).select("word"))
+    pairs = vote(align(guesses.filter("kind = 'utf8'"), clean))
+    known = pairs.filter("learned").orderBy(F.desc("votes"), *seen).collect()  # at most one row per code page
+    codecs = tuple(r["read_as"] for r in known)
+    # characters of clean words: what a restored text may consist of
+    letters = clean.select(F.explode(F.array_distinct(F.split(F.regexp_replace("word", r"[\x00-\x7F]", ""), ""))).alias("c"))
+    alphabet = frozenset(r["c"] for r in letters.distinct().collect() if r["c"])  # at most all of Unicode
 
     schema = T.StructType([T.StructField(n, T.StringType()) for n in ("word", "restored", "read_as", "written_as")])
 
@@ -217,38 +268,50 @@ def learn(rec: DataFrame, min_votes: int = 1, min_legacy_votes: int = 3) -> dict
         for pdf in batches:
             rows = []
             for word in pdf["word"]:
-                if LOST in word:
-                    continue
-                if (hit := utf8_guess(word, codecs, alphabet)) and hit[1] != word:
+                if LOST not in word and (hit := utf8_guess(word, codecs, alphabet)) and hit[1] != word:
                     rows.append((word, hit[1], hit[0], "utf-8"))
-                    continue
-                wide = [(ranks[w, r], w, r, t) for w, r, t in legacy_guesses(word) if r in WRITTEN_WIDE and (w, r) in ranks]
-                wide = [x for x in wide if len(x[3]) >= 3 and all(c in alphabet for c in x[3] if c > "\x7f")]
-                if wide and len(_HIGH.findall(word)) and sum(c > "\x7f" for c in word) >= 6:
-                    _, w, r, t = min(wide)
-                    rows.append((word, t, w, r))
             yield pd.DataFrame(rows, columns=schema.names)
 
-    by_rule = words.select("word").mapInPandas(structural, schema).withColumn("key", F.lit(None).cast("string"))
-    spark = rec.sparkSession
-    rank = spark.createDataFrame([(w, r, v) for (w, r), (_, v) in ranks.items()] or [("", "", 0)], "read_as string, written_as string, votes long")
-    legacy = aligned.filter("kind = 'legacy'").join(F.broadcast(rank), ["read_as", "written_as"])  # one row per learned pair of code pages
+    null_key = F.lit(None).cast("string")
+    by_rule = checkpoint(dirty.mapInPandas(structural, schema)).withColumn("key", null_key)
+
+    # then other encodings, among the words that UTF-8 does not explain
+    rest = words.select("word").join(by_rule.select("word"), "word", "left_anti")
+    legacy = checkpoint(align(guesses.filter("kind = 'legacy'").join(rest, "word", "left_semi"), rest))
+    votes = vote(legacy)
+    pairs = pairs.unionByName(votes)
+    ranks = {(r["read_as"], r["written_as"]): (i, r["votes"]) for i, r in enumerate(votes.filter("learned").orderBy(F.desc("votes"), *seen).collect())}  # at most one row per pair of code pages
+    rank = rec.sparkSession.createDataFrame([(w, r, v) for (w, r), (_, v) in ranks.items()] or [("", "", 0)], "read_as string, written_as string, votes long")
     letters_left = F.length(F.regexp_replace("word", r"[^A-Za-z]", ""))
     sure = F.col("key").isNotNull() | (letters_left >= 2) | (F.length("word") >= 4) | ((F.length("word") == 3) & (letters_left == 0))
     by_twin = (
-        legacy.filter((F.col("n_clean") > F.col("n")) & sure)
+        legacy.join(F.broadcast(rank), ["read_as", "written_as"])  # one row per learned pair of code pages
+        .filter((F.col("n_clean") > F.col("n")) & sure)
         .groupBy("word", "key")
         .agg(F.max_by(F.struct("restored", "read_as", "written_as"), F.struct("votes", "n_clean", "restored")).alias("best"))
         .select("word", "best.restored", "best.read_as", "best.written_as", "key")
     )
+
+    def wide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """East Asian text without a twin: long runs that decode to known characters only."""
+        for pdf in batches:
+            rows = []
+            for word, w, r, text in zip(pdf["word"], pdf["read_as"], pdf["written_as"], pdf["restored"]):
+                if (w, r) in ranks and len(text) >= 3 and sum(c > "\x7f" for c in word) >= 6 and all(c in alphabet for c in text if c > "\x7f"):
+                    rows.append((ranks[w, r][0], word, text, w, r))
+            yield pd.DataFrame(rows, columns=["rank", *schema.names])
+
+    east = guesses.filter(F.col("written_as").isin(*WRITTEN_WIDE)).join(rest, "word", "left_semi").mapInPandas(wide, "rank int, word string, restored string, read_as string, written_as string")
+    east = east.groupBy("word").agg(F.min_by(F.struct("restored", "read_as", "written_as"), "rank").alias("b")).select("word", "b.*").withColumn("key", null_key)
+    east = east.join(by_twin.select("word"), "word", "left_anti")
     twins = vocab.filter("key is not null").withColumn("good", ~F.col("word").contains(LOST)).join(by_rule.select("word"), "word", "left_anti")
     best = twins.filter("good").groupBy("key").agg(F.max_by("word", F.struct("n", "word")).alias("restored"))
     pattern = F.concat(F.lit(r"^\Q"), F.regexp_replace("word", LOST + "+", r"\\E[^\\x00-\\x7F]{1,6}\\Q"), F.lit(r"\E$"))
     lost = vocab.filter(F.col("word").contains(LOST)).join(best, "key", "left")
     lost = lost.select("word", F.when(F.regexp_like("restored", pattern), F.col("restored")).alias("restored"), F.lit("utf-8").alias("read_as"), F.lit(None).cast("string").alias("written_as"), "key")
     cols = ["word", "key", "restored", "read_as", "written_as"]
-    fixes = checkpoint(by_rule.select(*cols).unionByName(by_twin.select(*cols)).unionByName(lost.select(*cols)))
-    return {"vocab": vocab, "pairs": pairs, "fixes": fixes}
+    fixes = checkpoint(by_rule.select(*cols).unionByName(by_twin.select(*cols)).unionByName(east.select(*cols)).unionByName(lost.select(*cols)))
+    return {"line_words": line_words, "vocab": vocab, "pairs": pairs, "fixes": fixes}
 
 
 def affected(rec: DataFrame, **options) -> DataFrame:
@@ -257,17 +320,20 @@ def affected(rec: DataFrame, **options) -> DataFrame:
     ``fixes`` is a map from garbled word to restored word; a word that cannot be recovered maps to
     itself.
     """
-    fixes = learn(rec, **options)["fixes"].select("word", "key", F.coalesce("restored", "word").alias("restored"))
-    occ = _occurrences(_lines(rec), "source_table", "row_id")
+    learned = learn(rec, **options)
+    fixes = learned["fixes"].select("word", "key", F.coalesce("restored", "word").alias("restored"))
     free = fixes.filter("key is null").groupBy("word").agg(F.max("restored").alias("by_word"))
     bound = fixes.filter("key is not null").groupBy("word", "key").agg(F.max("restored").alias("by_key"))
-    named = fixes.select("word").distinct()
-    hit = occ.join(named, "word", "left_semi").join(free, "word", "left").join(bound, ["word", "key"], "left")
+    occ = learned["line_words"].join(fixes.select("word").distinct(), "word", "left_semi")
+    hit = occ.join(free, "word", "left").join(bound, ["word", "key"], "left")
     lost = F.when(F.col("word").contains(LOST), F.col("word"))
-    hit = hit.select("source_table", "row_id", "word", F.coalesce("by_key", "by_word", lost).alias("restored")).filter("restored is not null")
-    hit = hit.distinct().groupBy("source_table", "row_id", "word").agg(F.max("restored").alias("restored"))
-    pairs = F.collect_list(F.struct((-F.length("word")).alias("o"), "word", "restored"))
-    return hit.groupBy("source_table", "row_id").agg(F.array_sort(pairs).alias("fixes"))
+    hit = hit.select("line_key", "word", F.coalesce("by_key", "by_word", lost).alias("restored")).filter("restored is not null")
+    garbled = hit.groupBy("line_key").agg(F.collect_set(F.struct("word", "restored")).alias("fixes"))
+    # one row per distinct garbled line, so a line that fills a third of the corpus is split by the skew join
+    rows = _lines(rec).select("source_table", "row_id", F.md5("line").alias("line_key")).distinct().join(garbled, "line_key")
+    words = F.array_distinct(F.flatten(F.collect_list("fixes")))
+    ordered = F.array_sort(F.transform(words, lambda x: F.struct((-F.length(x["word"])).alias("o"), x["word"].alias("word"), x["restored"].alias("restored"))))
+    return rows.groupBy("source_table", "row_id").agg(ordered.alias("fixes"))
 
 
 def restore(rec: DataFrame, **options) -> DataFrame:
