@@ -13,8 +13,8 @@ The operator learns the wrong decodings from the corpus itself:
 4. Transformations with enough votes are applied to all remaining words, also to those
    without a twin; replacement characters (U+FFFD) are restored from a twin where there is one.
 
-Nulls and empty texts are never affected. Repeated rows are each reported; they count once in
-the statistics. An empty table gives an empty result. Extra columns are ignored except for the
+Nulls and empty texts are never affected. Repeated rows are each reported, rows of one id once; a repeated
+line counts once in the statistics. An empty table gives an empty result. Extra columns are ignored except for the
 named ones. Ties between hypotheses go to the one with more votes, then by name.
 """
 
@@ -39,6 +39,8 @@ WRITTEN_SINGLE = ("cp1252", "cp1250", "cp1251", "cp1253", "iso8859-7", "cp1254",
 WRITTEN_WIDE = ("shift_jis", "gb18030", "big5", "euc_jp", "euc_kr")
 READ_FOR_LEGACY = ("cp1252", "latin-1", "cp1251", "mac-roman", "cp437", "cp850", "koi8-r", "cp866", "cp1250")
 
+#: Words whose letters may be used in restored text even where their bytes happen to form UTF-8.
+ONE_SCRIPT = r"^(?:\p{IsCyrillic}+|\p{IsGreek}+|[\p{IsHan}\p{IsHiragana}\p{IsKatakana}]+|\p{IsHangul}+|\p{IsArabic}+|\p{IsHebrew}+|\p{IsThai}+)$"
 LOST = "�"
 _UTF8 = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}")
 _HIGH = re.compile(r"[^\x00-\x7f]+")
@@ -217,6 +219,17 @@ def _guess_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=_GUESS.names)
 
 
+@F.pandas_udf(T.BooleanType())
+def _fills(word: pd.Series, twin: pd.Series) -> pd.Series:
+    """Is the twin the word with its replacement characters filled in?"""
+
+    def one(w: str, t: str | None) -> bool:
+        parts = re.split(f"{LOST}+", w)
+        return t is not None and re.fullmatch(r"[^\x00-\x7f]{1,6}".join(map(re.escape, parts)), t) is not None
+
+    return pd.Series([one(w, t) for w, t in zip(word, twin)], dtype="bool")
+
+
 def learn(rec: DataFrame, min_votes: int = 1, min_legacy_votes: int = 3) -> dict[str, DataFrame]:
     """Learn the wrong decodings of a corpus.
 
@@ -259,7 +272,9 @@ def learn(rec: DataFrame, min_votes: int = 1, min_legacy_votes: int = 3) -> dict
     known = pairs.filter("learned").orderBy(F.desc("votes"), *seen).collect()  # at most one row per code page
     codecs = tuple(r["read_as"] for r in known)
     # characters of clean words: what a restored text may consist of
-    letters = clean.select(F.explode(F.array_distinct(F.split(F.regexp_replace("word", r"[\x00-\x7F]", ""), ""))).alias("c"))
+    # (a word all in one script that is not Latin counts as such too, although its bytes may happen to look like UTF-8)
+    plain = words.filter(F.col("word").rlike(ONE_SCRIPT)).select("word")
+    letters = clean.union(plain).select(F.explode(F.array_distinct(F.split(F.regexp_replace("word", r"[\x00-\x7F]", ""), ""))).alias("c"))
     alphabet = frozenset(r["c"] for r in letters.distinct().collect() if r["c"])  # at most all of Unicode
 
     schema = T.StructType([T.StructField(n, T.StringType()) for n in ("word", "restored", "read_as", "written_as")])
@@ -306,9 +321,8 @@ def learn(rec: DataFrame, min_votes: int = 1, min_legacy_votes: int = 3) -> dict
     east = east.join(by_twin.select("word"), "word", "left_anti")
     twins = vocab.filter("key is not null").withColumn("good", ~F.col("word").contains(LOST)).join(by_rule.select("word"), "word", "left_anti")
     best = twins.filter("good").groupBy("key").agg(F.max_by("word", F.struct("n", "word")).alias("restored"))
-    pattern = F.concat(F.lit(r"^\Q"), F.regexp_replace("word", LOST + "+", r"\\E[^\\x00-\\x7F]{1,6}\\Q"), F.lit(r"\E$"))
     lost = vocab.filter(F.col("word").contains(LOST)).join(best, "key", "left")
-    lost = lost.select("word", F.when(F.regexp_like("restored", pattern), F.col("restored")).alias("restored"), F.lit("utf-8").alias("read_as"), F.lit(None).cast("string").alias("written_as"), "key")
+    lost = lost.select("word", F.when(_fills(F.col("word"), F.col("restored")), F.col("restored")).alias("restored"), F.lit("utf-8").alias("read_as"), null_key.alias("written_as"), "key")
     cols = ["word", "key", "restored", "read_as", "written_as"]
     fixes = checkpoint(by_rule.select(*cols).unionByName(by_twin.select(*cols)).unionByName(east.select(*cols)).unionByName(lost.select(*cols)))
     return {"line_words": line_words, "vocab": vocab, "pairs": pairs, "fixes": fixes}

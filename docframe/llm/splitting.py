@@ -45,7 +45,7 @@ def size_of(text: Column) -> Column:
 def limits(chunks: DataFrame, chunk_results: DataFrame) -> DataFrame:
     """``chunks`` with the effective ``_max`` and ``_overlap`` of their result."""
     res = chunk_results.filter("result_id is not null").groupBy("result_id").agg(F.max_by(F.struct("max_tokens", "overlap_tokens"), F.struct("run_at", "max_tokens", "overlap_tokens")).alias("_r"))
-    out = chunks.join(res, "result_id", "left")
+    out = chunks.select("chunk_id", "result_id", "text", "start_line", "end_line").join(res, "result_id", "left")
     most = F.when(F.col("_r.max_tokens") > 0, F.col("_r.max_tokens")).otherwise(DEFAULT_MAX)
     lap = F.greatest(F.coalesce("_r.overlap_tokens", F.lit(0)), F.lit(0))
     return out.withColumn("_max", most.cast("int")).withColumn("_overlap", F.when(lap >= most, F.floor(most / 4)).otherwise(lap).cast("int")).drop("_r")
