@@ -25,24 +25,31 @@ def part(text: Column, name: Column, position: Column, header: str = "", delimit
     return F.concat(cut, head, shown)
 
 
-def concat_by(df: DataFrame, group_col: str, name_col: str, text_col: str, header: str = "", delimiter: str = "", numbered: bool = False) -> DataFrame:
-    """One text per group, its documents in order of ``name_col``: group, text, files_processed, total_lines, total_bytes.
+def concat_lines(df: DataFrame, name_col: str, text_col: str, header: str = "", delimiter: str = "", numbered: bool = False, group_col: str | None = None) -> DataFrame:
+    """The lines of the concatenation, of all documents or of each group: (group), name, position, line.
 
-    Null texts are skipped as unreadable inputs are. The result is one value per group by definition, so a group must fit a row
-    (Spark's limit of 2 GB); use ``concat_lines`` for larger ones, which keeps one row per line.
+    ``name`` and ``position`` give the order within a group. Documents stay rows of their own, so a group of any size is never
+    gathered in one task; ``text`` joins small ones. Null texts are skipped as unreadable inputs are; equal names are
+    kept, in no defined order among themselves, each taking the delimiter unless it is the first name.
     """
-    src = df.filter(F.col(text_col).isNotNull()).select(F.col(group_col), F.col(name_col).alias("_n"), F.col(text_col).alias("_t"))
-    src = src.groupBy(group_col).agg(F.array_sort(F.collect_list(F.struct("_n", "_t"))).alias("_d"))
-    parts = F.flatten(F.transform("_d", lambda x, i: part(x["_t"], x["_n"].cast("string"), i, header, delimiter, numbered)))
-    src = src.select(group_col, F.size("_d").alias("files_processed"), parts.alias("_p"))
-    text = F.concat(F.array_join("_p", "\n"), F.when(F.size("_p") > 0, F.lit("\n")).otherwise(F.lit("")))
-    return src.select(group_col, text.alias("text"), "files_processed", F.size("_p").alias("total_lines"), F.octet_length(text).alias("total_bytes"))
-
-
-def concat_lines(df: DataFrame, name_col: str, text_col: str, header: str = "", delimiter: str = "", numbered: bool = False) -> DataFrame:
-    """The concatenation of all documents as rows (name, position, line), sorted by a range shuffle: any size."""
-    first = df.filter(F.col(text_col).isNotNull()).agg(F.min(name_col).alias("_first"))
-    src = df.filter(F.col(text_col).isNotNull()).withColumn("_k", F.lit(1)).join(first.withColumn("_k", F.lit(1)), "_k")
-    place = F.when(F.col(name_col) == F.col("_first"), 0).otherwise(1)
-    lines = part(F.col(text_col), F.col(name_col).cast("string"), place, header, delimiter, numbered)
-    return src.select(name_col, F.posexplode(lines).alias("position", "line")).orderBy(name_col, "position")
+    group = F.col(group_col) if group_col else F.lit(1)
+    src = df.filter(F.col(text_col).isNotNull()).select(group.alias("_g"), F.col(name_col), F.col(text_col).alias("_t"))
+    first = src.groupBy(F.col("_g").alias("_h")).agg(F.min(name_col).alias("_first"))
+    src = src.join(first, F.col("_g").eqNullSafe(F.col("_h")))
+    lines = part(F.col("_t"), F.col(name_col).cast("string"), F.when(F.col(name_col) == F.col("_first"), 0).otherwise(1), header, delimiter, numbered)
+    keys = [F.col("_g").alias(group_col)] if group_col else []
+    return src.select(*keys, name_col, F.posexplode(lines).alias("position", "line"))
+
+
+def totals(lines: DataFrame, name_col: str, group_col: str) -> DataFrame:
+    """Per group: files_processed, total_lines, total_bytes (a line end each). Documents without a line are not counted."""
+    return lines.groupBy(group_col).agg(F.count_distinct(name_col).alias("files_processed"), F.count("*").alias("total_lines"), F.sum(F.octet_length("line") + 1).alias("total_bytes"))
+
+
+def text(lines: DataFrame, name_col: str, group_col: str, max_bytes: int = 1 << 26) -> DataFrame:
+    """One text per group whose size is at most ``max_bytes``; larger groups are left as lines, which their null text says."""
+    sizes = totals(lines, name_col, group_col).select(F.col(group_col).alias("_h"), "total_bytes")
+    small = lines.join(sizes.filter(F.col("total_bytes") <= max_bytes), F.col(group_col).eqNullSafe(F.col("_h")))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(name_col, "position", "line"))), lambda x: x["line"]), "\n")
+    made = small.groupBy(group_col).agg(F.concat(body, F.lit("\n")).alias("text")).withColumnRenamed(group_col, "_g")
+    return sizes.join(made, F.col("_h").eqNullSafe(F.col("_g")), "left").select(F.col("_h").alias(group_col), "text", "total_bytes")

@@ -150,18 +150,27 @@ def chunk_summary(spark, d):
     return chunking.chunk_summary(chunk_plain(spark, d), "doc_id")
 
 
+def _types(spark, d):
+    return table(spark, d, "documents", "doc_id", "doc_type", "text")
+
+
 def concat_by_type(spark, d):
-    docs = table(spark, d, "documents", "doc_id", "doc_type", "text")
-    return concat.concat_by(docs, "doc_type", "doc_id", "text", header="=== %f (%n) ===", delimiter="---")
+    return concat.concat_lines(_types(spark, d), "doc_id", "text", header="=== %f (%n) ===", delimiter="---", group_col="doc_type")
+
+
+def concat_totals(spark, d):
+    return concat.totals(concat.concat_lines(_types(spark, d), "doc_id", "text", numbered=True, group_col="doc_type"), "doc_id", "doc_type")
 
 
-def concat_numbered(spark, d):
-    docs = table(spark, d, "documents", "doc_id", "doc_type", "text")
-    return concat.concat_by(docs, "doc_type", "doc_id", "text", numbered=True).select("doc_type", "text", "files_processed", "total_lines", "total_bytes")
+def concat_all(spark, d):
+    """All documents as one ordered output: sorted by a range shuffle, written part by part."""
+    return concat.concat_lines(_docs(spark, d), "doc_id", "text", header="# %b", delimiter="--").orderBy("doc_id", "position")
 
 
-def concat_lines(spark, d):
-    return concat.concat_lines(_docs(spark, d), "doc_id", "text", header="# %b", delimiter="--")
+def concat_text(spark, d):
+    """The chunks of each result joined into its text: small groups as one value each."""
+    chunks = table(spark, d, "chunks", "result_id", "chunk_id", "text")
+    return concat.text(concat.concat_lines(chunks, "chunk_id", "text", delimiter="--", group_col="result_id"), "chunk_id", "result_id")
 
 
 def _links(spark, d):
@@ -247,7 +256,7 @@ def icon_resolve(spark, d):
 def queries() -> dict:
     named = (
         search_literal_ci, search_context, search_regex_cs, search_capped, search_summary, read_lines, read_lines_to_end, line_stats, replace_lines, insert_before, insert_after, delete_lines, line_endings,
-        clean_all, clean_regex, clean_ascii, token_estimate, sentence_split, chunk_plain, chunk_overlap, chunk_sentence, chunk_summary, concat_by_type, concat_numbered, concat_lines, extract_links, extract_link_totals,
+        clean_all, clean_regex, clean_ascii, token_estimate, sentence_split, chunk_plain, chunk_overlap, chunk_sentence, chunk_summary, concat_by_type, concat_totals, concat_all, concat_text, extract_links, extract_link_totals,
         doc_metadata, supported_paths, csv_table, html_escaped, sheet_names, image_fit, svg_scrape, svg_names, svg_adjust, svg_jsx, svg_data_uri, icon_search, icon_collections, icon_resolve,
     )
     return {f.__name__: f for f in named}
@@ -320,12 +329,10 @@ _SENTENCE_UNITS = f"""{_lines(_SPLIT)}, s AS (SELECT doc_id, i AS line, {_SENTEN
       units AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line, p) AS i, line, u FROM s2)"""
 
 
-def _concat_sql(head: str, cut: str, line: str) -> str:
-    return f"""WITH l AS (SELECT doc_type, doc_id, {_SCAN} AS ls, row_number() OVER (PARTITION BY doc_type ORDER BY doc_id) AS pos FROM documents WHERE text IS NOT NULL),
-      p AS (SELECT doc_type, doc_id, list_concat(list_concat({cut}, {head}), list_transform(ls, lambda x, i: {line})) AS part FROM l),
-      g AS (SELECT doc_type, count(*)::INTEGER AS files_processed, flatten(list(part ORDER BY doc_id)) AS all_lines FROM p GROUP BY doc_type),
-      t AS (SELECT doc_type, files_processed, all_lines, CASE WHEN len(all_lines) > 0 THEN array_to_string(all_lines, {NL}) || {NL} ELSE '' END AS text FROM g)
-      SELECT doc_type, text, files_processed, len(all_lines)::INTEGER AS total_lines, strlen(text)::INTEGER AS total_bytes FROM t"""
+def _concat_sql(head: str, cut: str, line: str, group: str = "doc_type", name: str = "doc_id", source: str = "documents") -> str:
+    return f"""WITH l AS (SELECT {group}, {name}, {_SCAN} AS ls, min({name}) OVER (PARTITION BY {group}) AS first FROM {source} WHERE text IS NOT NULL),
+      p AS (SELECT {group}, {name}, list_concat(list_concat({cut}, {head}), list_transform(ls, lambda x, i: {line})) AS part FROM l),
+      r AS (SELECT {group}, {name}, unnest(range(0, len(part)))::INTEGER AS position, unnest(part) AS line FROM p)"""
 
 
 def _unique(pattern: str) -> str:
@@ -390,11 +397,10 @@ def oracle_sql() -> dict[str, str]:
         "chunk_overlap": f"{_chunk_sql(_LINE_UNITS, NL, 64, 40)} SELECT * FROM res",
         "chunk_sentence": f"{_chunk_sql(_SENTENCE_UNITS, repr(' '), 64, 0)} SELECT * FROM res",
         "chunk_summary": f"{chunk} SELECT doc_id, count(*)::INTEGER AS total_chunks, sum(tokens)::BIGINT AS total_tokens FROM res GROUP BY doc_id",
-        "concat_by_type": _concat_sql("['=== ' || doc_id::VARCHAR || ' (' || len(ls)::VARCHAR || ') ===']", "CASE WHEN pos > 1 THEN ['---'] ELSE []::VARCHAR[] END", "x"),
-        "concat_numbered": _concat_sql("[]::VARCHAR[]", "[]::VARCHAR[]", "CASE WHEN i < 1000 THEN lpad(i::VARCHAR, 4, ' ') ELSE i::VARCHAR END || ' | ' || x"),
-        "concat_lines": f"""WITH l AS (SELECT doc_id, {_SCAN} AS ls, (SELECT min(doc_id) FROM documents WHERE text IS NOT NULL) AS first FROM documents WHERE text IS NOT NULL),
-          p AS (SELECT doc_id, list_concat(CASE WHEN doc_id > first THEN ['--'] ELSE []::VARCHAR[] END, list_concat(['# ' || doc_id::VARCHAR], ls)) AS part FROM l)
-          SELECT doc_id, unnest(range(0, len(part)))::INTEGER AS position, unnest(part) AS line FROM p""",
+        "concat_by_type": _concat_sql("['=== ' || doc_id::VARCHAR || ' (' || len(ls)::VARCHAR || ') ===']", "CASE WHEN doc_id > first THEN ['---'] ELSE []::VARCHAR[] END", "x") + " SELECT doc_type, doc_id, position, line FROM r",
+        "concat_totals": _concat_sql("[]::VARCHAR[]", "[]::VARCHAR[]", "CASE WHEN i < 1000 THEN lpad(i::VARCHAR, 4, ' ') ELSE i::VARCHAR END || ' | ' || x") + " SELECT doc_type, count(DISTINCT doc_id) AS files_processed, count(*) AS total_lines, sum(strlen(line) + 1)::BIGINT AS total_bytes FROM r GROUP BY doc_type",
+        "concat_all": _concat_sql("['# ' || doc_id::VARCHAR]", "CASE WHEN doc_id > first THEN ['--'] ELSE []::VARCHAR[] END", "x", "1 AS g", "doc_id").replace("PARTITION BY 1 AS g", "").replace("SELECT 1 AS g, doc_id, list", "SELECT doc_id, list").replace("SELECT 1 AS g, doc_id, unnest", "SELECT doc_id, unnest") + " SELECT doc_id, position, line FROM r",
+        "concat_text": _concat_sql("[]::VARCHAR[]", "CASE WHEN chunk_id > first THEN ['--'] ELSE []::VARCHAR[] END", "x", "result_id", "chunk_id", "chunks") + f" SELECT result_id, string_agg(line, {NL} ORDER BY chunk_id, position) || {NL} AS text, sum(strlen(line) + 1)::BIGINT AS total_bytes FROM r GROUP BY result_id",
         "extract_links": f"{_LINKS} SELECT * FROM r",
         "extract_link_totals": f"{_LINKS} SELECT sum(len(urls))::BIGINT AS urls, sum(len(emails))::BIGINT AS emails, sum(len(dates))::BIGINT AS dates, (sum(len(urls)) + sum(len(emails)))::BIGINT AS total FROM r",
         "doc_metadata": f"SELECT doc_id, strlen(text)::INTEGER AS size_bytes, {_words('text')}::INTEGER AS words, strlen(text)::INTEGER AS characters, len({_SPLIT})::INTEGER AS lines FROM documents WHERE text IS NOT NULL",

@@ -120,10 +120,14 @@ def test_replacement():
 
 
 def test_concat(spark):
-    df = spark.createDataFrame([(1, "a/x.txt", "1\n2"), (1, "a/y.txt", "3\n"), (2, "z", None), (2, "zz", "q")], "g int, name string, text string")
-    got = {r["g"]: r for r in concat.concat_by(df, "g", "name", "text", header="[%b %n]", delimiter="--").collect()}
-    assert got[1]["text"] == "[x.txt 2]\n1\n2\n--\n[y.txt 1]\n3\n" and got[1]["total_lines"] == 6
-    assert got[2]["files_processed"] == 1 and got[2]["text"] == "[zz 1]\nq\n"
+    df = spark.createDataFrame([(1, "a/x.txt", "1\n2"), (1, "a/y.txt", "3\n"), (2, "z", None), (2, "zz", "q"), (None, "n", "s")], "g int, name string, text string")
+    lines = concat.concat_lines(df, "name", "text", header="[%b %n]", delimiter="--", group_col="g")
+    got = {r["g"]: r for r in concat.text(lines, "name", "g").collect()}
+    assert got[1]["text"] == "[x.txt 2]\n1\n2\n--\n[y.txt 1]\n3\n" and got[2]["text"] == "[zz 1]\nq\n" and got[None]["text"] == "[n 1]\ns\n"
+    assert {r["g"]: (r["files_processed"], r["total_lines"], r["total_bytes"]) for r in concat.totals(lines, "name", "g").collect()}[1] == (2, 6, 29)
+    assert {r["g"]: r["text"] for r in concat.text(lines, "name", "g", max_bytes=10).collect()}[1] is None
+    assert [r["line"] for r in concat.concat_lines(df, "name", "text", numbered=True).orderBy("name", "position").collect()] == ["   1 | 1", "   2 | 2", "   1 | 3", "   1 | s", "   1 | q"]
+    assert concat.concat_lines(df.limit(0), "name", "text").count() == 0
 
 
 def test_links(spark):
