@@ -80,22 +80,29 @@ def is_valid(value: Column, value_type: Column, nullable: Column) -> Column:
 
 
 def rules(table_schemas: DataFrame) -> DataFrame:
-    return table_schemas.select("schema_name", F.col("col_pos").cast("int").alias("col_pos"), "col_name", "value_type", "nullable")
+    """The rule table; a repeated rule counts once."""
+    own = table_schemas.select("schema_name", F.col("col_pos").cast("int").alias("col_pos"), "col_name", "value_type", "nullable")
+    return own.filter("schema_name is not null and col_pos is not null").dropDuplicates(["schema_name", "col_pos"])
 
 
 def failures(tables_results: DataFrame, table_schemas: DataFrame) -> DataFrame:
-    """Failed records: KEYS, table_index, reason, bad_columns (array of int, null unless ``value``)."""
-    recs = records(tables_results)
-    widths = rules(table_schemas).groupBy("schema_name").agg(F.count("*").cast("int").alias("width"))
-    judged = recs.join(widths, "schema_name", "left")
+    """Failed records: KEYS, table_index, reason, bad_columns (array of int, empty unless ``value``).
+
+    One pass: a record of the wrong shape becomes one marker, the others their cells; only what fails is shuffled.
+    """
+    spec = rules(table_schemas)
+    widths = spec.groupBy("schema_name").agg(F.count("*").cast("int").alias("width"))
+    judged = records(tables_results).join(widths, "schema_name", "left")
     shape = F.when(F.col("fields").isNull(), "quoting").when(F.size("fields") != F.col("width"), "columns")
-    shaped = judged.withColumn("reason", shape)
-    broken = shaped.filter("reason is not null").select(*KEYS, "table_index", "reason", F.lit(None).cast("array<int>").alias("bad_columns"))
-    cells = shaped.filter("reason is null").select(*KEYS, "table_index", "schema_name", F.posexplode("fields").alias("c", "value"))
-    cells = cells.select(*KEYS, "table_index", "schema_name", (F.col("c") + 1).alias("col_pos"), "value")
-    bad = cells.join(rules(table_schemas), ["schema_name", "col_pos"]).filter(~is_valid(F.col("value"), F.col("value_type"), F.col("nullable")))
-    bad = bad.groupBy(*KEYS, "table_index").agg(F.array_sort(F.collect_set("col_pos")).alias("bad_columns"))
-    return broken.distinct().unionByName(bad.select(*KEYS, "table_index", F.lit("value").alias("reason"), "bad_columns"))
+    judged = judged.select(*KEYS, "table_index", "schema_name", shape.alias("shape"), "fields")
+    cell = F.transform("fields", lambda v, i: F.struct((i + 1).alias("col_pos"), v.alias("value")))
+    marker = F.array(F.struct(F.lit(0).alias("col_pos"), F.lit(None).cast("string").alias("value")))
+    cells = judged.select(*KEYS, "table_index", "schema_name", "shape", F.explode(F.when(F.col("shape").isNotNull(), marker).otherwise(cell)).alias("c"))
+    cells = cells.select(*KEYS, "table_index", "schema_name", "shape", "c.col_pos", "c.value").join(spec, ["schema_name", "col_pos"], "left")
+    wrong = F.col("value_type").isNotNull() & ~is_valid(F.col("value"), F.col("value_type"), F.col("nullable"))
+    bad = cells.filter(F.col("shape").isNotNull() | wrong)
+    found = bad.groupBy(*KEYS, "table_index").agg(F.max("shape").alias("shape"), F.array_sort(F.collect_set(F.when(F.col("col_pos") > 0, F.col("col_pos")))).alias("bad_columns"))
+    return found.select(*KEYS, "table_index", F.coalesce("shape", F.lit("value")).alias("reason"), "bad_columns")
 
 
 def clean_records(tables_results: DataFrame, table_schemas: DataFrame) -> DataFrame:
