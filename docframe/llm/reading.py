@@ -40,30 +40,30 @@ BINS = 400
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]+")
 _BULLET = re.compile(r"(?:[-*•]|\d{1,3}[.)])\s+")
-_END = re.compile(r"[.!?。！？…;；:][\"'»”’)\]*_`]*$")
-_SYMBOL = re.compile(r"[{}<>=|\\\[\]@#$%^&~]|\w\(|;$|^\w+: *\d")
+_ENDS = frozenset(".!?。！？…;；:")
+_SYMBOL = re.compile(r"[{}<>=|\\\[\]@#$%^&~]|(?<=\w)\(|;$|^\w+: *\d")
 _FENCE = ("```", "~~~")
 
 
-def _line_is_prose(s: str, bullet: bool) -> bool:
-    words = s.count(" ") + 1
-    if _CJK.search(s):
-        return bool(_END.search(s))
-    if words < 4 or not (bullet or _END.search(s)):
-        return False
-    if len(_SYMBOL.findall(s)) * 12 > words:
-        return False
-    letters = sum(map(len, _WORD.findall(s[:400])))
-    return letters >= 0.7 * (len(s[:400]) - s.count(" ", 0, 400))
+def _prose_words(s: str, bullet: bool) -> list[str] | None:
+    """Words of a line of prose, None where it is none. One pass of the word pattern serves both."""
+    ended = s.rstrip("\"'»”’)]*_`")[-1:] in _ENDS
+    if not s.isascii() and _CJK.search(s):
+        return _WORD.findall(s) if ended else None
+    n = s.count(" ") + 1
+    if n < 4 or not (bullet or ended) or len(_SYMBOL.findall(s)) * 12 > n:
+        return None
+    found = _WORD.findall(s)
+    return found if sum(map(len, found)) >= 0.7 * (len(s) - n + 1) else None
 
 
-def prose(text: str) -> list[str]:
-    """Prose lines of the paragraphs that are prose for at least half of their characters.
+def prose(text: str) -> list[tuple[str, list[str]]]:
+    """(line, words) of the paragraphs that are prose for at least half of their characters.
 
     None where they make up less than a third of the text outside fences: sentences strewn in code.
     """
-    out: list[str] = []
-    good: list[str] = []
+    out: list[tuple[str, list[str]]] = []
+    good: list[tuple[str, list[str]]] = []
     prose_n = other_n = taken = total = 0
     fenced = False
 
@@ -90,9 +90,10 @@ def prose(text: str) -> list[str]:
         else:
             b = _BULLET.match(s)
             body = s[b.end() :] if b else s
-            if _line_is_prose(body, bool(b)):
+            found = _prose_words(body, bool(b))
+            if found is not None:
                 prose_n += len(body)
-                good.append(body)
+                good.append((body, found))
             else:
                 other_n += len(s)
     close()
@@ -103,18 +104,15 @@ def words(text: str | None) -> list[str]:
     """Lower-case words of the prose of a text."""
     if not text:
         return []
-    joined = "\n".join(prose(text)).lower()
-    found = _WORD.findall(joined)
-    if _CJK.search(joined):
-        flat: list[str] = []
+    flat: list[str] = []
+    for line, found in prose(text.lower()):
+        if line.isascii() or not _CJK.search(line):
+            flat += found
+            continue
         for w in found:
-            if _CJK.search(w):
-                for run in _CJK.findall(w):
-                    flat += [run[i : i + 2] for i in range(max(1, len(run) - 1))]
-            else:
-                flat.append(w)
-        return flat
-    return found
+            runs = _CJK.findall(w)
+            flat += [run[i : i + 2] for run in runs for i in range(max(1, len(run) - 1))] if runs else [w]
+    return flat
 
 
 def true_levels(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
