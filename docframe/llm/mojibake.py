@@ -242,7 +242,7 @@ def learn(rec: DataFrame, min_votes: int = 1, min_legacy_votes: int = 3) -> dict
     words = vocab.groupBy("word").agg(F.sum("n").alias("n"))
     # guessing costs far more than the words' bytes suggest: keep AQE from merging its partitions
     spread = int(rec.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    guesses = checkpoint(words.select("word").repartition(spread, "word").mapInPandas(_guess_all, _GUESS))
+    guesses = checkpoint(words.select("word").repartition(spread).mapInPandas(_guess_all, _GUESS))
 
     seen = ["kind", "read_as", "written_as"]
 
