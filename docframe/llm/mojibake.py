@@ -307,6 +307,10 @@ def learn(rec: DataFrame, min_votes: int = 1, min_legacy_votes: int = 3) -> dict
         .select("word", "best.restored", "best.read_as", "best.written_as", "key")
     )
 
+    # what holds in most contexts of a word holds in those without a twin as well
+    seen_in = by_twin.filter("key is not null").join(vocab, ["word", "key"]).groupBy("word").agg(F.sum("n").alias("k"), F.max_by(F.struct("restored", "read_as", "written_as"), F.struct("n", "restored")).alias("b"))
+    mostly = seen_in.join(words, "word").filter((F.length("word") >= 2) & (F.col("k") * 2 > F.col("n"))).select("word", "b.*").withColumn("key", null_key)
+
     def wide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """East Asian text without a twin: long runs that decode to known characters only."""
         for pdf in batches:
@@ -324,7 +328,7 @@ def learn(rec: DataFrame, min_votes: int = 1, min_legacy_votes: int = 3) -> dict
     lost = vocab.filter(F.col("word").contains(LOST)).join(best, "key", "left")
     lost = lost.select("word", F.when(_fills(F.col("word"), F.col("restored")), F.col("restored")).alias("restored"), F.lit("utf-8").alias("read_as"), null_key.alias("written_as"), "key")
     cols = ["word", "key", "restored", "read_as", "written_as"]
-    fixes = checkpoint(by_rule.select(*cols).unionByName(by_twin.select(*cols)).unionByName(east.select(*cols)).unionByName(lost.select(*cols)))
+    fixes = checkpoint(by_rule.select(*cols).unionByName(by_twin.select(*cols)).unionByName(mostly.select(*cols)).unionByName(east.select(*cols)).unionByName(lost.select(*cols)))
     return {"line_words": line_words, "vocab": vocab, "pairs": pairs, "fixes": fixes}
 
 
