@@ -347,8 +347,8 @@ def affected(rec: DataFrame, **options) -> DataFrame:
     lost = F.when(F.col("word").contains(LOST), F.col("word"))
     hit = hit.select("line_key", "word", F.coalesce("by_key", "by_word", lost).alias("restored")).filter("restored is not null")
     garbled = hit.groupBy("line_key").agg(F.collect_set(F.struct("word", "restored")).alias("fixes"))
-    # one row per distinct garbled line, so a line that fills a third of the corpus is split by the skew join
-    rows = _lines(rec).select("source_table", "row_id", F.md5("line").alias("line_key")).distinct().join(garbled, "line_key")
+    # one row per distinct garbled line: small enough, it is broadcast; else a line that fills a third of the corpus is split by the skew join
+    rows = _lines(rec).select("source_table", "row_id", F.md5("line").alias("line_key")).join(garbled, "line_key")
     words = F.array_distinct(F.flatten(F.collect_list("fixes")))
     ordered = F.array_sort(F.transform(words, lambda x: F.struct((-F.length(x["word"])).alias("o"), x["word"].alias("word"), x["restored"].alias("restored"))))
     return rows.groupBy("source_table", "row_id").agg(ordered.alias("fixes"))
