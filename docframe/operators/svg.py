@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 # What is looked for in markup, and attribute names JSX spells differently.
@@ -12,6 +14,16 @@ VIEW_BOX = r"""(?i)(?<![A-Za-z0-9_])viewBox=["']([^"']+)["']"""
 JSX_NAMES = (("class", "className"), ("stroke-width", "strokeWidth"), ("stroke-linecap", "strokeLinecap"), ("stroke-linejoin", "strokeLinejoin"), ("fill-rule", "fillRule"), ("clip-rule", "clipRule"), ("stroke-miterlimit", "strokeMiterlimit"), ("stop-color", "stopColor"), ("stop-opacity", "stopOpacity"))
 
 
+def load(source: str, fetch: Callable[[str], str] | None = None) -> str:
+    """Markup of a local file, or of an address through the fetcher passed in; there is none by default."""
+    if source.lower().startswith(("http://", "https://")):
+        if fetch is None:
+            raise ValueError("an address needs a fetcher")
+        return fetch(source)
+    with open(source, encoding="utf-8", errors="replace") as f:
+        return f.read()
+
+
 def scrape(df: DataFrame, id_col: str, html_col: str) -> DataFrame:
     """Inline SVG elements: id, index (from 1), svg_id, svg_class, view_box ("" where missing), svg. A nested svg ends the match at its own end."""
     found = df.filter(F.col(html_col).isNotNull()).select(id_col, F.posexplode(F.regexp_extract_all(F.col(html_col), F.lit(SVG), F.lit(1))).alias("_p", "svg"))

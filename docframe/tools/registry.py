@@ -259,19 +259,23 @@ def icon_search(query: str = "", collection: str = "", limit: int = 0) -> dict:
     return {"query": query, "total": len(got), "source": "catalogue", "icons": got}
 
 
-@tool("One icon as SVG, React component or data URI", "icon", icon="string: id, name or keyword", size="integer: width and height", color="string: colour", strokeWidth="string: stroke width", format="string: svg, jsx or datauri")
-def icon_get(icon: str, size: int = 0, color: str = "", strokeWidth: str = "", format: str = "svg") -> dict:
+@tool("One icon as SVG, React component or data URI", "icon", icon="string: id, name or keyword", size="integer: width and height", color="string: colour", strokeWidth="string: stroke width", format="string: svg, jsx or datauri", outputPath="string: file to save it in")
+def icon_get(icon: str, size: int = 0, color: str = "", strokeWidth: str = "", format: str = "svg", outputPath: str = "") -> dict:
     hit = icons.get(icons.catalogue(spark()), icon)
     if not hit:
         raise ValueError(f"no icon {icon!r}")
     col = svg.adjust(F.lit(hit[2]), size=size, stroke_width=strokeWidth, color=color)
     made = {"jsx": svg.to_jsx(col, F.lit(hit[1])), "react": svg.to_jsx(col, F.lit(hit[1])), "datauri": svg.data_uri(col), "data-uri": svg.data_uri(col)}.get(format.lower(), col)
-    return {"id": f"{hit[0]}:{hit[1]}", "collection": hit[0], "name": hit[1], "content": spark().range(1).select(made.alias("c")).first()["c"]}
+    content = spark().range(1).select(made.alias("c")).first()["c"]
+    if outputPath:
+        os.makedirs(os.path.dirname(outputPath) or ".", exist_ok=True)
+        files.write_atomic(outputPath, content.encode())
+    return {"id": f"{hit[0]}:{hit[1]}", "collection": hit[0], "name": hit[1], "content": content} | ({"saved_path": outputPath} if outputPath else {})
 
 
 @tool("Inline SVG elements of a markup file", "source", source="string: file", outputDir="string: folder to save them in")
 def icon_scrape(source: str, outputDir: str = "") -> dict:
-    df = spark().createDataFrame([(1, read(source).decode("utf-8", "replace"))], "id int, html string")
+    df = spark().createDataFrame([(1, svg.load(source))], "id int, html string")
     got = _rows(svg.named(svg.scrape(df, "id", "html"), "id").orderBy("index").drop("id"))
     if outputDir:
         os.makedirs(outputDir, exist_ok=True)

@@ -150,6 +150,8 @@ def test_tools(spark, folder):
     assert call("icon_search", query="find")["total"] == 1 and 'width="32"' in call("icon_get", icon="home", size=32)["content"]
     (folder / "p.html").write_text('<svg id="logo"><g/></svg><svg class="a b"></svg>')
     assert [s["file_name"] for s in call("icon_scrape", source=str(folder / "p.html"), outputDir=str(folder / "svg"))["svgs"]] == ["logo.svg", "a.svg"]
+    assert call("icon_get", icon="home", format="jsx", outputPath=str(folder / "new/home.jsx"))["saved_path"] and "HomeIcon" in (folder / "new/home.jsx").read_text()
+    assert svg.load("https://x.example", lambda u: "<svg></svg>") == "<svg></svg>" and registry.dispatch("icon_scrape", {"source": "https://x.example"})[1]
     for name, args in (("nothing", {}), ("read_lines", {}), ("read_lines", {"filePath": 3}), ("read_lines", {"filePath": "/no/such"}), ("text_tokens", "{bad")):
         assert registry.dispatch(name, args)[1]
 
