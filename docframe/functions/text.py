@@ -156,15 +156,21 @@ def delete_lines(text: Column, start: int, end: int = 0) -> Column:
     return replace_lines(text, start, end, "")
 
 
-def unique_matches(text: Column, pattern: str) -> Column:
-    """Distinct matches without the trailing marks, in byte order."""
-    found = F.regexp_extract_all(text, F.lit(f"({to_java(pattern)})"), F.lit(1))
+def unique_matches(text: Column, pattern: str, needs: str = "", java: str = "") -> Column:
+    """Distinct matches without the trailing marks, in byte order. ``needs`` is a literal every match holds: a cheap test before the pattern runs."""
+    found = F.regexp_extract_all(text, F.lit(f"({java or to_java(pattern)})"), F.lit(1))
+    if needs:
+        found = F.when(~text.contains(needs), F.array().cast("array<string>")).otherwise(found)
     cut = F.transform(found, lambda x: F.rtrim(x, F.lit(TRIMMED)))
     return F.array_sort(F.array_distinct(F.filter(cut, lambda x: x != "")))
 
 
+#: DATE begins and ends with a word character, so its boundaries need to look at one side only.
+_DATE_JAVA = f"(?d)(?<![A-Za-z0-9_]){to_java(DATE[2:-2])[4:]}(?![A-Za-z0-9_])"
+
+
 def links(text: Column) -> Column:
-    return F.struct(unique_matches(text, URL).alias("urls"), unique_matches(text, EMAIL).alias("emails"), unique_matches(text, DATE).alias("dates"))
+    return F.struct(unique_matches(text, URL, "http").alias("urls"), unique_matches(text, EMAIL, "@").alias("emails"), unique_matches(text, DATE, java=_DATE_JAVA).alias("dates"))
 
 
 def html_escape(text: Column) -> Column:
