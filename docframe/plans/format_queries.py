@@ -8,7 +8,7 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docframe.formats import docx, images, pdf, xlsx
+from docframe.formats import convert, docx, images, package, pdf, xlsx
 from docframe.sources import decode, files
 from docframe.session import table
 from docframe.tools import registry, server
@@ -114,6 +114,42 @@ def image_roundtrip(spark, d):
     return table(spark, d, "region", "r_regionkey").select("r_regionkey", F.explode(call("r_regionkey")).alias("x")).select("r_regionkey", "x.*")
 
 
+def image_info(spark, d):
+    """Header scan of drawn pictures, and of one that is none."""
+    draw = F.udf(lambda k: images.to_gif(images.from_png(images.snapshot([], "", 30 + k, 20))) if k % 2 else images.snapshot([], "", 30 + k, 20), "binary")
+    src = table(spark, d, "region", "r_regionkey").select(F.concat(F.col("r_regionkey").cast("string"), F.lit(".img")).alias("path"), draw("r_regionkey").alias("content"))
+    src = src.union(spark.createDataFrame([("none.img", b"text")], "path string, content binary"))
+    return decode.image_info(src).select("path", "format", "width", "height", "aspect_ratio", F.col("error").isNotNull().alias("failed"))
+
+
+def media_extract(spark, d):
+    """Pictures embedded in PDF and zip documents, by name and width."""
+
+    def rows(key):
+        png = images.snapshot([], "", 40 + key, 20)
+        return [(f"{key}.pdf", pdf.from_images([png, png])), (f"{key}.pptx", package.write({"ppt/media/a.png": png, "x/media/a.png": png, "ppt/slide.xml": "<a/>"}))]
+
+    call = F.udf(rows, "array<struct<path:string,content:binary>>")
+    docs = table(spark, d, "region", "r_regionkey").select(F.explode(call("r_regionkey")).alias("x")).select("x.*")
+    width = F.udf(lambda b: images.info(bytes(b))["width"], "int")
+    return decode.media(docs).select("path", "name", width("data").alias("width"))
+
+
+def convert_matrix(spark, d):
+    """Every conversion of the registry that needs no JVM, from a small document of its source format: the head of what comes out."""
+    md = b"# T\n\nbody"
+    png = images.snapshot([], "", 30, 20)
+    start = {"md": md, "docx": docx.from_markdown(md.decode()), "pdf": pdf.from_markdown(md.decode()), "csv": b"a,b\n1,2\n", "xlsx": xlsx.from_csv("a,b\n1,2\n"), "png": png, "gif": images.to_gif(images.from_png(png))}
+    rows = [(a, b, start[a]) for a, b in convert.PAIRS if a in start and b not in ("jpg", "jpeg")]
+
+    def head(a, b, data):
+        out = convert.convert(bytes(data), f"x.{a}", f"x.{b}")
+        return {b"PK": "zip", b"%P": "pdf", b"\x89P": "png", b"GI": "gif"}.get(out[:2], out.decode("utf-8", "replace").strip())
+
+    src = spark.createDataFrame(rows, "source string, target string, data binary")
+    return src.select("source", "target", F.udf(head, "string")("source", "target", "data").alias("result"))
+
+
 _FILES = ("a.js", "src/b.js", "src/c.css", "src/.hidden.js", "node_modules/d.js", "src/deep/e.js", "src/deep/deeper/f.js", ".git/g.js", "h.min.js")
 
 
@@ -146,7 +182,7 @@ def batch_run(spark, d):
 
 
 def queries() -> dict:
-    named = (sheet_roundtrip, sheet_info, sheet_edit, docx_text, docx_tables, docx_metadata, docx_markdown, pdf_pages, pdf_words, pdf_split_merge, image_roundtrip, file_scan, tool_schema, batch_run)
+    named = (sheet_roundtrip, sheet_info, sheet_edit, docx_text, docx_tables, docx_metadata, docx_markdown, pdf_pages, pdf_words, pdf_split_merge, image_roundtrip, image_info, media_extract, convert_matrix, file_scan, tool_schema, batch_run)
     return {f.__name__: f for f in named}
 
 
@@ -168,6 +204,11 @@ def oracle_sql() -> dict[str, str]:
         "pdf_words": "SELECT doc_id, len(regexp_extract_all(text, '[^ \\n]+'))::INTEGER AS words FROM documents WHERE regexp_full_match(text, '[\\x20-\\x7E\\n]+')",
         "pdf_split_merge": f"SELECT (row_number() OVER (ORDER BY r_regionkey) - 1)::INTEGER AS page, {page} AS text FROM region WHERE r_regionkey IN (SELECT r_regionkey FROM region ORDER BY r_regionkey LIMIT 2 OFFSET 1)",
         "image_roundtrip": "SELECT r_regionkey, kind, (200 + r_regionkey)::INTEGER AS width, 100 AS height FROM region, (VALUES ('png'), ('gif'), ('pdf0'), ('pdf1')) v(kind)",
+        "image_info": """SELECT r_regionkey::VARCHAR || '.img' AS path, CASE WHEN r_regionkey % 2 = 1 THEN 'gif' ELSE 'png' END AS format, (30 + r_regionkey)::INTEGER AS width, 20 AS height, (30 + r_regionkey) / 20.0::DOUBLE AS aspect_ratio, false AS failed FROM region
+          UNION ALL SELECT 'none.img', NULL, NULL, NULL, NULL, true""",
+        "media_extract": """SELECT r_regionkey::VARCHAR || ext AS path, name, (40 + r_regionkey)::INTEGER AS width FROM region, (VALUES ('.pdf', 'image_1.png'), ('.pdf', 'image_2.png'), ('.pptx', 'a.png'), ('.pptx', 'a_2.png')) v(ext, name)""",
+        "convert_matrix": f"""SELECT * FROM (VALUES ('xlsx', 'csv', 'a,b' || {nl} || '1,2'), ('csv', 'xlsx', 'zip'), ('md', 'docx', 'zip'), ('md', 'pdf', 'pdf'), ('md', 'txt', '# T' || {nl} || {nl} || 'body'), ('docx', 'md', '# T' || {nl} || 'body'), ('docx', 'txt', 'T' || {nl} || 'body'), ('docx', 'pdf', 'pdf'),
+          ('pdf', 'txt', 'T' || {nl} || 'body'), ('pdf', 'md', 'T' || {nl} || 'body'), ('pdf', 'docx', 'zip'), ('png', 'pdf', 'pdf'), ('png', 'png', 'png'), ('png', 'gif', 'gif'), ('gif', 'pdf', 'pdf'), ('gif', 'png', 'png'), ('gif', 'gif', 'gif')) v(source, target, result)""",
         "file_scan": "SELECT * FROM (VALUES ('a.js', 19::BIGINT, false, false), ('src/b.js', 23::BIGINT, false, false), ('src/deep/e.js', 28::BIGINT, false, false)) v(file, size, is_dir, is_binary)",
         "batch_run": "SELECT * FROM (VALUES ('step_1', 'text_tokens', true), ('x', 'nothing', false), ('step_3', 'icon_search', false)) v(id, tool, success)",
     }
