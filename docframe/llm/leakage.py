@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 GRAM = 5
 MIN_WORDS = 18
 PER_ALTERED = 7
-MAX_GRAMS = 2_000_000
+#: N-grams a worker holds at once, about 100 MB.
+MAX_GRAMS = 400_000
 
 # markup that is no word, or a word with the ways a layout may break it
 _TOKEN = re.compile(
@@ -169,6 +171,17 @@ class Finder:
         return [(self.items[n][0], *hit) for n, hit in sorted(best.items())]
 
 
+_LAST: dict[str, Finder] = {}
+
+
+def _finder(token: str, items: list[tuple[int, str]], *options: int) -> Finder:
+    """The finder of a scan; a reused Python worker keeps the one it made last."""
+    if token not in _LAST:
+        _LAST.clear()
+        _LAST[token] = Finder(items, *options)
+    return _LAST[token]
+
+
 LEAK = T.StructType([T.StructField("item_id", T.LongType()), T.StructField("words", T.IntegerType()), T.StructField("altered", T.IntegerType()), T.StructField("span_start", T.IntegerType()), T.StructField("span_end", T.IntegerType())])
 
 
@@ -194,8 +207,10 @@ def find(documents: DataFrame, eval_items: DataFrame, id_col: str = "doc_id", te
     for group in _groups(items, max_grams):
         shared = documents.sparkSession.sparkContext.broadcast(group)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            finder = Finder(shared.value, gram, min_words, per_altered)
+        token = uuid.uuid4().hex
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, token=token) -> Iterator[pa.RecordBatch]:
+            finder = _finder(token, shared.value, gram, min_words, per_altered)
             for batch in batches:
                 rows: list[tuple] = []
                 for key, value in zip(batch.column(0), batch.column(1)):

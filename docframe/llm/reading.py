@@ -33,7 +33,7 @@ from docframe.session import checkpoint
 
 LEVELS = (1, 2, 3, 4, 5)
 QUANTILES = (0.25, 0.5, 0.75)
-MAX_WORDS = 1_000_000
+MAX_WORDS = 300_000
 #: Score bins of the calibration histogram.
 BINS = 400
 
