@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from docframe.functions.regex import search_pattern
@@ -15,7 +17,8 @@ def search_lines(df: DataFrame, id_col: str, text_col: str, query: str, *, regex
     they are split. Null texts match nothing; context arrays are empty where there is none.
     """
     java = search_pattern(query, regex, case_sensitive)
-    anchored = regex and any(c in query for c in "^$\\A(?")
+    # an anchor may hold for a line and not for the whole text; without one, a text that has no match has no line with one
+    anchored = regex and re.search(r"\^|\$|\\[ABz]|\(\?", query)
     src = df.select(id_col, F.col(text_col).alias("_t"))
     src = src.filter("_t is not null") if anchored else src.filter(F.col("_t").rlike(java))
     lines = (scan_lines if scan else split_lines)(F.col("_t"))

@@ -73,3 +73,13 @@ def test_estimated_zone(spark, roots):
 
 def test_empty(spark, roots):
     assert utc(spark, roots, []) == [] and utc(spark, roots.limit(0), ["2021-07-01T12:00:00Z", "2021-07-01 12:00:00"]) == ["2021-07-01 12:00:00", None]
+
+
+@pytest.mark.parametrize("zone", ["Asia/Kathmandu", "America/New_York"])
+def test_session_zone_does_not_matter(spark, roots, zone):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        assert utc(spark, roots, [c[0] for c in CASES]) == [c[1] for c in CASES]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
