@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from docframe.functions import regex, text as X
 from docframe.operators import chunking, concat, extract, search
+from docframe.plans import text_queries
 
 SPACE = chunking._SPACES
 
@@ -144,3 +145,13 @@ def test_csv_and_names(spark):
     from docframe.formats.xlsx import column_name
 
     assert names == [column_name(i) for i in range(1, 731)]
+
+
+def test_svg_behind_long_text(spark, tmp_path):
+    """The SVG queries scrape the whole text, not its beginning."""
+    text = "word " * 2000 + '<svg id="late"><g/></svg>\nend'
+    spark.createDataFrame([(7, text)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    names = [r["file_name"] for r in text_queries.svg_names(spark, str(tmp_path)).orderBy("index").collect()]
+    assert names[0] == "late.svg" and len(names) == 5
+    for q in (text_queries.svg_scrape, text_queries.svg_adjust, text_queries.svg_jsx, text_queries.svg_data_uri):
+        assert q(spark, str(tmp_path)).count() == 5
