@@ -29,6 +29,7 @@ class Writer:
     def __init__(self) -> None:
         self.pages: list[tuple[list[str], dict[str, int]]] = []
         self.images: list[bytes] = []
+        self.extra: dict[str, int] = {}  # letters beyond Windows-1252, numbered
         self.y = 0.0
 
     def page(self) -> None:
@@ -40,8 +41,47 @@ class Writer:
             self.page()
         if advance:
             self.y -= size * 1.4
-        raw = text.encode("cp1252", "replace").replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)")
-        self.pages[-1][0].append(f"BT /{font} {size:g} Tf {x:.2f} {self.y:.2f} Td ({raw.decode('latin-1')}) Tj ET")
+        shown = " ".join(f"/{name} {size:g} Tf {self._string(run)} Tj" for name, run in self._runs(text, font))
+        self.pages[-1][0].append(f"BT {x:.2f} {self.y:.2f} Td {shown} ET")
+
+    def _runs(self, text: str, font: str) -> list[tuple[str, bytes]]:
+        """(font, codes) of the text: letters beyond Windows-1252 are in further fonts of 255 letters each."""
+        out: list[tuple[str, bytes]] = []
+        try:
+            return [(font, text.encode("cp1252"))]
+        except UnicodeEncodeError:
+            pass
+        for c in text:
+            try:
+                name, code = font, c.encode("cp1252")
+            except UnicodeEncodeError:
+                n = self.extra.setdefault(c, len(self.extra))
+                name, code = f"U{n // 255}", bytes([n % 255 + 1])
+            if out and out[-1][0] == name:
+                out[-1] = (name, out[-1][1] + code)
+            else:
+                out.append((name, code))
+        return out
+
+    @staticmethod
+    def _string(raw: bytes) -> str:
+        for a, b in ((b"\\", b"\\\\"), (b"(", b"\\("), (b")", b"\\)"), (b"\n", b"\\n"), (b"\r", b"\\r")):
+            raw = raw.replace(a, b)
+        return f"({raw.decode('latin-1')})"
+
+    def _extra_fonts(self, at: int) -> list[bytes]:
+        """Objects of the further fonts from number ``at`` on, each followed by its Unicode map."""
+        out, letters = [], list(self.extra)
+        for i in range(0, len(letters), 255):
+            part = letters[i : i + 255]
+            glyphs = " ".join(f"/u{ord(c):04X}" if ord(c) > 0xFFFF else f"/uni{ord(c):04X}" for c in part)
+            blocks = [list(enumerate(part, 1))[k : k + 100] for k in range(0, len(part), 100)]  # a block holds at most 100 codes
+            pairs = "".join(f"{len(b)} beginbfchar\n" + "".join(f"<{n:02X}> <{c.encode('utf-16-be').hex().upper()}>\n" for n, c in b) + "endbfchar\n" for b in blocks)
+            cmap = f"/CIDInit /ProcSet findresource begin 12 dict begin begincmap /CMapName /U{i // 255} def /CMapType 2 def\n1 begincodespacerange <00> <FF> endcodespacerange\n{pairs}endcmap end end"
+            stream = zlib.compress(cmap.encode())
+            out.append(f"<< /Type /Font /Subtype /Type1 /BaseFont /Helvetica /Encoding << /Type /Encoding /Differences [1 {glyphs}] >> /ToUnicode {at + len(out) + 1} 0 R >>".encode())
+            out.append(b"<< /Length %d /Filter /FlateDecode >>\nstream\n" % len(stream) + stream + b"\nendstream")
+        return out
 
     def image(self, body: bytes, box: tuple[float, float, float, float]) -> None:
         self.images.append(body)
@@ -59,12 +99,15 @@ class Writer:
             objs.append(f"<< /Type /Font /Subtype /Type1 /BaseFont /{name} /Encoding /WinAnsiEncoding >>".encode())
         first_image = len(objs) + 1
         objs += self.images
+        first_extra = len(objs) + 1
+        objs += self._extra_fonts(first_extra)
+        numbers = {n: 3 + k for k, n in enumerate(fonts)} | {f"U{k}": first_extra + 2 * k for k in range((len(self.extra) + 254) // 255)}
+        res = " ".join(f"/{n} {k} 0 R" for n, k in numbers.items())
         kids = []
         for ops, used in self.pages:
             stream = zlib.compress("\n".join(ops).encode("latin-1"))
             objs.append(b"<< /Length %d /Filter /FlateDecode >>\nstream\n" % len(stream) + stream + b"\nendstream")
             pics = " ".join(f"/{n} {first_image + i} 0 R" for n, i in used.items())
-            res = " ".join(f"/{n} {3 + k} 0 R" for k, n in enumerate(fonts))
             objs.append(f"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 {A4[0]} {A4[1]}] /Contents {len(objs)} 0 R /Resources << /Font << {res} >> /XObject << {pics} >> >> >>".encode())
             kids.append(len(objs))
         objs[1] = f"<< /Type /Pages /Count {len(kids)} /Kids [{' '.join(f'{k} 0 R' for k in kids)}] >>".encode()

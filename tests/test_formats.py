@@ -7,6 +7,7 @@ import pytest
 
 from docframe.formats import convert, docx, images, package, pdf, xlsx
 from docframe.operators import icons, svg
+from docframe.plans import format_queries
 from docframe.sources import decode, files
 from docframe.tools import cli, registry, server
 
@@ -187,3 +188,15 @@ def test_icons(spark):
     df = spark.createDataFrame([('<svg width="1" stroke-width="2" fill="currentColor"><path width="3"/></svg>',), ("<svg/>",)], "s string")
     got = [r["s"] for r in df.select(svg.adjust(df["s"], size=9, color="red").alias("s")).collect()]
     assert got == ['<svg height="9" width="9" stroke-width="2" fill="red"><path width="9"/></svg>', '<svg height="9" width="9"/>']
+
+
+def test_pdf_any_letters(spark, tmp_path):
+    """Letters beyond Windows-1252 come back as they were; every non-null document is counted."""
+    many = " ".join(map(chr, range(0x4E00, 0x4E00 + 600)))  # more than one further font
+    texts = ["Größe\tund\r\nMaße", "Таблица (ошибки) \\ №5", "文書を保存 \U0001f600 ok", many, "plain", ""]
+    for t in texts:
+        assert pdf.text(pdf.from_pages([t])).split() == t.split()
+    rows = [*enumerate(texts), (99, None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["words"] for r in format_queries.pdf_words_all(spark, str(tmp_path)).collect()}
+    assert got == {i: len(t.split()) for i, t in enumerate(texts)}
