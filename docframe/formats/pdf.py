@@ -122,18 +122,22 @@ class Writer:
 
 
 def from_markdown(text: str) -> bytes:
-    """A4 pages of headings, paragraphs, bullets, code and tables with as wide columns as the first row has."""
+    """A4 pages of headings, paragraphs, bullets, code and tables with as wide columns as the first row has; cells wrap, a longer word overflows."""
     w = Writer()
     w.page()
     for kind, value in markdown_blocks(text):
         if kind == "table":
             width = (A4[0] - 2 * _MARGIN) / max(1, len(value[0]) if value else 1)
+            limit = max(1, int(width / 5.2))
             for n, row in enumerate(value):
-                if w.y - 14 < _MARGIN:
-                    w.page()
-                w.y -= 14
-                for c, cell in enumerate(row):
-                    w.text(cell[: max(1, int(width / 5.2))], 10, "F2" if n == 0 else "F1", _MARGIN + c * width, advance=False)
+                cells = [[cell] if len(cell) <= limit else images.wrap(cell, limit) for cell in row]
+                for k in range(max(map(len, cells), default=1)):
+                    if w.y - 14 < _MARGIN:
+                        w.page()
+                    w.y -= 14
+                    for c, parts in enumerate(cells):
+                        if k < len(parts):
+                            w.text(parts[k], 10, "F2" if n == 0 else "F1", _MARGIN + c * width, advance=False)
             continue
         plain = value.replace("**", "")
         if kind[0] == "h":

@@ -200,3 +200,10 @@ def test_pdf_any_letters(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["doc_id"]: r["words"] for r in format_queries.pdf_words_all(spark, str(tmp_path)).collect()}
     assert got == {i: len(t.split()) for i, t in enumerate(texts)}
+
+
+def test_pdf_long_cells():
+    """A cell longer than its column, and one longer than a page, keep all their words."""
+    long, word = " ".join(f"cell{i}" for i in range(400)), "x" * 200
+    got = pdf.text(pdf.from_markdown(f"| a | b | c |\n|---|---|---|\n| {long} | {word} | end |\n| 1 | 2 | 3 |")).split()
+    assert sorted(got) == sorted(["a", "b", "c", *long.split(), word, "end", "1", "2", "3"])
