@@ -52,8 +52,8 @@ CANDIDATE = (
     r"|://[^/\s:@]*:[^/\s@]+@|\s-[pu]\s?\S|AKIA|ASIA|gh[pousr]_|glpat-|xox[abprs]-|[sr]k_live_|npm_|AIza|eyJ)"
     r"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*[A-Za-z])(?=[A-Za-z0-9+/_-]*[0-9])[A-Za-z0-9+/_-]{12,}"
 )
-#: ... and some literal a secret could be: six characters in a row that are more than a plain lower-case word, or a quoted one.
-LITERAL = r"[\"'`=: ][^\s\"'`=]{6,}|-p\S{4,}|://[^/\s]*:[^/\s]+@"
+#: ... and some token a secret could be: the field's spans are tokens of four characters or more, wherever they begin (any letter beyond ASCII counts).
+LITERAL = r"[\w.+/~!#%*^?$=:\x{80}-\x{10FFFF}-]{4}"
 
 _LEX = re.compile(
     r"-----(?:BEGIN|END)[A-Z0-9 ]+-----"  # armour

@@ -54,3 +54,12 @@ def test_blocks(spark, crf):
     assert set(found) == want
     assert found["line_items", 300]["redacted"] == f"password = '{s.MASK}'" and found["line_items", 1]["redacted"] == KEY[0]
     assert s.find(items.limit(0), matches.limit(0), crf).count() == 0
+
+
+def test_filter_passes_short_and_unquoted(spark, crf):
+    """Every line in which the field could mark a token passes the filter, whatever stands before the token."""
+    token = "ghp_Ab3dEf6hIj9kLm2nOp5qRs8tUv1wXy4zAb7d"
+    lines = ["<password>Maple4711x</password>", token, f"token,{token}", "password\tMaple4711x", 'pwd="ab1c2"', 'password = "hunt1"', "pwd=ab1c", "Kennwort;größ"]
+    rows = spark.createDataFrame([("t", i, x) for i, x in enumerate([*lines, "pw a b", "plain words here"])], "source_table string, row_id bigint, text string")
+    assert {r["row_id"] for r in rows.filter(s.is_candidate(rows["text"])).collect()} == set(range(len(lines)))
+    assert {x["row_id"] for x in s.line_secrets(rows, crf).collect()} >= {0, 3, 4, 5}
