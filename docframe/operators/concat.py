@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from docframe.functions.text import scan_lines
 
@@ -53,3 +53,25 @@ def text(lines: DataFrame, name_col: str, group_col: str, max_bytes: int = 1 <<
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(name_col, "position", "line"))), lambda x: x["line"]), "\n")
     made = small.groupBy(group_col).agg(F.concat(body, F.lit("\n")).alias("text")).withColumnRenamed(group_col, "_g")
     return sizes.join(made, F.col("_h").eqNullSafe(F.col("_g")), "left").select(F.col("_h").alias(group_col), "text", "total_bytes")
+
+
+def parts(lines: DataFrame, name_col: str, group_col: str, max_bytes: int = 1 << 26) -> DataFrame:
+    """Every group's text in ordered parts: (group), part (from 1), text, total_bytes (of the part).
+
+    A part ends with the line that reaches the next multiple of ``max_bytes``, so it is at most a line longer; the parts of a group put
+    together are its text. Only larger groups are numbered, by the sizes of their documents, then by line within a document.
+    """
+    sizes = totals(lines, name_col, group_col).select(F.col(group_col).alias("_h"), F.col("total_bytes").alias("_bytes"))
+    one = lines.select(F.col(group_col).alias("_g"), F.col(name_col).alias("_name"), "position", "line", (F.octet_length("line") + 1).cast("bigint").alias("_b"))
+    large = one.join(sizes.filter(F.col("_bytes") > max_bytes).select("_h"), F.col("_g").eqNullSafe(F.col("_h")))
+    docs = large.groupBy(F.col("_g").alias("_h2"), F.col("_name").alias("_n2")).agg(F.sum("_b").alias("_doc"))
+    ahead = F.sum("_doc").over(W.partitionBy("_h2").orderBy("_n2").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_doc")  # one row per document
+    inside = F.sum("_b").over(W.partitionBy("_g", "_name").orderBy("position").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_b")
+    placed = large.withColumn("_in", inside).join(docs.select("_h2", "_n2", ahead.alias("_ahead")), F.col("_g").eqNullSafe(F.col("_h2")) & F.col("_name").eqNullSafe(F.col("_n2")))
+    at = F.floor((F.col("_ahead") + F.col("_in")) / max_bytes)
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_name", "position", "line"))), lambda x: x["line"]), "\n")
+    hot = placed.groupBy("_g", at.alias("_at")).agg(F.concat(body, F.lit("\n")).alias("text"), F.sum("_b").alias("total_bytes"))
+    number = F.row_number().over(W.partitionBy("_g").orderBy("_at")).cast("int")  # one row per part
+    hot = hot.select(F.col("_g").alias(group_col), number.alias("part"), "text", "total_bytes")
+    whole = text(lines, name_col, group_col, max_bytes).filter(F.col("total_bytes") <= max_bytes)
+    return whole.select(group_col, F.lit(1).alias("part"), "text", "total_bytes").unionByName(hot)

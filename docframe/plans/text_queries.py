@@ -169,9 +169,10 @@ def concat_all(spark, d):
 
 
 def concat_text(spark, d):
-    """The chunks of each result joined into its text: small groups as one value each."""
+    """The chunks of each result joined into its text: one row, or of a hot result several rows in order, each with its own bytes."""
     chunks = table(spark, d, "chunks", "result_id", "chunk_id", "text")
-    return concat.text(concat.concat_lines(chunks, "chunk_id", "text", delimiter="--", group_col="result_id"), "chunk_id", "result_id")
+    lines = concat.concat_lines(chunks, "chunk_id", "text", delimiter="--", group_col="result_id")
+    return concat.parts(lines, "chunk_id", "result_id").orderBy("result_id", "part").drop("part")
 
 
 def _links(spark, d):

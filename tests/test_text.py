@@ -155,3 +155,13 @@ def test_svg_behind_long_text(spark, tmp_path):
     assert names[0] == "late.svg" and len(names) == 5
     for q in (text_queries.svg_scrape, text_queries.svg_adjust, text_queries.svg_jsx, text_queries.svg_data_uri):
         assert q(spark, str(tmp_path)).count() == 5
+
+
+def test_concat_parts(spark):
+    """Groups beyond the bound come in ordered parts instead of no text, and no line is missing."""
+    df = spark.createDataFrame([(1, i, f"a{i}\nbb\n\nc") for i in range(30)] + [(2, 0, "x"), (None, 5, "n" * 50), (None, 6, "m")], "g int, name int, text string")
+    lines = concat.concat_lines(df, "name", "text", delimiter="--", group_col="g")
+    whole = {r["g"]: r["text"] for r in concat.text(lines, "name", "g").collect()}
+    rows = concat.parts(lines, "name", "g", max_bytes=40).orderBy("g", "part").collect()
+    assert {g: "".join(r["text"] for r in rows if r["g"] == g) for g in whole} == whole and len([r for r in rows if r["g"] == 1]) > 5
+    assert all(len(r["text"]) == r["total_bytes"] <= 40 + 51 for r in rows) and [r["part"] for r in rows if r["g"] == 2] == [1]
