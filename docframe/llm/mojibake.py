@@ -11,7 +11,7 @@ The operator learns the wrong decodings from the corpus itself:
    is an equi-join on both, so a hot key never pairs all its words. Aligned characters vote for
    the transformation (W, R); the rarer spelling counts as the garbled one.
 4. Transformations with enough votes are applied to all remaining words, also to those
-   without a twin; replacement characters (U+FFFD) are restored from a twin where there is one.
+   without a twin (one-byte ones only where ``stands_alone`` believes them); replacement characters (U+FFFD) are restored from a twin where there is one.
 
 Nulls and empty texts are never affected. Repeated rows are each reported, rows of one id once; a repeated
 line counts once in the statistics. An empty table gives an empty result. Extra columns are ignored except for the
@@ -118,6 +118,38 @@ def utf8_guess(word: str, codecs: tuple[str, ...], alphabet: frozenset[str]) ->
     return (part[2], part[3]) if part else None
 
 
+_LETTER_RUNS = {name: re.compile(rf"[{chars}]+") for name, chars in (("cyrillic", "Ѐ-ӿ"), ("greek", "Ͱ-Ͽἀ-῿"), ("latin", "A-Za-zÀ-ÖØ-öø-ɏẞ"))}
+_EDGES = "'\"’.,;:!?()[]{}<>@\\\\_^`|~"
+#: What clean text holds between letters: dashes, quotes, dots, bullets.
+_JOINTS = frozenset("–—‘’‚“”„…•·«»‹›¡¿")
+
+
+def _script(text: str) -> str | None:
+    """The one script of a run of letters, if its capitals stand as words have them."""
+    name = next((n for n, p in _LETTER_RUNS.items() if p.fullmatch(text)), None)
+    return name if name and (text.islower() or text.isupper() or text == text[0] + text[1:].lower()) else None
+
+
+def stands_alone(word: str, restored: str) -> bool:
+    """Is a one-byte restoration believable without a twin: no word as it stands, one of a single script when restored?
+
+    A Latin run of four or more letters without an ASCII one among them is no word either, nor are letters around a
+    symbol other than ``_JOINTS``. Words that are well formed in both readings are not decided.
+    """
+    a, b = word.strip(_EDGES), restored.strip(_EDGES)
+    script = _script(b) if a and b else None
+    high = sum(c > "\x7f" for c in b)
+    if script is None or len(b) < 4 or (script != "latin" and high < 4):
+        return False
+    was = _script(a)
+    if script == "latin":
+        inner = [c for c in a[1:-1] if c > "\x7f" and not c.isalpha()]
+        return was is None and not any(c in _JOINTS for c in a) and (bool(inner) or a.isalpha()) and high * 2 <= len(b)
+    if any(c in _JOINTS for c in a):
+        was = None if sum(c.isalpha() and c > "\x7f" for c in a) >= 3 and not any(_script(x) for x in re.split(f"[{''.join(_JOINTS)}]+", a)) else "latin"
+    return was is None or (was == "latin" and not any(c < "\x80" for c in a))
+
+
 def legacy_guesses(word: str) -> list[tuple[str, str, str]]:
     """(read as, written as, restored) for every non-UTF-8 hypothesis that turns the whole word into letters."""
     out = []
@@ -323,12 +355,25 @@ def learn(rec: DataFrame, min_votes: int = 1, min_legacy_votes: int = 3) -> dict
     east = guesses.filter(F.col("written_as").isin(*WRITTEN_WIDE)).join(rest, "word", "left_semi").mapInPandas(wide, "rank int, word string, restored string, read_as string, written_as string")
     east = east.groupBy("word").agg(F.min_by(F.struct("restored", "read_as", "written_as"), "rank").alias("b")).select("word", "b.*").withColumn("key", null_key)
     east = east.join(by_twin.select("word"), "word", "left_anti")
+
+    def narrow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """One-byte text without a twin: no word as it stands, one of known letters and a single script when restored."""
+        for pdf in batches:
+            rows = []
+            for word, w, r, text in zip(pdf["word"], pdf["read_as"], pdf["written_as"], pdf["restored"]):
+                if (w, r) in ranks and all(c in alphabet for c in text if c > "\x7f") and stands_alone(word, text):
+                    rows.append((ranks[w, r][0], word, text, w, r))
+            yield pd.DataFrame(rows, columns=["rank", *schema.names])
+
+    single = guesses.filter(F.col("written_as").isin(*WRITTEN_SINGLE)).join(rest, "word", "left_semi").mapInPandas(narrow, "rank int, word string, restored string, read_as string, written_as string")
+    single = single.groupBy("word").agg(F.min_by(F.struct("restored", "read_as", "written_as"), "rank").alias("b")).select("word", "b.*").withColumn("key", null_key)
+    single = single.join(by_twin.select("word").union(east.select("word")), "word", "left_anti")
     twins = vocab.filter("key is not null").withColumn("good", ~F.col("word").contains(LOST)).join(by_rule.select("word"), "word", "left_anti")
     best = twins.filter("good").groupBy("key").agg(F.max_by("word", F.struct("n", "word")).alias("restored"))
     lost = vocab.filter(F.col("word").contains(LOST)).join(best, "key", "left")
     lost = lost.select("word", F.when(_fills(F.col("word"), F.col("restored")), F.col("restored")).alias("restored"), F.lit("utf-8").alias("read_as"), null_key.alias("written_as"), "key")
     cols = ["word", "key", "restored", "read_as", "written_as"]
-    fixes = checkpoint(by_rule.select(*cols).unionByName(by_twin.select(*cols)).unionByName(mostly.select(*cols)).unionByName(east.select(*cols)).unionByName(lost.select(*cols)))
+    fixes = checkpoint(by_rule.select(*cols).unionByName(by_twin.select(*cols)).unionByName(mostly.select(*cols)).unionByName(east.select(*cols)).unionByName(single.select(*cols)).unionByName(lost.select(*cols)))
     return {"line_words": line_words, "vocab": vocab, "pairs": pairs, "fixes": fixes}
 
 

@@ -44,3 +44,14 @@ def test_empty_clashing_and_long(spark):
 def test_repeated_rows(spark):
     rec = frame(spark, ["Größe der Dinge"] * 3 + ["GrÃ¶Ã\x9fe der Dinge"] * 50)
     assert m.affected(rec).count() == 50
+
+
+def test_one_byte_words_without_a_twin(spark):
+    """A learned one-byte mapping restores words whose clean form occurs nowhere; well-formed words stay."""
+    cyrillic = ("Таблица содержит ошибки", "Новый раздел добавлен вчера", "Список строк пуст")
+    bad = [garble(c, "cp1251", "latin-1") for c in cyrillic]
+    texts = [f"{c} ({k})" for k in range(3) for c in CLEAN] + HARMLESS + bad + [garble("столица", "cp1251", "latin-1")]
+    got = {r["row_id"]: r["restored"] for r in m.restore(frame(spark, texts)).collect()}
+    first = len(CLEAN) * 3 + len(HARMLESS)
+    assert set(got) == set(range(first, len(texts))) and got[len(texts) - 1] == "столица"
+    assert not any(m.stands_alone(w, t) for w in ("naïve", "Übermaß", "привет", "cost–benefit", "Foo™") for _, _, t in m.legacy_guesses(w))
