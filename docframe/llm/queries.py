@@ -52,7 +52,7 @@ def p6_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return leakage.find(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+    return leakage.find(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items")).filter("passage = 1").select("doc_id", "item_id")
 
 
 def p7_spans(spark: SparkSession, d: str) -> DataFrame:

@@ -98,3 +98,18 @@ def test_levels(spark):
 def test_true_levels(spark):
     labels = spark.createDataFrame([(1, 2, "a"), (1, 2, "A "), (1, 4, "b"), (1, 4, "c")], "doc_id bigint, level int, rater string")
     assert reading.true_levels(labels).first()["level"] == 4.0
+
+
+def test_every_passage_is_found_and_stripped(spark):
+    """Two copies of an item and two separate parts of one are all reported and all cut, on both paths."""
+    one, two = " ".join(WORDS[:25]), " ".join(WORDS[30:55])
+    item = " ".join(WORDS[:60])
+    texts = {1: f"start {one} middle {one} end", 2: f"a {one} xx yy zz {two} b", 3: "nothing here", 4: None}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, item, "x"), (8, None, None)], "item_id bigint, text string, answer string")
+    for most in (400_000, 1):
+        rows = sorted(tuple(r) for r in leakage.find(docs, items, max_grams=most).collect())
+        assert [(r[0], r[1], r[2], r[3]) for r in rows] == [(1, 7, 1, 25), (1, 7, 2, 25), (2, 7, 1, 25), (2, 7, 2, 25)]
+        assert [texts[r[0]][r[5] : r[6]] for r in rows] == [one, one, one, two]
+        out = {r["doc_id"]: r["text"] for r in leakage.strip(docs, items, max_grams=most).collect()}
+        assert out == {1: "start  middle  end", 2: "a  xx yy zz  b", 3: "nothing here", 4: None}
