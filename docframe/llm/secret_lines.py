@@ -31,7 +31,7 @@ _IDS = "count index header offset buffer title range entry match result width de
 
 # Names that credentials go by, in several languages, as parts of an identifier.
 CREDENTIALS = (
-    "password", "password", "passwd", "pass", "pwd", "pw", "passphrase", "secret", "token", "api key", "api key", "apikey", "client secret", "secret key", "access key", "access token", "auth token", "auth key", "secret key", "secret token", "client secret", "signing key", "signing secret",
+    "password", "password", "passwd", "pass", "pwd", "pw", "passphrase", "secret", "token", "api key", "api key", "apikey", "client secret", "secret key", "secret key", "access key", "access token", "auth token", "auth key", "secret key", "secret token", "client secret", "signing key", "signing secret",
     "encryption key", "session secret", "bearer token", "refresh token", "private token", "webhook secret", "shared secret", "master key", "license key", "account key", "storage key", "admin pass", "root pw", "pin", "jwt", "credential",
     "kennwort", "passwort", "geheim", "contraseña", "contraseña", "clave", "clave secreta", "mot de passe", "motdepasse", "senha", "chave secreta", "пароль", "wachtwoord", "hasło", "heslo", "lösenord", "adgangskode", "salasana", "jelszó", "parola", "şifre",
 )
@@ -42,9 +42,9 @@ _OTHER = (
 )
 
 SECRET: dict[str, tuple[str, ...]] = {
-    "assignment": ("{C}{a}{q}{S}{q}", "{C} = {q}{S}{q}", "{C} = {q}{S}{q};", "const {C} = {q}{S}{q};", "let {C} = {q}{S}{q}", "var {C} string = {q}{S}{q}", "${C} = {q}{S}{q};", "self.{C} = {q}{S}{q}", "private static final String {C} = {q}{S}{q};", "{C} := {q}{S}{q}", "if {C} == {q}{S}{q}:", "{C} = {q}{S}{q}  # {R}", "{V} = dict({C}={q}{S}{q})", "{C} = b'{S}'", "{C} = bytes.fromhex('{K}')", "{C}: str = {q}{S}{q}", "key = b'{S}'", "auto {C} = std::string({q}{S}{q});"),
-    "configuration": ("{C}={S}", "{C}={S}", "{C}={S}", "{C}: {S}", "{C}: {q}{S}{q}", "{N}_{C}={S}", "export {N}_{C}={S}", "ENV {N}_{C} {S}", "set {C} {S}", "{W}.{W}.{C}={S}", "{W}.{W}.{C}={S}", "{W}.{C}={S}", "{W}.{C} = {S}", "{C}\t{S}", "{C};{S}", "{C} {S}", "- {C}: {S}", "{C} => '{S}',", "  {C}: {S}  # {R}", "{C}|{S}", "{U}.jwt = {S}", "user={U} pass={S} host={H}", "[{W}] {C}={S}"),
-    "markup": ('"{C}": "{S}",', '"{C}": "{S}"', "'{C}': '{S}',", '{"{C}":"{S}","{V}":"{X}"}', "<{C}>{S}</{C}>", '<property name="{C}" value="{S}"/>', '<add key="{C}" value="{S}" />', '<input name="{C}" value="{S}">', "define('{C}', '{S}');", '<entry key="{C}">{S}</entry>', "<string name=\"{C}\">{S}</string>"),
+    "assignment": ("{C}{a}{q}{S}{q}", "{C}{a}{q}{K}{q}", "{C} = {q}{S}{q}", "{C} = {q}{S}{q};", "const {C} = {q}{S}{q};", "let {C} = {q}{S}{q}", "var {C} string = {q}{S}{q}", "${C} = {q}{S}{q};", "self.{C} = {q}{S}{q}", "private static final String {C} = {q}{S}{q};", "{C} := {q}{S}{q}", "if {C} == {q}{S}{q}:", "{C} = {q}{S}{q}  # {R}", "{V} = dict({C}={q}{S}{q})", "{C} = b'{S}'", "{C} = bytes.fromhex('{K}')", "{C}: str = {q}{S}{q}", "key = b'{S}'", "auto {C} = std::string({q}{S}{q});"),
+    "configuration": ("{C}={S}", "{C}={S}", "{C}={S}", "{C}: {K}", "{C}={K}", "{C}: {S}", "{C}: {q}{S}{q}", "{N}_{C}={S}", "export {N}_{C}={S}", "ENV {N}_{C} {S}", "set {C} {S}", "{W}.{W}.{C}={S}", "{W}.{W}.{C}={S}", "{W}.{C}={S}", "{W}.{C} = {S}", "{C}\t{S}", "{C};{S}", "{C} {S}", "- {C}: {S}", "{C} => '{S}',", "  {C}: {S}  # {R}", "{C}|{S}", "{U}.jwt = {S}", "user={U} pass={S} host={H}", "[{W}] {C}={S}"),
+    "markup": ('"{C}": "{S}",', '"{C}": "{K}",', '"{C}": "{S}"', "'{C}': '{S}',", '{"{C}":"{S}","{V}":"{X}"}', "<{C}>{S}</{C}>", '<property name="{C}" value="{S}"/>', '<add key="{C}" value="{S}" />', '<input name="{C}" value="{S}">', "define('{C}', '{S}');", '<entry key="{C}">{S}</entry>', "<string name=\"{C}\">{S}</string>"),
     "header": ("Authorization: Bearer {S}", "Authorization: Basic {B}", "Authorization: token {S}", "X-Api-Key: {S}", "x-auth-token: {S}", 'headers = {"Authorization": "Bearer {S}"}', "-H 'X-Api-Key: {S}'", 'curl -H "Authorization: Bearer {S}" https://{H}/', "Cookie: {C}={S}", "Proxy-Authorization: Basic {B}", "Authorization: ApiKey {S}"),
     "address": ("https://{H}/hook?{C}={S}&page={D}", "https://{H}/api?{V}={D}&{C}={S}", "https://{U}:{S}@{H}/{W}.git", "postgres://{U}:{S}@{H}:{D}/{W}", "mongodb://{U}:{S}@{H}/{W}", "mongodb+srv://{U}:{S}@{H}/{W}", "redis://:{S}@{H}:{D}", "redis://{U}:{S}@{H}/{D}", "mysql://{U}:{S}@{H}/{W}", "ftp://{U}:{S}@{H}/{W}", "amqp://{U}:{S}@{H}/", "{U}:{S}@{H}", "{U}:{S}@{H}:{D}/{W}", "url = {q}jdbc:{W}://{H}/{W}?user={U}&password={S}{q}", "//{H}/:_authToken={S}", "_auth={B}"),
     "command": ("curl -u {U}:{S} https://{H}/v1/{W}", "mysql -h {H} -u {U} -p{S} {W} < {W}.sql", "mysql -u {U} -p{S}", "mysqldump -u {U} -p{S} {W}", "mysql -h {H} -u {U} -p{L} {W} < {W}.sql", "mysql -u {U} -p{L} {W}", "sshpass -p {S} ssh {U}@{H}", "--{C} {S}", "--{C}={S} \\", "-e {N}_{C}={S} \\", "--set auth.{C}={S} \\", "{W} login -u {U} -p {S} {H}", "echo {S} | {W} login --password-stdin", "PGPASSWORD={S} psql -h {H} -U {U}", "net use {W} /user:{U} {S}", "openssl enc -aes-256-cbc -k {S} -in {W}.txt", "echo '{U}:{S}' | chpasswd", "zip -P {S} {W}.zip {W}"),
@@ -103,7 +103,7 @@ class Maker:
         if k < 0.33 and weak:
             return r.choice((self.mixed(r.randint(3, 6), string.ascii_lowercase + string.digits), str(r.randint(100, 999999)), r.choice(_WORDS), r.choice(_WORDS) + r.choice("!?#123")))
         if k < 0.40:
-            return self.mixed(r.randint(8, 20), string.ascii_letters + string.digits + "!#$%*^_-")
+            return self.mixed(r.randint(8, 20), string.ascii_letters + r.choice((string.digits, string.digits, "")) + "!#$%*^_-")
         if k < 0.55:
             return self.mixed(r.randint(8, 27), r.choice((string.ascii_letters, string.ascii_letters + string.digits, string.ascii_letters + string.digits, string.ascii_uppercase + string.digits if r.random() < 0.3 else string.ascii_letters + string.digits)))
         if k < 0.68:
@@ -132,8 +132,9 @@ class Maker:
             return " ".join(r.choice((*_WORDS, *_IDS, "the", "a", "of", "and", "before", "remove", "release", "old", "later", "todo", "fix", "see")) for _ in range(r.randint(1, 6)))
         vowels, others = r.choice(_LETTERS).split()
         words = ["".join(r.choice(others) + r.choice(vowels) + (r.choice(others) if r.random() < 0.4 else "") for _ in range(r.choice((1, 1, 2, 2, 3, 4, 6, 8)))) for _ in range(r.randint(1, 9))]
+        words = [r.choice("ldLDnQ") + "'" + w if r.random() < 0.08 else w for w in words]
         if r.random() < 0.5:
-            words = [w.capitalize() if r.random() < 0.3 else w for w in words]
+            words = [w[0].upper() + w[1:] if r.random() < 0.3 else w for w in words]
         text = " ".join(w + r.choice(("", "", "", "", "", "", ",", "?", "!", ".", ":")) for w in words)
         if r.random() < 0.5:  # read with the wrong code page, perhaps twice, or with letters lost
             page = r.choice(("cp1252", "latin-1", "mac-roman", "cp437", "cp1250", "cp1251", "ascii"))
@@ -166,7 +167,7 @@ class Maker:
                 return name.encode().decode(r.choice(("cp1252", "latin-1", "mac-roman")), "ignore")
             return name
         makers = {
-            "S": self.secret, "L": lambda: self.mixed(r.randint(8, 16), string.ascii_letters), "K": lambda: self.mixed(r.choice((32, 64)), "0123456789abcdef"), "T": self.issued,
+            "S": self.secret, "L": lambda: self.mixed(r.randint(8, 16), string.ascii_letters), "K": lambda: self.mixed(r.choice((32, 40, 64)), "0123456789abcdef"), "T": self.issued,
             "S1": lambda: r.choice((r.choice(PREFIXES) + self.mixed(16), self.mixed(r.randint(8, 20)), self.mixed(20, "0123456789abcdef"))), "S2": lambda: self.mixed(r.randint(8, 20), r.choice((string.ascii_letters + string.digits, string.ascii_uppercase + string.digits, "0123456789abcdef"))), "G": self.uuid, "M": lambda: r.choice(("", "RSA ", "EC ", "ENCRYPTED ", "OPENSSH ")),
             "N": lambda: r.choice(_WORDS + _IDS).upper(), "U": lambda: r.choice(("admin", "root", "user", "guest", "deploy", "app", "svc_" + r.choice(_IDS), r.choice(_WORDS), "docs_ro", "batch", "reporter", "exporter", "postgres", r.choice(_WORDS) + "@" + r.choice(_WORDS) + ".test")),
             "V": lambda: self.name(r.choice(_OTHER)), "I": lambda: r.choice(_IDS), "D": lambda: str(r.randint(0, 10 ** r.randint(1, 5))), "W": lambda: r.choice(_WORDS + _IDS), "R": self.prose,

@@ -34,7 +34,7 @@ from docframe.llm.secret_lines import examples
 from docframe.session import BROADCAST_ROWS, checkpoint
 
 EXAMPLES = 40_000
-DIMS = 1 << 16
+DIMS = 1 << 18
 MASK = "REDACTED"
 BLOCK = 4096
 
@@ -58,7 +58,7 @@ _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[^\W\d_A-Z]+|\d+")
 # Stems that name a credential in several languages.
 STRONG = ("password", "passwd", "pass", "pwd", "pw", "secret", "token", "apikey", "auth", "credential", "credentials", "bearer", "basic", "jwt", "identified", "kennwort", "passwort", "geheim", "contrase", "clave", "passe", "motdepasse", "passphrase", "senha", "chave", "парол", "wachtwoord", "hasło", "heslo", "lösenord", "senord", "adgangskode", "salasana", "jelsz", "parola", "şifre", "pin")
 # Other stems that tell secrets from harmless values.
-_STEMS = (*STRONG, "key", "login", "cert", "private", "public", "sha", "md", "checksum", "commit", "etag", "integrity", "hash", "digest", "id", "uuid", "rsa", "ssh", "base", "fromhex", "client", "connect", "request", "set", "secure", "storage", "account", "count", "fingerprint", "signing", "encryption", "access", "value", "user", "uid", "admin", "root", "hint", "length", "type", "name", "serial", "version", "build", "session", "trace", "api", "shared", "master", "cookie", "url", "http", "https", "path", "example", "class", "func", "def", "import", "return", "for", "if")
+_STEMS = (*STRONG, "key", "login", "cert", "private", "public", "sha", "md", "checksum", "commit", "etag", "integrity", "hash", "digest", "id", "uuid", "rsa", "ssh", "base", "fromhex", "client", "connect", "request", "set", "secure", "storage", "account", "count", "fingerprint", "signing", "encryption", "access", "value", "user", "uid", "admin", "root", "hint", "length", "type", "name", "serial", "version", "build", "session", "trace", "api", "shared", "master", "cookie", "url", "http", "https", "path", "example", "secretary", "tokens", "tokenizer", "passage", "passenger", "keyboard", "class", "func", "def", "import", "return", "for", "if")
 _STEM_SET = frozenset(_STEMS)
 #: Stems that also count within a longer part of a name, such as ``userpassword`` or a name read with the wrong code page.
 _LONG_STEMS = tuple(s for s in _STEMS if len(s) > 5 or s in ("парол", "jelsz"))
@@ -124,7 +124,7 @@ def token_shape(tok: str) -> tuple[str, tuple[str, ...], tuple[str, ...]]:
 
 
 def _code(name: str) -> int:
-    return zlib.crc32(name.encode("utf-8", "replace")) % DIMS
+    return zlib.crc32(name.encode("utf-8", "replace")) % (DIMS - 1)  # the last stands for no feature
 
 
 def own_features(tok: str) -> list[int]:
@@ -311,20 +311,20 @@ def train(n: int = EXAMPLES, seed: int = 7, epochs: int = 10, rate: float = 0.15
     """
     data = []
     for line, marks in examples(n, seed, without):
-        spans = lex(line)
-        if spans:
-            data.append((features(line, spans), [int(_overlaps(s, marks)) for s in spans]))
+        if spans := lex(line):
+            fs = [np.array(f, np.int32) for f in features(line, spans)]
+            data.append((fs, [_overlaps(x, marks) for x in spans]))
     data.sort(key=lambda x: len(x[1]))
     rng = np.random.default_rng(seed)
-    w, g2 = np.zeros(DIMS + 1), np.full(DIMS + 1, 1e-3)
+    w, g2 = np.zeros(DIMS), np.full(DIMS, 1e-3)
     trans, t2 = np.zeros((2, 2)), np.full((2, 2), 1e-3)
     packed = []
     for i in range(0, len(data), 64):
         b = data[i : i + 64]
         size = max(len(y) for _, y in b)
         width = max(len(f) for fs, _ in b for f in fs)
-        x = np.full((len(b), size, width), DIMS, np.int64)
-        y = np.zeros((len(b), size), np.int64)
+        x = np.full((len(b), size, width), DIMS - 1, np.int32)
+        y = np.zeros((len(b), size), np.int8)
         mask = np.zeros((len(b), size), bool)
         for r, (fs, ys) in enumerate(b):
             for c, f in enumerate(fs):
@@ -332,7 +332,8 @@ def train(n: int = EXAMPLES, seed: int = 7, epochs: int = 10, rate: float = 0.15
             y[r, : len(ys)] = ys
             mask[r, : len(ys)] = True
         packed.append((x, y, mask))
-    mean, mean_t = np.zeros(DIMS + 1), np.zeros((2, 2))
+        data[i : i + 64] = [None] * len(b)
+    mean, mean_t = np.zeros(DIMS), np.zeros((2, 2))
     for epoch in range(epochs):
         for k in rng.permutation(len(packed)):
             x, y, mask = packed[k]
@@ -357,8 +358,8 @@ def train(n: int = EXAMPLES, seed: int = 7, epochs: int = 10, rate: float = 0.15
                 m = mask[:, t]
                 pair = np.exp(alpha[:, t - 1, :, None] + trans + (emit[:, t] + beta[:, t])[:, None, :] - z[:, None, None])
                 gt += (gold[:, t - 1, :, None] * gold[:, t, None, :] - pair)[m].sum(axis=0)
-            flat = np.bincount(x.reshape(-1), np.repeat(grad.reshape(-1), x.shape[2]), DIMS + 1)
-            flat[DIMS] = 0
+            flat = np.bincount(x.reshape(-1), np.repeat(grad.reshape(-1), x.shape[2]), DIMS)
+            flat[-1] = 0
             uniq = np.flatnonzero(flat)
             step = flat[uniq] - l2 * w[uniq]
             g2[uniq] += step**2
@@ -369,7 +370,7 @@ def train(n: int = EXAMPLES, seed: int = 7, epochs: int = 10, rate: float = 0.15
                 mean += w
                 mean_t += trans
     n_mean = len(packed) * (epochs - epochs // 2)
-    return Crf((mean[:DIMS] / n_mean).astype("float32"), mean_t / n_mean)
+    return Crf((mean / n_mean).astype("float32"), mean_t / n_mean)
 
 
 def redact_text(line: str, spans: list[tuple[int, int]], mask: str = MASK) -> str:
