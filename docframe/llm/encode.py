@@ -2,8 +2,10 @@
 
 The rank file is local and its path a parameter. Each Arrow batch is encoded by tiktoken in a Python
 worker, which loads the ranks once. A text longer than ``PIECE`` characters is cut at safe places
-first: before a single space that follows a letter, digit or mark and precedes a letter, where the pre-splitting
-pattern always starts a new token, so the ids of the pieces joined are those of the whole text.
+first, where the pre-splitting pattern always starts a new token, so the ids of the pieces joined are those of the
+whole text: before a space between two words, between a letter and a digit, between letter or digit and any sign but an
+apostrophe, before a line break or tab behind a word or sign, and between a single one and a letter or digit. In a run of one kind of character
+there is no such place (the vocabulary may merge across the whole run); it is encoded in one go.
 
 Defined cases: an empty text has the ids ``[]``; a null text has ``NULL_IDS``, also ``[]``, so that every
 row has a list. Lone surrogates are encoded as U+FFFD. Repeated rows are each encoded; an empty
@@ -13,13 +15,13 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 #: Fixed value: pre-splitting pattern of the byte-level vocabularies.
@@ -28,7 +30,16 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 VOCABULARIES = "/opt/tokenizers"
 PIECE = 50_000
 NULL_IDS: list[int] = []
-_SAFE = re.compile(r"(?<=[^\W_]) (?=[^\W\d_])")
+#: A cut must leave every token of the pattern on one side, and the part before it must read the same without what
+#: follows. Runs of white space look ahead, so only a single one that stands behind a word or sign may end a part.
+_SAFE = regex.compile(
+    r"(?<=[\p{L}\p{N}]) (?=[\p{L}\p{N}])"
+    r"|(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})"
+    r"|(?<=[\p{L}\p{N}])(?=[^\s\p{L}\p{N}'])"
+    r"|(?<=[!-&(-/:-@\[-`{-~])(?=\p{N})"
+    r"|(?<=[\p{L}\p{N}!-~])(?=[\n\r\t])"
+    r"|(?<=[\p{L}\p{N}!-~][\n\r\t])(?=[\p{L}\p{N}])"
+)
 
 
 @lru_cache(maxsize=4)

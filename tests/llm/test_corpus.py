@@ -19,6 +19,21 @@ def test_pieces_do_not_change_ids(text):
     assert "".join(encode.pieces(text, 20)) == text
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("ab1 2\n\t\r '.,(sé日本、。-\x1c\u3000"), max_size=200))
+def test_safe_cuts(text):
+    enc = encode.load(encode.rank_file("byte_bpe_50k"))
+    cut = encode.pieces(text, 1)
+    assert [i for p in cut for i in enc.encode_ordinary(p)] == enc.encode_ordinary(text) and "".join(cut) == text
+
+
+def test_long_texts_without_blanks_are_cut(enc):
+    """Japanese sentences, line-separated fields and digits between letters give pieces of bounded size, and the same ids."""
+    for text in ("文書を保存してください。表の列、" * 5000, "field_a\nfield_b\n" * 10000, "x1y22" * 20000, "a,b;c|d" * 10000):
+        cut = encode.pieces(text, 5000)
+        assert len(cut) >= len(text) // 5100 and [i for p in cut for i in enc.encode_ordinary(p)] == enc.encode_ordinary(text)
+
+
 def test_encode_and_decode(spark, enc):
     texts = ["Hello world", "", None, "é 日本 😀\n\t x", "word " * 30_000, "<|endoftext|>", "a" * 20_000]
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id bigint, text string, ids string")
