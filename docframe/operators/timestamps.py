@@ -20,10 +20,11 @@ from __future__ import annotations
 
 import datetime as dt
 import zoneinfo
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from docframe.session import bounded_rows
+from docframe.session import checkpoint
 
 # Month names (English, German, French, Spanish, Italian, Portuguese) and their common short forms.
 MONTHS = (
@@ -152,34 +153,41 @@ def parse(text: Column, date_order: Column) -> Column:
     return let(F.trim(text), stamp)
 
 
-def abbreviations(zones: list[str], since: int = 1990, until: int = 2038) -> dict[str, int]:
-    """Offset in seconds of every abbreviation a zone has used, keyed ``zone|ABBR``; the latest use wins."""
-    out: dict[str, int] = {}
-    for name in zones:
-        try:
-            zone = zoneinfo.ZoneInfo(name)
-        except (zoneinfo.ZoneInfoNotFoundError, ValueError, OSError):
-            continue
+@lru_cache(maxsize=1)
+def known_zones() -> tuple[str, ...]:
+    return tuple(sorted(z for z in zoneinfo.available_timezones() if "/" in z and not z.startswith(("posix/", "right/"))))
+
+
+@lru_cache(maxsize=1)
+def abbreviations(since: int = 1990, until: int = 2038) -> tuple[tuple[str, str, int], ...]:
+    """(zone, abbreviation, offset in seconds) of every known zone; the latest use of an abbreviation wins.
+
+    A table of the time zone database, some thousand rows whatever the data; it is joined, not looked up for the roots at hand.
+    """
+    out: dict[tuple[str, str], int] = {}
+    for name in (*known_zones(), "UTC"):
+        zone = zoneinfo.ZoneInfo(name)
         for y in range(since, until):
-            for m in range(1, 13):
+            for m in (1, 2, 4, 5, 7, 8, 10, 11):
                 at = dt.datetime(y, m, 15, tzinfo=zone)
-                if at.tzname() and at.tzname()[0].isalpha():
-                    out[f"{name}|{at.tzname()}"] = int(at.utcoffset().total_seconds())
-    return out
+                if (short := at.tzname()) and short[0].isalpha():
+                    out[name, short] = int(at.utcoffset().total_seconds())
+    return tuple((z, a, s) for (z, a), s in sorted(out.items()))
 
 
-def known_zones() -> list[str]:
-    return sorted(z for z in zoneinfo.available_timezones() if "/" in z and not z.startswith(("posix/", "right/")))
+def with_abbreviation(df: DataFrame, zone: str, written: Column) -> DataFrame:
+    """Add ``_abbr_s``, the offset that the abbreviation ``written`` has in the zone, null where it has none."""
+    rows = df.sparkSession.createDataFrame(list(abbreviations()), "_az string, _aa string, _abbr_s int")
+    return df.join(rows, (F.col(zone) == F.col("_az")) & (written == F.col("_aa")), "left").drop("_az", "_aa")
 
 
-def to_instant(p: Column, zone: Column, abbr: dict[str, int]) -> Column:
-    """UTC instant of what ``parse`` read, in a root of the given zone."""
+def to_instant(p: Column, zone: Column, abbr_s: Column) -> Column:
+    """UTC instant of what ``parse`` read, in a root of the given zone; ``abbr_s`` is the offset of its abbreviation there."""
     local, z = p["local"], p["zone"]
     named = F.regexp_extract(z, r"^\[?([A-Za-z_]+(?:/[A-Za-z0-9_+-]+)+)\]?$", 1)
     bare = F.regexp_replace(z, r"\[[^\]]*\]$", "")
     hh, mm = _int(bare, OFFSET, 2), _int(bare, OFFSET, 3)
     seconds = F.when((hh <= 18) & (mm < 60), (hh * 3600 + mm * 60) * F.when(F.regexp_extract(bare, OFFSET, 1) == "-", -1).otherwise(1))
-    table = F.create_map(*[F.lit(x) for k, v in abbr.items() for x in (k, v)]) if abbr else F.create_map(F.lit(""), F.lit(0))
     known = F.array(*[F.lit(x) for x in known_zones()])
 
     def minus(sec: Column) -> Column:
@@ -189,7 +197,7 @@ def to_instant(p: Column, zone: Column, abbr: dict[str, int]) -> Column:
         F.when(bare.rlike(OFFSET), minus(seconds))
         .when(z.rlike(r"^\[?(?:Z|z|UTC|GMT|Etc/UTC)\]?$"), local)
         .when(named != "", F.when(F.array_contains(known, named), F.to_utc_timestamp(local, named)))
-        .when(z != "", minus(F.try_element_at(table, F.concat(zone, F.lit("|"), z))))
+        .when(z != "", minus(abbr_s))
         .otherwise(F.to_utc_timestamp(local, zone))
     )
     return F.coalesce(p["epoch"], F.when(local.isNotNull(), stated))
@@ -235,21 +243,29 @@ def evidence(stamps: DataFrame) -> DataFrame:
     return both.filter("abs(offset_s) <= 15 * 3600").groupBy("group", "hour", "offset_s").agg(F.count("*").alias("n"))
 
 
-def estimate_zones(ev: DataFrame, candidates: list[str], future: DataFrame | None = None) -> DataFrame:
-    """Per group the candidate zone whose offset history the evidence contradicts least.
+def estimate_zones(ev: DataFrame, future: DataFrame | None = None, preferred: DataFrame | None = None, names: DataFrame | None = None) -> DataFrame:
+    """Per group the zone of the time zone database whose offset history the evidence contradicts least.
 
     ``ev`` as of ``evidence``; ``future`` (group, local, seen_at, n) adds the rule that no stamp is later than
-    the time it was seen. Returns group, zone_name, violations, support. Ties go to the first name.
+    the time it was seen; ``names`` (group, abbr, n) that the zone must know the abbreviations written. Returns group, zone_name, violations, support. Many zones share a history; ties go to a zone
+    of ``preferred`` (zone_name), then to the first name.
     """
-    zones = F.explode(F.array(*[F.lit(z) for z in sorted(candidates)])).alias("zone_name")
+    zones = F.explode(F.array(*[F.lit(z) for z in (*known_zones(), "UTC")])).alias("zone_name")
     tested = ev.select("group", "hour", "offset_s", "n", zones)
     expected = F.unix_seconds(F.from_utc_timestamp("hour", F.col("zone_name"))) - F.unix_seconds("hour")
     tested = tested.select("group", "zone_name", "n", (expected != F.col("offset_s")).alias("bad"))
     if future is not None:
         late = future.select("group", zones, "n", "local", "seen_at")
         tested = tested.unionByName(late.select("group", "zone_name", "n", (F.to_utc_timestamp("local", F.col("zone_name")) > F.col("seen_at")).alias("bad")))
+    if names is not None:
+        known = with_abbreviation(names.select("group", "abbr", "n", zones), "zone_name", F.col("abbr"))
+        tested = tested.unionByName(known.select("group", "zone_name", "n", F.col("_abbr_s").isNull().alias("bad")))
     score = tested.groupBy("group", "zone_name").agg(F.sum(F.when(F.col("bad"), F.col("n")).otherwise(0)).alias("violations"), F.sum("n").alias("support"))
-    best = F.min_by(F.struct("zone_name", "violations", "support"), F.struct("violations", "zone_name"))
+    other = F.lit(0)
+    if preferred is not None:
+        score = score.join(preferred.select("zone_name", F.lit(0).alias("_p")).distinct(), "zone_name", "left")
+        other = F.coalesce("_p", F.lit(1))
+    best = F.min_by(F.struct("zone_name", "violations", "support"), F.struct("violations", other, "zone_name"))
     return score.groupBy("group").agg(best.alias("b")).select("group", "b.*")
 
 
@@ -258,37 +274,40 @@ def _stamps(df: DataFrame, path_col: str, seen: Column, roots: DataFrame) -> Dat
     one = with_root(df.withColumn("_seen", seen), path_col, roots)
     one = one.select(F.col("root_path").alias("group"), F.col(path_col).alias("path"), F.explode(F.array(parse(F.col("mod_time"), F.col("date_order")))).alias("p"), F.col("_seen").alias("seen_at"))
     own = F.regexp_replace("p.zone", r"\[[^\]]*\]$", "").rlike(OFFSET) | F.col("p.zone").rlike("^(Z|UTC|GMT)$") | F.col("p.epoch").isNotNull()
-    one = one.select("group", "path", F.col("p.local").alias("_local"), F.when(own, to_instant(F.col("p"), F.lit("UTC"), {})).alias("instant"), "seen_at", F.col("p.zone").alias("_zone"))
-    return one.filter("instant is not null or _zone = ''").drop("_zone")
+    one = one.select("group", "path", F.col("p.local").alias("_local"), F.when(own, to_instant(F.col("p"), F.lit("UTC"), F.lit(None).cast("int"))).alias("instant"), "seen_at", F.col("p.zone").alias("_zone"))
+    return one.filter("group is not null and (instant is not null or _local is not null)")
 
 
-def root_zones(file_entries: DataFrame, metadata_results: DataFrame, scan_roots: DataFrame) -> DataFrame:
-    """Estimated zone of every root next to the declared one: root_path, declared, zone_name, violations, support."""
-    zones = [r["zone_name"] for r in scan_roots.select("zone_name").filter("zone_name is not null").distinct().collect()]  # the roots' zones
-    candidates = sorted(set(zones) | {"UTC"})
+def root_zones(file_entries: DataFrame, metadata_results: DataFrame, scan_roots: DataFrame, only_missing: bool = False) -> DataFrame:
+    """Estimated zone of every root next to the declared one: root_path, declared, zone_name, violations, support.
+
+    Every zone of the database is a candidate. ``only_missing`` estimates only roots that declare none.
+    """
     parts = _stamps(file_entries, "path", F.col("scanned_at"), scan_roots).unionByName(_stamps(metadata_results, "file_path", F.lit(None).cast("timestamp"), scan_roots))
-    parts = parts.filter("group is not null")
+    declared = scan_roots.select(F.rtrim("root_path", F.lit("/")).alias("group"), F.col("zone_name").alias("declared"))
+    if only_missing:
+        parts = parts.join(declared.filter("declared is null").select("group"), "group", "left_semi")
+    parts = checkpoint(parts)  # slim rows, read three times below
+    names = parts.filter(F.col("_zone").rlike("^[A-Z]{2,5}$") & ~F.col("_zone").isin("Z", "UTC", "GMT")).groupBy("group", F.col("_zone").alias("abbr")).agg(F.count("*").alias("n"))
+    parts = parts.filter("instant is not null or _zone = ''")
     late = parts.filter("instant is null and _local is not null and seen_at is not null").groupBy("group", F.date_trunc("day", "_local").alias("local"), F.date_trunc("day", "seen_at").alias("seen_at")).agg(F.count("*").alias("n"))
     late = late.filter(F.col("seen_at") <= F.col("local") + F.expr("interval 2 days"))
-    found = estimate_zones(evidence(parts), candidates, late)
-    declared = scan_roots.select(F.rtrim("root_path", F.lit("/")).alias("group"), F.col("zone_name").alias("declared"))
+    found = estimate_zones(evidence(parts), late, scan_roots.filter("zone_name is not null").select("zone_name"), names)
     return declared.join(found, "group", "left").select(F.col("group").alias("root_path"), "declared", "zone_name", "violations", "support")
 
 
 def complete_roots(file_entries: DataFrame, metadata_results: DataFrame, scan_roots: DataFrame) -> DataFrame:
-    """``scan_roots`` with missing zones estimated; declared zones hold."""
+    """``scan_roots`` with missing zones estimated; declared zones hold. A root without any evidence stays without a zone."""
     if scan_roots.filter("zone_name is null").isEmpty():
         return scan_roots
-    est = root_zones(file_entries, metadata_results, scan_roots).select(F.col("root_path").alias("_g"), F.col("zone_name").alias("_z"))
+    est = root_zones(file_entries, metadata_results, scan_roots, only_missing=True).select(F.col("root_path").alias("_g"), F.col("zone_name").alias("_z"))
     out = scan_roots.join(est, F.rtrim("root_path", F.lit("/")) == F.col("_g"), "left")
-    return out.withColumn("zone_name", F.coalesce("zone_name", "_z")).drop("_g", "_z")
+    return checkpoint(out.withColumn("zone_name", F.coalesce("zone_name", "_z")).drop("_g", "_z"))  # a row per root, used in three plans
 
 
 def normalised(file_entries: DataFrame, metadata_results: DataFrame, links_results: DataFrame, scan_roots: DataFrame) -> DataFrame:
     """source_table, row_id, item_no, normal_form of every stamp that names a real instant or day."""
     roots = complete_roots(file_entries, metadata_results, scan_roots)
-    rows = bounded_rows(roots.select("zone_name").distinct()) or []
-    abbr = abbreviations([r["zone_name"] for r in rows if r["zone_name"]])
 
     def kept(value: Column) -> Column:
         """The value, dropping rows without one; a generator keeps Catalyst from parsing twice, for the filter and the result."""
@@ -296,7 +315,10 @@ def normalised(file_entries: DataFrame, metadata_results: DataFrame, links_resul
 
     def instants(df: DataFrame, name: str, id_col: str, path_col: str) -> DataFrame:
         one = with_root(df.select(id_col, path_col, "mod_time"), path_col, roots)
-        value = let(parse(F.col("mod_time"), F.col("date_order")), lambda p: utc_text(to_instant(p, F.col("zone_name"), abbr)))
+        # a generator, so that the stamp is parsed once and not again for the join and the result
+        one = one.select(id_col, "zone_name", F.explode(F.array(parse(F.col("mod_time"), F.col("date_order")))).alias("p"))
+        one = with_abbreviation(one, "zone_name", F.col("p.zone"))
+        value = utc_text(to_instant(F.col("p"), F.col("zone_name"), F.col("_abbr_s")))
         return one.select(F.lit(name).alias("source_table"), F.col(id_col).cast("bigint").alias("row_id"), F.lit(0).alias("item_no"), kept(value))
 
     files = instants(file_entries, "file_entries", "entry_id", "path")

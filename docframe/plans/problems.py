@@ -38,8 +38,14 @@ def p4_zones(spark: SparkSession, d: str) -> DataFrame:
     return timestamps.root_zones(files, meta, roots)
 
 
+def p4_estimated(spark: SparkSession, d: str) -> DataFrame:
+    """The same stamps with no root declaring its zone: every local time is decided by the estimate."""
+    files, meta, links, roots = _four(spark, d)
+    return timestamps.normalised(files, meta, links, roots.withColumn("zone_name", F.lit(None).cast("string")))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_cells, p2_summary, p4_found, p4_zones)}
+    return {f.__name__: f for f in (p2_found, p2_cells, p2_summary, p4_found, p4_zones, p4_estimated)}
 
 
 # A record as RFC 4180 has it, for one delimiter D; the four delimiters' patterns are joined by CASE.

@@ -1,4 +1,5 @@
 import datetime as dt
+import zoneinfo
 
 import pytest
 from pyspark.sql import functions as F
@@ -71,6 +72,20 @@ def test_estimated_zone(spark, roots):
     assert full["/data"] == "Asia/Tokyo" and full["/srv/a"] == "Europe/Berlin"
 
 
+def test_missing_zone_decides_rows(spark):
+    """Of a root without a zone every candidate of the time zone database is weighed; daylight saving and abbreviations included."""
+    zone = zoneinfo.ZoneInfo("America/Halifax")
+    instants = [dt.datetime(2021, 1 + i % 12, 5 + i % 20, i % 24, 7 + i % 40, 11, tzinfo=dt.timezone.utc) for i in range(48)]
+    rows = [(i, f"/x/f{i}", at.astimezone(zone).strftime("%Y-%m-%d %H:%M:%S")) for i, at in enumerate(instants)]
+    rows.append((99, "/x/g", "2021-07-01 12:00:00 ADT"))
+    files = spark.createDataFrame([(*r, None) for r in rows], "entry_id bigint, path string, mod_time string, scanned_at timestamp")
+    meta = spark.createDataFrame([(i, f"/x/f{i}", at.strftime("%Y-%m-%dT%H:%M:%SZ")) for i, at in enumerate(instants)], "meta_id bigint, file_path string, mod_time string")
+    links = spark.createDataFrame([], "links_id bigint, file_path string, dates array<string>")
+    roots = spark.createDataFrame([(1, "/x/", None, "dmy"), (2, "/y", None, None), (3, None, "UTC", None)], ROOT_SCHEMA)
+    got = {r["row_id"]: r["normal_form"] for r in t.normalised(files, meta, links, roots).filter("source_table = 'file_entries'").collect()}
+    assert got == {i: at.strftime("%Y-%m-%d %H:%M:%S") for i, at in enumerate(instants)} | {99: "2021-07-01 15:00:00"}
+
+
 def test_empty(spark, roots):
     assert utc(spark, roots, []) == [] and utc(spark, roots.limit(0), ["2021-07-01T12:00:00Z", "2021-07-01 12:00:00"]) == ["2021-07-01 12:00:00", None]
 
