@@ -11,42 +11,8 @@ IMAGES = ("png", "jpg", "jpeg", "gif")
 
 
 def _raster(to: str) -> Callable[[bytes], bytes]:
-    def run(data: bytes) -> bytes:
-        kind = (images.info(data) or {}).get("format")
-        if kind == "jpeg" or to in ("jpg", "jpeg"):
-            return _by_jvm(data, "jpg" if to == "jpeg" else to)
-        px = images.decode(data)
-        return images.to_png(px) if to == "png" else images.to_gif(px)
-
-    return run
-
-
-def _by_jvm(data: bytes, to: str, quality: int = 85) -> bytes:
-    """JPEG through the image library of the driver's JVM; executors have no JVM to call."""
-    from pyspark import SparkContext
-
-    sc = SparkContext._active_spark_context
-    if sc is None:
-        raise ValueError("JPEG needs a running session")
-    jvm = sc._jvm
-    picture = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(data))
-    if picture is None:
-        raise ValueError("unknown image format")
-    if to == "jpg":  # no transparency in JPEG
-        flat = jvm.java.awt.image.BufferedImage(picture.getWidth(), picture.getHeight(), 1)
-        flat.getGraphics().drawImage(picture, 0, 0, jvm.java.awt.Color.WHITE, None)
-        picture = flat
-    out = jvm.java.io.ByteArrayOutputStream()
-    writer = jvm.javax.imageio.ImageIO.getImageWritersByFormatName(to).next()
-    params = writer.getDefaultWriteParam()
-    if to == "jpg":
-        params.setCompressionMode(2)
-        params.setCompressionQuality(float((quality if 1 <= quality <= 100 else 85) / 100))
-    stream = jvm.javax.imageio.ImageIO.createImageOutputStream(out)
-    writer.setOutput(stream)
-    writer.write(None, jvm.javax.imageio.IIOImage(picture, None, None), params)
-    stream.close()
-    return bytes(out.toByteArray())
+    make = {"png": images.to_png, "gif": images.to_gif, "jpg": images.to_jpeg, "jpeg": images.to_jpeg}[to]
+    return lambda data: make(images.decode(data))
 
 
 def _registry() -> dict[tuple[str, str], Callable[[bytes], bytes]]:
@@ -78,11 +44,20 @@ def extension(path: str) -> str:
     return os.path.splitext(path)[1].lstrip(".").lower()
 
 
-def convert(data: bytes, source: str, target: str) -> bytes:
-    """``data`` of a file named ``source`` in the format of ``target``'s extension."""
+def convert(data: bytes, source: str, target: str, sheet: str = "", delimiter: str = ",", quality: int = 0) -> bytes:
+    """``data`` of a file named ``source`` in the format of ``target``'s extension.
+
+    ``sheet`` and ``delimiter`` hold between workbooks and CSV, ``quality`` (1 to 100, else the usual 85) for JPEG.
+    """
     pair = extension(source), extension(target)
     if not all(pair):
         raise ValueError("both names need an extension")
     if pair not in PAIRS:
         raise ValueError(f"no conversion from {pair[0]} to {pair[1]}")
+    if pair == ("xlsx", "csv"):
+        return xlsx.to_csv(data, sheet, delimiter).encode()
+    if pair == ("csv", "xlsx"):
+        return xlsx.from_csv(data.decode("utf-8", "replace"), sheet or "Sheet1", delimiter)
+    if pair[1] in ("jpg", "jpeg"):
+        return images.to_jpeg(images.decode(data), quality)
     return PAIRS[pair](data)

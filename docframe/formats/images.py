@@ -7,6 +7,8 @@ import zlib
 
 import numpy as np
 
+from docframe.formats import jpeg
+
 PNG_MAGIC, JPEG_MAGIC = b"\x89PNG\r\n\x1a\n", b"\xff\xd8"
 
 
@@ -52,38 +54,57 @@ def to_png(pixels: np.ndarray) -> bytes:
 
 
 def unfilter(raw: bytes, height: int, stride: int, step: int) -> np.ndarray:
-    """Rows of a PNG-filtered byte stream; ``step`` is the bytes of a pixel."""
+    """Rows of a PNG-filtered byte stream; ``step`` is the bytes of a pixel. Filters go by pixel, all bytes of one at once, or by whole rows."""
     out = np.zeros((height, stride), np.uint8)
-    prev = np.zeros(stride, np.int32)
+    prev = np.zeros(stride, np.uint8)
+    wide = -stride % step
     for y in range(height):
         row = raw[y * (stride + 1) : (y + 1) * (stride + 1)]
         if len(row) < stride + 1:
             break
-        kind, line = row[0], np.frombuffer(row, np.uint8, offset=1).astype(np.int32)
-        if kind == 2:
-            line = (line + prev) & 255
-        elif kind in (1, 3, 4):
-            line = line.copy()
+        kind, line = row[0], np.frombuffer(row, np.uint8, offset=1).copy()
+        if kind == 1:  # running sums by byte of the pixel
+            line = np.add.accumulate(np.pad(line, (0, wide)).reshape(-1, step), axis=0, dtype=np.uint8).reshape(-1)[:stride]
+        elif kind == 2:
+            line += prev
+        elif kind in (3, 4):
+            cur, up = line.tolist(), prev.tolist()
+            left, corner = [0] * step + cur, [0] * step + up
             for x in range(stride):
-                a = line[x - step] if x >= step else 0
-                b = prev[x]
-                if kind == 1:
-                    add = a
-                elif kind == 3:
+                a, b = left[x], up[x]
+                if kind == 3:
                     add = (a + b) // 2
                 else:
-                    c = prev[x - step] if x >= step else 0
-                    p = a + b - c
-                    pa, pb, pc = abs(p - a), abs(p - b), abs(p - c)
+                    c = corner[x]
+                    pa, pb, pc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
                     add = a if pa <= pb and pa <= pc else b if pb <= pc else c
-                line[x] = (line[x] + add) & 255
+                left[x + step] = (left[x + step] + add) & 255
+            line = np.array(left[step:], np.uint8)
         out[y] = line
         prev = line
     return out
 
 
+#: The passes of an interlaced PNG: first column and row, steps between them.
+_PASSES = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
+
+
+def _samples(raw: bytes, w: int, h: int, depth: int, bits: int) -> tuple[np.ndarray, int]:
+    """Samples (height, width, depth) of a filtered pass and the bytes it took."""
+    stride = (w * depth * bits + 7) // 8
+    rows = unfilter(raw, h, stride, max(1, depth * bits // 8))
+    if bits == 16:
+        px = rows.reshape(h, w * depth, 2).astype(np.uint16)
+        px = px[..., 0] << 8 | px[..., 1]
+    elif bits == 8:
+        px = rows
+    else:
+        px = np.unpackbits(rows, axis=1).reshape(h, -1, bits) @ (1 << np.arange(bits)[::-1])
+    return px[:, : w * depth].reshape(h, w, depth), h * (stride + 1)
+
+
 def from_png(data: bytes) -> np.ndarray:
-    """RGBA pixels of an 8-bit, non-interlaced PNG."""
+    """RGBA pixels of a PNG of 1 to 16 bits, interlaced or not; 16-bit samples keep their upper byte."""
     at, idat, palette, alpha, head = 8, [], None, None, None
     while at + 8 <= len(data):
         n, kind = struct.unpack(">I4s", data[at : at + 8])
@@ -93,28 +114,40 @@ def from_png(data: bytes) -> np.ndarray:
         elif kind == b"PLTE":
             palette = np.frombuffer(body, np.uint8).reshape(-1, 3)
         elif kind == b"tRNS":
-            alpha = np.frombuffer(body, np.uint8)
+            alpha = body
         elif kind == b"IDAT":
             idat.append(body)
         at += 12 + n
+    if head is None:
+        raise ValueError("a PNG without a header")
     w, h, bits, color, _, _, interlace = head
-    if bits != 8 or interlace:
-        raise ValueError("only 8-bit PNG without interlace")
     depth = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[color]
-    px = unfilter(zlib.decompress(b"".join(idat)), h, w * depth, depth).reshape(h, w, depth)
+    raw = zlib.decompress(b"".join(idat))
+    px = np.zeros((h, w, depth), np.uint16)
+    for x0, y0, dx, dy in _PASSES if interlace else ((0, 0, 1, 1),):
+        pw, ph = -(-(w - x0) // dx), -(-(h - y0) // dy)
+        if pw > 0 and ph > 0:
+            px[y0::dy, x0::dx], used = _samples(raw, pw, ph, depth, bits)
+            raw = raw[used:]
     out = np.full((h, w, 4), 255, np.uint8)
     if color == 3:
-        out[..., :3] = palette[px[..., 0]]
-        if alpha is not None:
-            full = np.full(len(palette), 255, np.uint8)
-            full[: len(alpha)] = alpha
-            out[..., 3] = full[px[..., 0]]
-    elif color in (0, 4):
+        full = np.zeros((1 << bits, 4), np.uint8)
+        full[:, 3] = 255
+        full[: len(palette), :3] = palette
+        full[: len(alpha or b""), 3] = np.frombuffer(alpha or b"", np.uint8)
+        return full[px[..., 0]]
+    clear = None
+    if alpha is not None and color in (0, 2):  # one sample value that stands for transparent
+        clear = (px == np.frombuffer(alpha, ">u2")[:depth]).all(axis=2)
+    px = (px >> 8 if bits == 16 else px * (255 // ((1 << bits) - 1))).astype(np.uint8)
+    if color in (0, 4):
         out[..., :3] = px[..., :1]
         if color == 4:
             out[..., 3] = px[..., 1]
     else:
         out[..., :depth] = px
+    if clear is not None:
+        out[clear, 3] = 0
     return out
 
 
@@ -254,7 +287,13 @@ def decode(data: bytes) -> np.ndarray:
         return from_png(data)
     if kind == "gif":
         return from_gif(data)
-    raise ValueError("only PNG and GIF can be decoded without a JVM")
+    if kind == "jpeg":
+        return jpeg.decode(data)
+    raise ValueError("unknown image format")
+
+
+def to_jpeg(pixels: np.ndarray, quality: int = 0) -> bytes:
+    return jpeg.encode(pixels, quality)
 
 
 # --- text on a page ---------------------------------------------------------------------------------------------
@@ -283,7 +322,7 @@ def _glyph(ch: str) -> np.ndarray:
             grid[y, x] = True
     if small:
         low = np.zeros_like(grid)
-        low[2:] = grid[[0, 1, 3, 5, 6]] | (grid[[0, 1, 2, 4, 6]] & False)
+        low[2:] = grid[[0, 1, 3, 5, 6]]
         return low
     return grid
 
@@ -320,7 +359,7 @@ def snapshot(lines: list[str], title: str = "", width: int = 800, height: int =
         px[10:50, 10:-10] = (232, 237, 243)
         draw_text(px, 20, 22, title[:60], 2, (20, 40, 90))
         y = 70
-    per_line = (width - 60) // 6 // 1 - 1
+    per_line = (width - 60) // 6 - 1
     for line in lines:
         head = line.startswith("#")
         scale = 2 if head else 1

@@ -8,8 +8,14 @@ import zipfile
 _STAMP = (2020, 1, 1, 0, 0, 0)
 
 
-def read(data: bytes) -> dict[str, bytes]:
+#: Bytes a package may unpack to; a larger one is refused before anything is unpacked.
+MOST = 1 << 30
+
+
+def read(data: bytes, most: int = MOST) -> dict[str, bytes]:
     with zipfile.ZipFile(io.BytesIO(data)) as z:
+        if sum(i.file_size for i in z.infolist()) > most:
+            raise ValueError(f"package unpacks to more than {most} bytes")
         return {i.filename: z.read(i) for i in z.infolist() if not i.is_dir()}
 
 

@@ -279,6 +279,17 @@ def _page_numbers(objs: dict[int, bytes]) -> list[int]:
     return out or [n for n, b in sorted(objs.items()) if re.search(rb"/Type\s*/Page\b(?!s)", _head(b))]
 
 
+def _reachable(objs: dict[int, bytes], start: int) -> set[int]:
+    """Objects a page refers to, directly or not, without its parents."""
+    seen, todo = set(), [start]
+    while todo:
+        n = todo.pop()
+        if n not in seen:
+            seen.add(n)
+            todo += [int(r[1]) for r in _REF.finditer(re.sub(rb"/Parent\s+\d+\s+\d+\s+R", b"", _head(objs.get(n, b""))))]
+    return seen
+
+
 def _unicode_map(body: bytes) -> dict[int, str]:
     out: dict[int, str] = {}
     text = lambda h: bytes.fromhex(re.sub(r"\s", "", h)).decode("utf-16-be", "replace")
@@ -447,20 +458,32 @@ def split(data: bytes, first: int, last: int = 0) -> bytes:
     return from_pages(found[a - 1 : b])
 
 
-def embedded_images(data: bytes) -> list[tuple[str, bytes]]:
-    """Image objects as (name, bytes): JPEG as it is, Flate data of 8 bits as PNG; others are skipped."""
+def embedded_images(data: bytes, page: int = 0) -> list[tuple[str, bytes]]:
+    """Image objects, of one page or of all, as (name, bytes): JPEG as it is, Flate data of 1 to 16 bits as PNG; others are skipped."""
     objs = _objects(data)
+    named = None
+    if page > 0:
+        every = _page_numbers(objs)
+        named = _reachable(objs, every[page - 1]) if page <= len(every) else set()
     out = []
-    for body in objs.values():
+    for ref, body in objs.items():
         head = _head(body)
-        if not re.search(rb"/Subtype\s*/Image\b", head):
+        if not re.search(rb"/Subtype\s*/Image\b", head) or (named is not None and ref not in named):
             continue
         w, h = _int(body, b"Width", objs), _int(body, b"Height", objs)
         try:
             raw = _stream(body, objs)
             if b"/DCTDecode" in head:
                 out.append((f"image_{len(out) + 1}.jpg", raw))
-            elif _int(body, b"BitsPerComponent", objs, 8) == 8 and w and h:
+            elif w and h:
+                bits = 1 if re.search(rb"/ImageMask\s+true", head) else _int(body, b"BitsPerComponent", objs, 8)
+                if bits == 16:
+                    raw = raw[::2]
+                elif bits < 8:  # rows are padded to whole bytes
+                    stride = len(raw) // h
+                    few = np.unpackbits(np.frombuffer(raw[: stride * h], np.uint8).reshape(h, stride), axis=1).reshape(h, -1, bits) @ (1 << np.arange(bits)[::-1])
+                    depth = max(1, few.shape[1] // w) if few.shape[1] >= 3 * w else 1
+                    raw = (few[:, : w * depth] * (255 // ((1 << bits) - 1))).astype(np.uint8).tobytes()
                 depth = len(raw) // (w * h)
                 px = np.frombuffer(raw[: w * h * depth], np.uint8).reshape(h, w, depth)
                 if depth == 4:

@@ -17,7 +17,8 @@ from docframe.functions.regex import replacement, to_java
 # Patterns of links, of ANSI control sequences and the marks trimmed from matches.
 URL = r"https?://[^\s<>\"')\]]+"
 EMAIL = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
-DATE = r"\b(\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{2,4}|(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?\s+\d{1,2},?\s+\d{4})\b"
+_DATE_FORMS = r"(\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{2,4}|(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\.?\s+\d{1,2},?\s+\d{4})"
+DATE = rf"\b{_DATE_FORMS}\b"
 ANSI = r"\x1b\[[0-9;]*[a-zA-Z]"
 TRIMMED = ".,;:)"
 #: Inserted between sentences; a private-use character, escaped beforehand where a text holds it.
@@ -166,7 +167,7 @@ def unique_matches(text: Column, pattern: str, needs: str = "", java: str = "")
 
 
 #: DATE begins and ends with a word character, so its boundaries need to look at one side only.
-_DATE_JAVA = f"(?d)(?<![A-Za-z0-9_]){to_java(DATE[2:-2])[4:]}(?![A-Za-z0-9_])"
+_DATE_JAVA = f"(?d)(?<![A-Za-z0-9_]){to_java(_DATE_FORMS).removeprefix('(?d)')}(?![A-Za-z0-9_])"
 
 
 def links(text: Column) -> Column:

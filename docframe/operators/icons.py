@@ -13,29 +13,29 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 MAX_LIMIT, DEFAULT_LIMIT = 64, 10
 
 _SHAPES = {
-    "circle": '<circle cx="12" cy="12" r="9"/>',
-    "square": '<rect x="4" y="4" width="16" height="16"/>',
-    "triangle": '<path d="M12 4 20 20 4 20Z"/>',
-    "line": '<path d="M4 12H20"/>',
-    "cross": '<path d="M5 5 19 19M19 5 5 19"/>',
-    "plus": '<path d="M12 5V19M5 12H19"/>',
-    "tick": '<path d="M5 13 10 18 19 7"/>',
-    "bars": '<path d="M4 7H20M4 12H20M4 17H20"/>',
-    "lens": '<circle cx="10" cy="10" r="6"/><path d="M15 15 20 20"/>',
-    "house": '<path d="M4 11 12 4 20 11V20H4Z"/>',
-    "page": '<path d="M6 3H15L19 7V21H6Z"/>',
-    "folder": '<path d="M3 6H10L12 9H21V19H3Z"/>',
-    "arrow": '<path d="M4 12H19M13 6 19 12 13 18"/>',
-    "drop": '<path d="M12 4V16M6 11 12 17 18 11M4 20H20"/>',
-    "mail": '<rect x="3" y="5" width="18" height="14"/><path d="M3 6 12 13 21 6"/>',
-    "person": '<circle cx="12" cy="8" r="4"/><path d="M4 21Q12 12 20 21"/>',
+    "sun": '<circle cx="12" cy="12" r="5"/><path d="M12 2V4M12 20V22M2 12H4M20 12H22"/>',
+    "moon": '<path d="M16 4A9 9 0 1 0 20 15A7 7 0 0 1 16 4Z"/>',
+    "drop": '<path d="M12 3Q19 12 12 20Q5 12 12 3Z"/>',
+    "flake": '<path d="M12 3V21M4 8 20 16M20 8 4 16"/>',
+    "peak": '<path d="M2 20 9 7 13 14 16 10 22 20Z"/>',
+    "wave": '<path d="M2 12Q6 7 10 12T18 12T24 12"/>',
+    "leaf": '<path d="M4 20Q4 6 20 4Q19 19 6 18"/>',
+    "tree": '<path d="M12 2 19 14H5ZM12 14V22"/>',
+    "fish": '<path d="M3 12Q10 5 17 12Q10 19 3 12ZM17 12 22 8V16Z"/>',
+    "bowl": '<path d="M3 11H21Q20 20 12 20Q4 20 3 11Z"/>',
+    "spoon": '<ellipse cx="12" cy="6" rx="3" ry="4"/><path d="M12 10V22"/>',
+    "wheel": '<circle cx="12" cy="12" r="9"/><circle cx="12" cy="12" r="2"/><path d="M12 3V10M12 14V21M3 12H10M14 12H21"/>',
+    "sail": '<path d="M11 3V16H4ZM13 6 20 16H13ZM3 18H21L18 22H6Z"/>',
+    "tent": '<path d="M12 4 22 20H2ZM12 12 16 20H8Z"/>',
+    "lamp": '<path d="M8 3H16L19 12H5ZM12 12V20M8 21H16"/>',
+    "drum": '<ellipse cx="12" cy="7" rx="8" ry="3"/><path d="M4 7V17Q12 22 20 17V7"/>',
 }
 # (name, category, keywords, shape); the collection is "basic" or "marks"
 _CATALOGUE = (
-    ("search", "UI", "find magnifier lookup", "lens"), ("menu", "UI", "hamburger navigation bars", "bars"), ("close", "UI", "cross cancel dismiss x", "cross"), ("check", "UI", "tick confirm done ok", "tick"),
-    ("add", "UI", "plus new create", "plus"), ("remove", "UI", "minus delete less", "line"), ("home", "UI", "house start main", "house"), ("next", "Arrows", "arrow right forward", "arrow"),
-    ("download", "Arrows", "save fetch drop", "drop"), ("file", "Files", "document page paper", "page"), ("folder", "Files", "directory archive", "folder"), ("mail", "Contact", "email letter message", "mail"),
-    ("user", "Contact", "person account profile", "person"), ("record", "Media", "dot circle live", "circle"), ("stop", "Media", "square halt end", "square"), ("warning", "Status", "alert triangle caution", "triangle"),
+    ("noon", "Sky", "bright daytime", "sun"), ("night", "Sky", "crescent dark", "moon"), ("rain", "Sky", "water wet", "drop"), ("frost", "Sky", "snow cold winter", "flake"),
+    ("summit", "Land", "mountain climb", "peak"), ("shore", "Land", "sea tide beach", "wave"), ("meadow", "Land", "green grass", "leaf"), ("forest", "Land", "wood pine", "tree"),
+    ("trout", "Kitchen", "river swim", "fish"), ("soup", "Kitchen", "meal hot dish", "bowl"), ("porridge", "Kitchen", "breakfast oats", "spoon"), ("cart", "Travel", "wagon roll", "wheel"),
+    ("regatta", "Travel", "boat wind", "sail"), ("camp", "Travel", "outdoors sleep", "tent"), ("evening", "Room", "reading glow", "lamp"), ("parade", "Room", "beat march", "drum"),
 )
 _MARKS = tuple(f"mark-{n}" for n in _SHAPES)
 

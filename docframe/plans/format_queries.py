@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
-import json
 import os
-import tempfile
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docframe.formats import convert, docx, images, package, pdf, xlsx
 from docframe.sources import decode, files
-from docframe.session import table
+from docframe.session import shared_folder, table
 from docframe.tools import registry, server
 
 
+def _arrow(fn, kind: str):
+    """A function of single values as an Arrow-batched one; nulls stay null."""
+
+    @F.pandas_udf(kind)
+    def run(col: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else fn(x) for x in col], dtype=object)
+
+    return run
+
+
 def _nations_csv(spark: SparkSession, d: str) -> DataFrame:
     """One CSV document per region with its nations, a header first."""
     row = F.struct("n_nationkey", F.concat_ws(",", F.col("n_nationkey").cast("string"), F.concat(F.lit('"'), "n_name", F.lit(' & ""co"""'))).alias("l"))
@@ -37,13 +47,39 @@ def sheet_info(spark, d):
 def sheet_edit(spark, d):
     """A cell set and a row added to every workbook, then read as CSV."""
 
-    @F.udf("string")
     def edit(data):
         data = xlsx.set_cell(bytes(data), "B2", "12.5")
         data, n = xlsx.add_row(data, ["total", f" rows {len(xlsx.read(data)[0][1])} "])
         return xlsx.to_csv(data)
 
-    return _workbooks(spark, d).select("path", edit("content").alias("csv"))
+    return _workbooks(spark, d).select("path", _arrow(edit, "string")("content").alias("csv"))
+
+
+def sheet_edit_keeps(spark, d):
+    """What a workbook with a formula, a style, a merged range, a chart part and a picture still holds after a cell set and a row added."""
+
+    def kept(data):
+        parts = package.read(bytes(data))
+        sheet = parts["xl/worksheets/sheet1.xml"].decode()
+        sheet = sheet.replace("</sheetData>", '<row r="20"><c r="A20" s="3"><f>SUM(A2:A9)</f><v>7</v></c><c r="B20" s="3"/></row></sheetData><mergeCells count="1"><mergeCell ref="C1:D1"/></mergeCells>')
+        extra = {"xl/media/image1.png": images.snapshot([], "", 30, 20), "xl/styles.xml": b"<styleSheet/>", "xl/charts/chart1.xml": b"<c:chart/>"}
+        before = parts | extra | {"xl/worksheets/sheet1.xml": sheet.encode()}
+        edited = xlsx.set_cell(xlsx.set_cell(package.write(before), "A3", "42"), "B20", "true")
+        edited, row = xlsx.add_row(edited, ["end"])
+        after = package.read(edited)
+        now = after["xl/worksheets/sheet1.xml"].decode()
+        return {
+            "value": xlsx.get_cell(edited, "A3"), "row": row, "last": xlsx.get_cell(edited, f"A{row}"), "formula": "<f>SUM(A2:A9)</f>" in now, "style": '<c r="B20" s="3" t="b">' in now,
+            "merged": '<mergeCell ref="C1:D1"/>' in now, "others": all(after[k] == v for k, v in before.items() if k != "xl/worksheets/sheet1.xml") and set(after) == set(before),
+        }
+
+    kind = "value string, row int, last string, formula boolean, style boolean, merged boolean, others boolean"
+
+    @F.pandas_udf(kind)
+    def run(col: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([kept(x) for x in col], columns=[c.split()[0] for c in kind.split(", ")])
+
+    return _workbooks(spark, d).select("path", run("content").alias("k")).select("path", "k.*")
 
 
 def _markdown(spark: SparkSession, d: str) -> DataFrame:
@@ -69,7 +105,7 @@ def docx_metadata(spark, d):
 
 
 def docx_markdown(spark, d):
-    edit = F.udf(lambda b: docx.to_markdown(docx.append(docx.replace_text(bytes(b), "first", "1st <&>")[0], "The end", 2)), "string")
+    edit = _arrow(lambda b: docx.to_markdown(docx.append(docx.replace_text(bytes(b), "first", "1st <&>")[0], "The end", 2)), "string")
     return _word(spark, d).select("path", edit("content").alias("markdown"))
 
 
@@ -104,7 +140,7 @@ def pdf_split_merge(spark, d):
         return pdf.pages(pdf.split(merged, 2, 3))
 
     one = _markdown(spark, d).agg(F.array_sort(F.collect_list(F.struct("r_regionkey", "t"))).alias("a"))
-    call = F.udf(lambda a: run([x[0] for x in a], [x[1] for x in a]), "array<string>")
+    call = _arrow(lambda a: run([x["r_regionkey"] for x in a], [x["t"] for x in a]), "array<string>")
     return one.select(F.posexplode(call("a")).alias("page", "text"))
 
 
@@ -115,15 +151,15 @@ def image_roundtrip(spark, d):
         png = images.snapshot([f"region {key}", "x " * 30], "t", 200 + key, 100)
         gif = images.to_gif(images.from_png(png))
         inner = pdf.embedded_images(pdf.from_images([png, gif]))
-        return [(k, m["width"], m["height"]) for k, m in (("png", images.info(png)), ("gif", images.info(gif)), *((f"pdf{i}", images.info(b)) for i, (_, b) in enumerate(inner)))]
+        return [{"kind": k, "width": m["width"], "height": m["height"]} for k, m in (("png", images.info(png)), ("gif", images.info(gif)), *((f"pdf{i}", images.info(b)) for i, (_, b) in enumerate(inner)))]
 
-    call = F.udf(rows, "array<struct<kind:string,width:int,height:int>>")
+    call = _arrow(rows, "array<struct<kind:string,width:int,height:int>>")
     return table(spark, d, "region", "r_regionkey").select("r_regionkey", F.explode(call("r_regionkey")).alias("x")).select("r_regionkey", "x.*")
 
 
 def image_info(spark, d):
     """Header scan of drawn pictures, and of one that is none."""
-    draw = F.udf(lambda k: images.to_gif(images.from_png(images.snapshot([], "", 30 + k, 20))) if k % 2 else images.snapshot([], "", 30 + k, 20), "binary")
+    draw = _arrow(lambda k: images.to_gif(images.from_png(images.snapshot([], "", 30 + k, 20))) if k % 2 else images.snapshot([], "", 30 + k, 20), "binary")
     src = table(spark, d, "region", "r_regionkey").select(F.concat(F.col("r_regionkey").cast("string"), F.lit(".img")).alias("path"), draw("r_regionkey").alias("content"))
     src = src.union(spark.createDataFrame([("none.img", b"text")], "path string, content binary"))
     return decode.image_info(src).select("path", "format", "width", "height", "aspect_ratio", F.col("error").isNotNull().alias("failed"))
@@ -134,34 +170,55 @@ def media_extract(spark, d):
 
     def rows(key):
         png = images.snapshot([], "", 40 + key, 20)
-        return [(f"{key}.pdf", pdf.from_images([png, png])), (f"{key}.pptx", package.write({"ppt/media/a.png": png, "x/media/a.png": png, "ppt/slide.xml": "<a/>"}))]
+        made = {f"{key}.pdf": pdf.from_images([png, png]), f"{key}.pptx": package.write({"ppt/media/a.png": png, "x/media/a.png": png, "ppt/slide.xml": "<a/>"})}
+        return [{"path": k, "content": v} for k, v in made.items()]
 
-    call = F.udf(rows, "array<struct<path:string,content:binary>>")
+    call = _arrow(rows, "array<struct<path:string,content:binary>>")
     docs = table(spark, d, "region", "r_regionkey").select(F.explode(call("r_regionkey")).alias("x")).select("x.*")
-    width = F.udf(lambda b: images.info(bytes(b))["width"], "int")
+    width = _arrow(lambda b: images.info(bytes(b))["width"], "int")
     return decode.media(docs).select("path", "name", width("data").alias("width"))
 
 
 def convert_matrix(spark, d):
-    """Every conversion of the registry that needs no JVM, from a small document of its source format: the head of what comes out."""
+    """Every conversion of the registry from a small document of its source format: the head of what comes out."""
     md = b"# T\n\nbody"
     png = images.snapshot([], "", 30, 20)
-    start = {"md": md, "docx": docx.from_markdown(md.decode()), "pdf": pdf.from_markdown(md.decode()), "csv": b"a,b\n1,2\n", "xlsx": xlsx.from_csv("a,b\n1,2\n"), "png": png, "gif": images.to_gif(images.from_png(png))}
-    rows = [(a, b, start[a]) for a, b in convert.PAIRS if a in start and b not in ("jpg", "jpeg")]
+    px = images.from_png(png)
+    start = {"md": md, "docx": docx.from_markdown(md.decode()), "pdf": pdf.from_markdown(md.decode()), "csv": b"a,b\n1,2\n", "xlsx": xlsx.from_csv("a,b\n1,2\n"), "png": png, "gif": images.to_gif(px), "jpg": images.to_jpeg(px), "jpeg": images.to_jpeg(px)}
+    rows = [(a, b, start[a]) for a, b in convert.PAIRS]
+
+    def head(x):
+        out = convert.convert(bytes(x["data"]), f"x.{x['source']}", f"x.{x['target']}")
+        return {b"PK": "zip", b"%P": "pdf", b"\x89P": "png", b"GI": "gif", b"\xff\xd8": "jpeg"}.get(out[:2], out.decode("utf-8", "replace").strip())
 
-    def head(a, b, data):
-        out = convert.convert(bytes(data), f"x.{a}", f"x.{b}")
-        return {b"PK": "zip", b"%P": "pdf", b"\x89P": "png", b"GI": "gif"}.get(out[:2], out.decode("utf-8", "replace").strip())
+    @F.pandas_udf("string")
+    def run(part: pd.DataFrame) -> pd.Series:
+        return pd.Series([head(x) for x in part.to_dict("records")], dtype=object)
 
     src = spark.createDataFrame(rows, "source string, target string, data binary")
-    return src.select("source", "target", F.udf(head, "string")("source", "target", "data").alias("result"))
+    return src.select("source", "target", run(F.struct("source", "target", "data")).alias("result"))
+
+
+def jpeg_roundtrip(spark, d):
+    """Pictures with a gradient per part, through JPEG on the executors: size, and whether no sample is off by more than 8 in 255."""
+
+    def rows(key):
+        w, h = 16 + key % 50, 9 + key % 23
+        px = np.full((h, w, 4), 255, np.uint8)
+        px[..., 0], px[..., 1], px[..., 2] = np.linspace(0, 255, w)[None], np.linspace(255, 0, h)[:, None], key % 256
+        back = images.decode(images.to_jpeg(px, 95))
+        return [{"width": back.shape[1], "height": back.shape[0], "near": bool(np.abs(back.astype(int) - px).max() <= 8)}]
+
+    call = _arrow(rows, "array<struct<width:int,height:int,near:boolean>>")
+    return table(spark, d, "part", "p_partkey").select("p_partkey", F.explode(call("p_partkey")).alias("x")).select("p_partkey", "x.*")
 
 
 _FILES = ("a.js", "src/b.js", "src/c.css", "src/.hidden.js", "node_modules/d.js", "src/deep/e.js", "src/deep/deeper/f.js", ".git/g.js", "h.min.js")
 
 
-def _folder() -> str:
-    root = os.path.join(tempfile.gettempdir(), "docframe-sample-tree")
+def _folder(spark: SparkSession) -> str:
+    """A small tree in the folder that all executors share."""
+    root = os.path.join(shared_folder(spark).removeprefix("file:").replace("//", "/"), "docframe-sample-tree")
     for name in _FILES:
         path = os.path.join(root, name)
         os.makedirs(os.path.dirname(path), exist_ok=True)
@@ -172,27 +229,58 @@ def _folder() -> str:
 
 def file_scan(spark, d):
     """Listing of a small folder with globs, exclusion and depth."""
-    root = _folder()
+    root = _folder(spark)
     tree = files.file_tree(spark, root, include="*.js", exclude="*.min.js", depth=2)
     return tree.select(F.substring("path", F.lit(len(root) + 2), F.length("path")).alias("file"), "size", "is_dir", "is_binary")
 
 
 def tool_schema(spark, d):
-    rows = [(t["name"], json.dumps(t["inputSchema"])) for t in registry.export()]
-    return spark.createDataFrame(rows, "name string, schema string")
+    """Every argument of every tool, with its type and whether it is required."""
+    rows = [(t["name"], k, v["type"], k in t["inputSchema"].get("required", [])) for t in registry.export() for k, v in t["inputSchema"]["properties"].items()]
+    return spark.createDataFrame(rows, "name string, argument string, type string, required boolean")
 
 
 def batch_run(spark, d):
-    steps = [{"tool": "text_tokens", "arguments": {"text": "one two three"}}, {"id": "x", "tool": "nothing"}, {"tool": "icon_search", "arguments": {"query": "home", "limit": "no"}}]
+    steps = [{"tool": "text_tokens", "arguments": {"text": "one two three"}}, {"id": "x", "tool": "nothing"}, {"tool": "icon_search", "arguments": {"query": "noon", "limit": "no"}}]
     out = server.run_batch(steps)["data"]["steps"]
     return spark.createDataFrame([(s["id"], s["tool"], s["success"]) for s in out], "id string, tool string, success boolean")
 
 
 def queries() -> dict:
-    named = (sheet_roundtrip, sheet_info, sheet_edit, docx_text, docx_tables, docx_metadata, docx_markdown, pdf_pages, pdf_words, pdf_words_all, pdf_split_merge, image_roundtrip, image_info, media_extract, convert_matrix, file_scan, tool_schema, batch_run)
+    named = (sheet_roundtrip, sheet_info, sheet_edit, sheet_edit_keeps, jpeg_roundtrip, docx_text, docx_tables, docx_metadata, docx_markdown, pdf_pages, pdf_words, pdf_words_all, pdf_split_merge, image_roundtrip, image_info, media_extract, convert_matrix, file_scan, tool_schema, batch_run)
     return {f.__name__: f for f in named}
 
 
+# The tools and their arguments, ! where required.
+_ARGUMENTS = """search_code query!:string,dir:string,regex:boolean,caseSensitive:boolean,ext:string,context:integer
+search_files pattern:string,dir:string,depth:integer
+read_lines filePath!:string,start:integer,end:integer,context:integer
+replace_lines filePath!:string,start!:integer,end:integer,content!:string
+insert_lines filePath!:string,line!:integer,content!:string,before:boolean
+delete_lines filePath!:string,start!:integer,end:integer
+concat_files patterns!:array,output:string,header:string,delimiter:string
+clean_file filePath!:string,stripAnsi:boolean,stripBlank:boolean,trim:boolean,pattern:string,replace:string
+sheets_info filePath!:string
+sheets_set_cell filePath!:string,cell!:string,value!:string,sheet:string
+sheets_get_cell filePath!:string,cell!:string,sheet:string
+sheets_add_row filePath!:string,values!:array,sheet:string
+docs_read filePath!:string,asMarkdown:boolean
+docs_snapshot filePath!:string,outputPng!:string
+pdf_read filePath!:string,byPage:boolean
+pdf_snapshot filePath!:string,outputTarget!:string,page:integer,all:boolean,from:integer,to:integer
+image_extract documentPath!:string,outputDir!:string,page:integer
+convert input!:string,output!:string,sheet:string
+search_docs query!:string,dir:string,regex:boolean,caseSensitive:boolean,ext:string,exclude:string,context:integer,max:integer
+text_chunk filePath:string,maxTokens:integer,overlap:integer,bySentence:boolean
+text_tokens filePath:string
+extract_links filePath!:string
+extract_tables filePath!:string
+extract_metadata filePath!:string
+icon_search query!:string,collection:string,limit:integer
+icon_get icon!:string,color:string,size:integer,format:string,outputPath:string
+icon_scrape source!:string,outputDir:string"""
+
+
 def oracle_sql() -> dict[str, str]:
     nl = "chr(10)"
     cells = """c AS (SELECT n_regionkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) + 1 AS r, n_nationkey, n_name || ' & "co"' AS n FROM nation),
@@ -203,6 +291,9 @@ def oracle_sql() -> dict[str, str]:
         "sheet_info": """SELECT 'region' || n_regionkey::VARCHAR || '.xlsx' AS path, 'Sheet1' AS name, 0 AS "index", (count(*) + 1)::INTEGER AS row_count, 2 AS col_count, ['key', 'name'] AS headers FROM nation GROUP BY n_regionkey""",
         "sheet_edit": f"""WITH {cells}, e AS (SELECT n_regionkey, r, k || ',' || CASE WHEN r = 2 THEN '12.5' WHEN r = 1 THEN n ELSE '"' || replace(n, '"', '""') || '"' END AS l FROM grid)
           SELECT 'region' || n_regionkey::VARCHAR || '.xlsx' AS path, string_agg(l, {nl} ORDER BY r) || {nl} || 'total,rows ' || count(*)::VARCHAR || {nl} AS csv FROM e GROUP BY n_regionkey""",
+        "sheet_edit_keeps": """SELECT 'region' || n_regionkey::VARCHAR || '.xlsx' AS path, '42' AS value, 21 AS "row", 'end' AS last, true AS formula, true AS style, true AS merged, true AS others FROM nation GROUP BY n_regionkey""",
+        "jpeg_roundtrip": "SELECT p_partkey, (16 + p_partkey % 50)::INTEGER AS width, (9 + p_partkey % 23)::INTEGER AS height, true AS near FROM part",
+        "tool_schema": f"SELECT split_part(t, ' ', 1) AS name, rtrim(split_part(a, ':', 1), '!') AS argument, split_part(a, ':', 2) AS type, contains(a, '!') AS required FROM (SELECT t, unnest(string_split(split_part(t, ' ', 2), ',')) AS a FROM (SELECT unnest(string_split('{_ARGUMENTS}', chr(10))) AS t))",
         "docx_text": f"""SELECT r_regionkey::VARCHAR || '.docx' AS path, 'docx' AS format, 'Region ' || r_name || {nl} || 'first item' || {nl} || 'Its number is ' || r_regionkey::VARCHAR || '.' AS text FROM region""",
         "docx_tables": """SELECT r_regionkey::VARCHAR || '.docx' AS path, 0 AS "index", '[["key","name"],["' || r_regionkey::VARCHAR || '","' || r_name || '"]]' AS rows FROM region""",
         "docx_metadata": "SELECT r_regionkey::VARCHAR || '.docx' AS path, 3::BIGINT AS paragraphs, 1::BIGINT AS tables, (7 + len(string_split(r_name, ' ')))::BIGINT AS words FROM region",
@@ -215,7 +306,9 @@ def oracle_sql() -> dict[str, str]:
           UNION ALL SELECT 'none.img', NULL, NULL, NULL, NULL, true""",
         "media_extract": """SELECT r_regionkey::VARCHAR || ext AS path, name, (40 + r_regionkey)::INTEGER AS width FROM region, (VALUES ('.pdf', 'image_1.png'), ('.pdf', 'image_2.png'), ('.pptx', 'a.png'), ('.pptx', 'a_2.png')) v(ext, name)""",
         "convert_matrix": f"""SELECT * FROM (VALUES ('xlsx', 'csv', 'a,b' || {nl} || '1,2'), ('csv', 'xlsx', 'zip'), ('md', 'docx', 'zip'), ('md', 'pdf', 'pdf'), ('md', 'txt', '# T' || {nl} || {nl} || 'body'), ('docx', 'md', '# T' || {nl} || 'body'), ('docx', 'txt', 'T' || {nl} || 'body'), ('docx', 'pdf', 'pdf'),
-          ('pdf', 'txt', 'T' || {nl} || 'body'), ('pdf', 'md', 'T' || {nl} || 'body'), ('pdf', 'docx', 'zip'), ('png', 'pdf', 'pdf'), ('png', 'png', 'png'), ('png', 'gif', 'gif'), ('gif', 'pdf', 'pdf'), ('gif', 'png', 'png'), ('gif', 'gif', 'gif')) v(source, target, result)""",
+          ('pdf', 'txt', 'T' || {nl} || 'body'), ('pdf', 'md', 'T' || {nl} || 'body'), ('pdf', 'docx', 'zip'), ('png', 'pdf', 'pdf'), ('png', 'png', 'png'), ('png', 'gif', 'gif'), ('gif', 'pdf', 'pdf'), ('gif', 'png', 'png'), ('gif', 'gif', 'gif')) v(source, target, result)
+          UNION ALL SELECT a, b, CASE WHEN b IN ('jpg', 'jpeg') THEN 'jpeg' ELSE b END FROM (VALUES ('png'), ('gif'), ('jpg'), ('jpeg')) x(a), (VALUES ('pdf'), ('png'), ('gif'), ('jpg'), ('jpeg')) y(b)
+          WHERE a IN ('jpg', 'jpeg') OR b IN ('jpg', 'jpeg')""",
         "file_scan": "SELECT * FROM (VALUES ('a.js', 19::BIGINT, false, false), ('src/b.js', 23::BIGINT, false, false), ('src/deep/e.js', 28::BIGINT, false, false)) v(file, size, is_dir, is_binary)",
         "batch_run": "SELECT * FROM (VALUES ('step_1', 'text_tokens', true), ('x', 'nothing', false), ('step_3', 'icon_search', false)) v(id, tool, success)",
     }

@@ -243,7 +243,7 @@ def svg_data_uri(spark, d):
 
 
 def icon_search(spark, d):
-    return icons.search(icons.catalogue(spark), "Arrow mark-c", limit=20)
+    return icons.search(icons.catalogue(spark), "Travel mark-d", limit=20)
 
 
 def icon_collections(spark, d):
@@ -251,7 +251,7 @@ def icon_collections(spark, d):
 
 
 def icon_resolve(spark, d):
-    asked = spark.createDataFrame([(x,) for x in ("search", "FIND", "basic:home", "marks/mark-drop", "nothing", "mark-line", "letter")], "q string")
+    asked = spark.createDataFrame([(x,) for x in ("noon", "WAGON", "basic:camp", "marks/mark-drop", "nothing", "mark-leaf", "tide")], "q string")
     return icons.resolve(icons.catalogue(spark), asked, "q")
 
 
@@ -392,7 +392,7 @@ def oracle_sql() -> dict[str, str]:
             trimmed, NL, "strlen(before_a) - strlen(after_a) + length(before_r) - length(after_r) + length(before_p) - length(after_p)",
         ),
         "clean_regex": _clean_sql([("g", "regexp_replace(text, '([0-9]+)', '#\\1#', 'g')")], "ls", f"{CR} || {NL}", "0", "len(regexp_extract_all(before_g, '[0-9]+'))"),
-        "clean_ascii": f"SELECT doc_id, chars_removed, text FROM ({_clean_sql([('p', chr(114) + 'egexp_replace(text, ' + repr('[^' + chr(92) + 'x00-' + chr(92) + 'x7F]').replace(chr(92) * 2, chr(92)) + ', ' + repr('') + ', ' + repr('g') + ')')], 'ls', NL, 'length(before_p) - length(after_p)')})",
+        "clean_ascii": "SELECT doc_id, chars_removed, text FROM (" + _clean_sql([("p", "regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')")], "ls", NL, "length(before_p) - length(after_p)") + ")",
         "token_estimate": f"SELECT doc_id, length(text)::INTEGER AS characters, {_words('text')}::INTEGER AS words, {_tokens('text')} AS tokens FROM documents WHERE text IS NOT NULL",
         "sentence_split": f"WITH {_lines(_SPLIT)}, s AS (SELECT doc_id, i, {_SENTENCES} AS ss FROM u) SELECT doc_id, (i - 1)::INTEGER AS line, unnest(range(0, len(ss)))::INTEGER AS n, unnest(ss) AS sentence FROM s",
         "chunk_plain": f"{chunk} SELECT * FROM res",
@@ -419,9 +419,9 @@ def oracle_sql() -> dict[str, str]:
         "svg_adjust": f"WITH {_SVGS} {adjusted}",
         "svg_jsx": f"""WITH {_SVGS} SELECT doc_id, "index", concat('import React from "react";', {NL}, {NL}, 'export function ', {comp}, '(props: React.SVGProps<SVGSVGElement>) {{', {NL}, '  return (', {NL}, '    ', regexp_replace({jsx}, '<svg', '<svg {{...props}}'), {NL}, '  );', {NL}, '}}', {NL}, {NL}, 'export default ', {comp}, ';', {NL}) AS jsx FROM sv""",
         "svg_data_uri": f"""WITH {_SVGS} SELECT doc_id, "index", 'data:image/svg+xml;base64,' || to_base64(encode(svg)) AS uri FROM sv""",
-        "icon_search": f"WITH {_catalogue_sql()} SELECT ordinal, id, collection, name, category FROM cat WHERE len(list_filter(['arrow', 'mark-c'], lambda t: contains(name, t) OR contains(id, t) OR contains(lower(category), t) OR len(list_filter(keywords, lambda k: contains(k, t))) > 0)) > 0 ORDER BY ordinal LIMIT 20",
+        "icon_search": f"WITH {_catalogue_sql()} SELECT ordinal, id, collection, name, category FROM cat WHERE len(list_filter(['travel', 'mark-d'], lambda t: contains(name, t) OR contains(id, t) OR contains(lower(category), t) OR len(list_filter(keywords, lambda k: contains(k, t))) > 0)) > 0 ORDER BY ordinal LIMIT 20",
         "icon_collections": f"WITH {_catalogue_sql()} SELECT collection, count(*)::INTEGER AS total, min(category) AS category FROM cat GROUP BY collection",
-        "icon_resolve": f"""WITH {_catalogue_sql()}, q(q) AS (VALUES ('search'), ('FIND'), ('basic:home'), ('marks/mark-drop'), ('nothing'), ('mark-line'), ('letter')),
+        "icon_resolve": f"""WITH {_catalogue_sql()}, q(q) AS (VALUES ('noon'), ('WAGON'), ('basic:camp'), ('marks/mark-drop'), ('nothing'), ('mark-leaf'), ('tide')),
           k AS (SELECT collection, name, ordinal, 0 AS rank, name AS key FROM cat UNION ALL SELECT collection, name, ordinal, 1, unnest(keywords) FROM cat),
           b AS (SELECT key, arg_min(collection, rank * 1000 + ordinal) AS collection, arg_min(name, rank * 1000 + ordinal) AS name FROM k GROUP BY key)
           SELECT q.q, CASE WHEN contains(q.q, ':') THEN split_part(q.q, ':', 1) WHEN contains(q.q, '/') THEN split_part(q.q, '/', 1) ELSE coalesce(b.collection, 'basic') END AS collection,

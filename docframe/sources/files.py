@@ -12,9 +12,10 @@ deeper still appear), hidden. Unreadable entries are left out; a symbolic link t
 from __future__ import annotations
 
 import os
+import shutil
 import re
 import time
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -160,11 +161,24 @@ def expand(patterns: list[str]) -> list[str]:
     return out
 
 
-def write_atomic(path: str, data: bytes) -> None:
-    """Replace a file in one step: the new bytes are written beside it first."""
+def write_atomic(path: str, data: bytes | Iterable[bytes]) -> None:
+    """Replace a file in one step: the new bytes, whole or piece by piece, are written beside it and synced first.
+
+    Where the folder does not let a file be renamed onto another, the new bytes are copied over the old ones.
+    """
     tmp = f"{path}.docframe-{os.getpid()}.tmp"
-    with open(tmp, "wb") as f:
-        f.write(data)
-    if os.path.exists(path):
-        os.chmod(tmp, os.stat(path).st_mode & 0o7777)
-    os.replace(tmp, path)
+    try:
+        with open(tmp, "wb") as f:
+            for part in (data,) if isinstance(data, bytes) else data:
+                f.write(part)
+            f.flush()
+            os.fsync(f.fileno())
+        if os.path.exists(path):
+            os.chmod(tmp, os.stat(path).st_mode & 0o7777)
+        try:
+            os.replace(tmp, path)
+        except OSError:
+            shutil.copyfile(tmp, path)
+    finally:
+        if os.path.exists(tmp):
+            os.remove(tmp)

@@ -57,7 +57,7 @@ def image_info(a):
 
 
 def image_convert(a):
-    write_atomic(a.output, convert.convert(registry.read(a.args[0]), a.args[0], a.output))
+    write_atomic(a.output, convert.convert(registry.read(a.args[0]), a.args[0], a.output, quality=a.quality))
     return {"output": a.output}
 
 
@@ -112,8 +112,8 @@ def main(argv: list[str] | None = None) -> int:
         if command in COMMANDS:
             t = registry.TOOLS[COMMANDS[command]]
             q = argparse.ArgumentParser(prog=f"docframe {command}")
-            for name, (kind, text) in t.properties.items():
-                extra = {"action": "store_true"} if kind == "boolean" else {"type": registry.KINDS[kind]}
+            for name, (kind, text) in t.accepted.items():
+                extra = {"action": "store_true"} if kind == "boolean" else {"nargs": "+"} if kind == "array" else {"type": registry.KINDS[kind]}
                 q.add_argument(f"--{name}", help=text, default=None, **extra)
             args = {k: v for k, v in vars(q.parse_args(rest)).items() if v is not None}
             text, error = registry.dispatch(t.name, args)
@@ -124,6 +124,7 @@ def main(argv: list[str] | None = None) -> int:
             q.add_argument("-o", "--output", default="")
             q.add_argument("--sheet", default="")
             q.add_argument("--delimiter", default=",")
+            q.add_argument("--quality", type=int, default=0)
             q.add_argument("--format", default="plain")
             q.add_argument("--tool", default="")
             q.add_argument("--stop-on-error", action="store_true")

@@ -7,7 +7,8 @@ import os
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pandas as pd
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from docframe import session
 from docframe.formats import convert as conversion, docx, images, package, pdf, xlsx
@@ -15,7 +16,7 @@ from docframe.functions import text as X
 from docframe.operators import chunking, concat, extract, icons, search, svg
 from docframe.sources import decode, files
 
-KINDS = {"string": str, "integer": int, "boolean": bool}
+KINDS = {"string": str, "integer": int, "boolean": bool, "array": list}
 
 
 @dataclass(frozen=True)
@@ -25,21 +26,29 @@ class Tool:
     properties: dict[str, tuple[str, str]]
     required: tuple[str, ...]
     run: Callable[..., object]
+    options: dict[str, tuple[str, str]]
+
+    @property
+    def accepted(self) -> dict[str, tuple[str, str]]:
+        """All arguments: those of the schema and the further ones of the command line."""
+        return self.properties | self.options
 
     def schema(self) -> dict:
-        props = {k: {"type": t, "description": d} for k, (t, d) in self.properties.items()}
+        props = {k: {"type": t, "description": d, **({"items": {"type": "string"}} if t == "array" else {})} for k, (t, d) in self.properties.items()}
         return {"type": "object", "properties": props, **({"required": list(self.required)} if self.required else {})}
 
 
 TOOLS: dict[str, Tool] = {}
 
 
-def tool(description: str, required: str = "", **properties: str) -> Callable:
-    """Register a function as a tool; properties are ``name="type: description"``."""
+def tool(description: str, required: str = "", options: dict[str, str] | None = None, **properties: str) -> Callable:
+    """Register a function as a tool; properties are ``name="type: description"``, options the same, outside the schema."""
+
+    def parsed(given: dict[str, str]) -> dict[str, tuple[str, str]]:
+        return {k: tuple(v.split(": ", 1)) for k, v in given.items()}
 
     def add(fn: Callable) -> Callable:
-        props = {k: tuple(v.split(": ", 1)) for k, v in properties.items()}
-        TOOLS[fn.__name__] = Tool(fn.__name__, description, props, tuple(required.split()), fn)
+        TOOLS[fn.__name__] = Tool(fn.__name__, description, parsed(properties), tuple(required.split()), fn, parsed(options or {}))
         return fn
 
     return add
@@ -62,37 +71,42 @@ def _rows(df: DataFrame) -> list[dict]:
     return [r.asDict(recursive=True) for r in df.collect()]  # a tool's answer is shown whole
 
 
-def _text_tree(folder: str, globs: list[str]) -> DataFrame:
-    tree = files.file_tree(spark(), folder or ".", include=",".join(globs), content=True)
+def _text_tree(folder: str, globs: list[str], exclude: str = "") -> DataFrame:
+    tree = files.file_tree(spark(), folder or ".", include=",".join(globs), exclude=exclude, content=True)
     return tree.filter("not is_dir and not is_binary").select("path", F.col("content").cast("string").alias("text"))
 
 
-def _found(docs: DataFrame, query: str, regex: bool, case: bool, context: int, scan: bool, limit: int = 0) -> dict:
-    hits = search.search_lines(docs, "path", "text", query, regex=regex, case_sensitive=case, before=context, after=context, scan=scan)
+def _found(docs: DataFrame, query: str, regex: bool, case: bool, before: int, after: int, scan: bool, limit: int = 0) -> dict:
+    """The answer of a search. The documents are counted while they are searched, so none is decoded twice."""
+    seen = Observation()
+    docs = docs.observe(seen, F.count(F.lit(1)).alias("files"))
+    hits = search.search_lines(docs, "path", "text", query, regex=regex, case_sensitive=case, before=before, after=after, scan=scan)
     shown = _rows(search.capped(hits, "path", limit) if limit else hits.orderBy("path", "line_number"))
-    return {"query": query, "is_regex": regex, "total_matches": len(shown), "files_scanned": docs.count(), "files_matched": len({h["path"] for h in shown}), "matches": shown}
+    return {"query": query, "is_regex": regex, "total_matches": len(shown), "files_scanned": seen.get.get("files", 0), "files_matched": len({h["path"] for h in shown}), "matches": shown}
 
 
 _Q = dict(query="string: text or pattern to find", dir="string: folder to search", regex="boolean: read the query as a pattern", caseSensitive="boolean: respect case", ext="string: extensions, parted by commas", context="integer: lines shown around a match")
+_SIDES = dict(before="integer: lines shown before a match", after="integer: lines shown after a match")
+_LIMITS = dict(exclude="string: globs of files to leave out, parted by commas", max="integer: most matches returned, 0 for all")
 
 
-@tool("Find text or a pattern in code and text files, with context lines", "query", **_Q)
-def search_code(query: str, dir: str = ".", regex: bool = False, caseSensitive: bool = False, ext: str = "", context: int = 0) -> dict:
-    return _found(_text_tree(dir, files.extension_globs(ext)), query, regex, caseSensitive, context, True)
+@tool("Find text or a pattern in code and text files, with context lines", "query", _SIDES | _LIMITS, **_Q)
+def search_code(query: str, dir: str = ".", regex: bool = False, caseSensitive: bool = False, ext: str = "", context: int = 0, before: int = 0, after: int = 0, exclude: str = "", max: int = 0) -> dict:
+    return _found(_text_tree(dir, files.extension_globs(ext), exclude), query, regex, caseSensitive, before or context, after or context, True, max)
 
 
-@tool("Find text or a pattern in documents (PDF, Word, spreadsheets, CSV, Markdown, text)", "query", **_Q, maxResults="integer: most matches returned")
-def search_docs(query: str, dir: str = ".", regex: bool = False, caseSensitive: bool = False, ext: str = "", context: int = 0, maxResults: int = 0) -> dict:
-    tree = files.file_tree(spark(), dir or ".", include=",".join(files.extension_globs(ext)), content=True).filter("not is_dir")
+@tool("Find text or a pattern in documents (PDF, Word, spreadsheets, CSV, Markdown, text)", "query", _SIDES, **_Q, **_LIMITS)
+def search_docs(query: str, dir: str = ".", regex: bool = False, caseSensitive: bool = False, ext: str = "", context: int = 0, before: int = 0, after: int = 0, exclude: str = "", max: int = 0) -> dict:
+    tree = files.file_tree(spark(), dir or ".", include=",".join(files.extension_globs(ext)), exclude=exclude, content=True).filter("not is_dir")
     if not ext:
         tree = tree.filter(extract.is_supported(F.col("path")))
     docs = decode.documents(tree).filter("error is null").select("path", "text")
-    return _found(docs, query, regex, caseSensitive, context, False, maxResults)
+    return _found(docs, query, regex, caseSensitive, before or context, after or context, False, max)
 
 
-@tool("List files below a folder by a glob on their names", pattern="string: glob of the base name", dir="string: folder", depth="integer: deepest level of folders")
-def search_files(pattern: str = "", dir: str = ".", depth: int = 0) -> list:
-    tree = files.file_tree(spark(), dir or ".", include=pattern, depth=depth)
+@tool("List files below a folder by a glob on their names", "", dict(dirs="boolean: list folders too", exclude="string: globs to leave out, parted by commas"), pattern="string: glob of the base name", dir="string: folder", depth="integer: deepest level of folders")
+def search_files(pattern: str = "", dir: str = ".", depth: int = 0, dirs: bool = False, exclude: str = "") -> list:
+    tree = files.file_tree(spark(), dir or ".", include=pattern, exclude=exclude, depth=depth, dirs=dirs)
     return _rows(tree.select("path", "name", "size", "mod_time", "is_dir").orderBy(F.split("path", "/")))
 
 
@@ -114,9 +128,9 @@ def replace_lines(filePath: str, start: int, content: str, end: int = 0) -> dict
     return _edit(filePath, X.replace_lines(F.col("text"), start, end, content))
 
 
-@tool("Insert text before or after a line", "filePath line content", filePath="string: file", line="integer: line, from 1", content="string: text", after="boolean: insert behind the line")
-def insert_lines(filePath: str, line: int, content: str, after: bool = False) -> dict:
-    return _edit(filePath, X.insert_lines(F.col("text"), line, content, not after))
+@tool("Insert text before or after a line", "filePath line content", filePath="string: file", line="integer: line, from 1", content="string: text", before="boolean: insert before the line instead of behind it")
+def insert_lines(filePath: str, line: int, content: str, before: bool = False) -> dict:
+    return _edit(filePath, X.insert_lines(F.col("text"), line, content, before))
 
 
 @tool("Delete a range of lines", "filePath start", filePath="string: file", start="integer: first line", end="integer: last line")
@@ -124,31 +138,58 @@ def delete_lines(filePath: str, start: int, end: int = 0) -> dict:
     return _edit(filePath, X.delete_lines(F.col("text"), start, end))
 
 
-@tool("Join files in order, with header, delimiter and line numbers", "patterns", patterns="string: paths or globs, parted by commas", outputFile="string: where to write", header="string: header with %f, %b and %n", delimiter="string: line between files", lineNumbers="boolean: number the lines")
-def concat_files(patterns: str, outputFile: str = "", header: str = "", delimiter: str = "", lineNumbers: bool = False) -> dict:
-    paths = files.expand([p.strip() for p in patterns.split(",") if p.strip()])
-    rows = [(i, p, read(p).decode("utf-8", "replace")) for i, p in enumerate(paths)]
-    df = spark().createDataFrame(rows, "i int, path string, text string")
-    lines = df.select("i", concat.part(F.col("text"), F.col("path"), F.col("i"), header, delimiter, lineNumbers).alias("p")).orderBy("i").collect()
-    body = "".join(x + "\n" for r in lines for x in r["p"])
-    if outputFile:
-        files.write_atomic(outputFile, body.encode())
-    return {"files_processed": len(paths), "total_lines": body.count("\n"), "total_bytes": len(body.encode()), "input_files": paths, **({"output_file": outputFile} if outputFile else {"content": body})}
+def _read_each(batches):
+    """Texts of the files named in the second column; they are read where they are used, one after another."""
+    for part in batches:
+        for i, path in zip(part["i"], part["path"]):
+            yield pd.DataFrame({"i": [i], "path": [path], "text": [read(path).decode("utf-8", "replace")]})
+
+
+@tool("Join files in order, with header, delimiter and line numbers", "patterns", dict(lineNumbers="boolean: number the lines", skipEmpty="boolean: leave out files without a line"), patterns="array: paths or globs", output="string: where to write", header="string: header with %f, %b and %n", delimiter="string: line between files")
+def concat_files(patterns: list, output: str = "", header: str = "", delimiter: str = "", lineNumbers: bool = False, skipEmpty: bool = False) -> dict:
+    paths = files.expand([p.strip() for p in patterns if p.strip()])
+    if skipEmpty:
+        paths = [p for p in paths if os.path.getsize(p)]
+    ends, total, size, shown = [], 0, 0, []
+    if paths:
+        names = spark().createDataFrame(list(enumerate(paths)), "i int, path string").repartition(1)
+        texts = names.mapInPandas(_read_each, "i int, path string, text string")
+        parts = texts.select(concat.part(F.col("text"), F.col("path"), F.col("i"), header, delimiter, lineNumbers).alias("p"))
+
+        def lines():
+            nonlocal total, size
+            for row in parts.toLocalIterator():  # a file at a time, in order
+                for x in row["p"]:
+                    total, size = total + 1, size + len(x.encode()) + 1
+                    yield x + "\n"
+
+        ends = lines()
+        if output:
+            files.write_atomic(output, (x.encode() for x in ends))
+        else:
+            shown = list(ends)
+    elif output:
+        files.write_atomic(output, b"")
+    return {"files_processed": len(paths), "total_lines": total, "total_bytes": size, "input_files": paths, **({"output_file": output} if output else {"content": "".join(shown)})}
 
 
-@tool("Clean a file: ANSI codes, characters, blank lines, trailing blanks, a pattern", "filePath", filePath="string: file", stripAnsi="boolean: remove ANSI codes", removeChars="string: characters to remove", asciiOnly="boolean: remove other characters than ASCII", pattern="string: pattern to replace", replaceWith="string: replacement", trimLines="boolean: cut trailing blanks", dropBlank="boolean: remove blank lines", crlf="boolean: end lines with CRLF")
-def clean_file(filePath: str, stripAnsi: bool = False, removeChars: str = "", asciiOnly: bool = False, pattern: str = "", replaceWith: str = "", trimLines: bool = False, dropBlank: bool = False, crlf: bool = False) -> dict:
-    o = X.Clean(stripAnsi, removeChars, asciiOnly, pattern, replaceWith, trimLines, dropBlank, crlf)
+@tool("Clean a file: ANSI codes, characters, blank lines, trailing blanks, a pattern", "filePath", dict(removeChars="string: characters to remove", asciiOnly="boolean: remove other characters than ASCII", normalize="string: line endings, lf or crlf"), filePath="string: file", stripAnsi="boolean: remove ANSI codes", stripBlank="boolean: remove blank lines", trim="boolean: cut trailing blanks", pattern="string: pattern to replace", replace="string: replacement")
+def clean_file(filePath: str, stripAnsi: bool = False, stripBlank: bool = False, trim: bool = False, pattern: str = "", replace: str = "", removeChars: str = "", asciiOnly: bool = False, normalize: str = "") -> dict:
+    if normalize.lower() not in ("", "lf", "crlf"):
+        raise ValueError("normalize is lf or crlf")
+    o = X.Clean(stripAnsi, removeChars, asciiOnly, pattern, replace, trim, stripBlank, normalize.lower() == "crlf")
     row = _one(filePath).select(X.clean(F.col("text"), o).alias("c")).select("c.*").first().asDict()
     files.write_atomic(filePath, row.pop("text").encode())
     return {"file_path": filePath} | row
 
 
 def _source(filePath: str, text: str) -> str:
+    if not (filePath or text):
+        raise ValueError("a file or a text is needed")
     return decode.text_of(filePath, read(filePath)) if filePath else text
 
 
-@tool("Cut a text or file into chunks of at most so many tokens", filePath="string: file", text="string: text", maxTokens="integer: most tokens of a chunk", overlap="integer: tokens shared by neighbours", bySentence="boolean: cut between sentences")
+@tool("Cut a file into chunks of at most so many tokens", "", dict(text="string: text instead of a file"), filePath="string: file", maxTokens="integer: most tokens of a chunk", overlap="integer: tokens shared by neighbours", bySentence="boolean: cut between sentences")
 def text_chunk(filePath: str = "", text: str = "", maxTokens: int = 0, overlap: int = 0, bySentence: bool = False) -> dict:
     df = spark().createDataFrame([(1, _source(filePath, text))], "id int, text string")
     got = [{k: v for k, v in r.items() if k != "id"} for r in _rows(chunking.chunks(df, "id", "text", maxTokens, overlap, bySentence).orderBy("index"))]
@@ -156,10 +197,11 @@ def text_chunk(filePath: str = "", text: str = "", maxTokens: int = 0, overlap:
     return {"total_chunks": len(got), "total_tokens": sum(c["tokens"] for c in got), "max_tokens": most, "overlap_tokens": lap, "chunks": got}
 
 
-@tool("Estimate the tokens of a text or file", filePath="string: file", text="string: text")
+@tool("Estimate the tokens of a file", "", dict(text="string: text instead of a file"), filePath="string: file")
 def text_tokens(filePath: str = "", text: str = "") -> dict:
     df = spark().createDataFrame([(_source(filePath, text),)], "text string")
-    return df.select(X.token_estimate(F.col("text")).alias("e")).select("e.*").first().asDict()
+    named = {"file_path": filePath, "format": decode.format_of(filePath)} if filePath else {}
+    return named | df.select(X.token_estimate(F.col("text")).alias("e")).select("e.*").first().asDict()
 
 
 @tool("Describe the sheets of a workbook", "filePath", filePath="string: workbook")
@@ -179,58 +221,67 @@ def sheets_get_cell(filePath: str, cell: str, sheet: str = "") -> dict:
     return {"cell": cell, "value": xlsx.get_cell(read(filePath), cell, sheet)}
 
 
-@tool("Append a row", "filePath values", filePath="string: workbook", sheet="string: sheet", values="string: cells, parted by commas")
-def sheets_add_row(filePath: str, values: str, sheet: str = "") -> dict:
-    data, row = xlsx.add_row(read(filePath), values.split(","), sheet)
+@tool("Append a row", "filePath values", filePath="string: workbook", sheet="string: sheet", values="array: texts of the cells")
+def sheets_add_row(filePath: str, values: list, sheet: str = "") -> dict:
+    data, row = xlsx.add_row(read(filePath), [str(v) for v in values], sheet)
     files.write_atomic(filePath, data)
     return {"row": row}
 
 
-@tool("Text of a Word document; Markdown when asked for", "filePath", filePath="string: document", markdown="boolean: as Markdown")
-def docs_read(filePath: str, markdown: bool = False) -> dict:
-    return {"content": (docx.to_markdown if markdown else docx.to_text)(read(filePath))}
+@tool("Text of a Word document; Markdown when asked for", "filePath", filePath="string: document", asMarkdown="boolean: as Markdown")
+def docs_read(filePath: str, asMarkdown: bool = False) -> dict:
+    return {"content": (docx.to_markdown if asMarkdown else docx.to_text)(read(filePath))}
 
 
-@tool("Picture of a Word document's first page", "filePath outputPath", filePath="string: document", outputPath="string: PNG file")
-def docs_snapshot(filePath: str, outputPath: str) -> dict:
-    files.write_atomic(outputPath, images.snapshot(docx.to_markdown(read(filePath)).split("\n"), os.path.basename(filePath)))
-    return {"output": outputPath}
+@tool("Picture of a Word document's first page", "filePath outputPng", filePath="string: document", outputPng="string: PNG file")
+def docs_snapshot(filePath: str, outputPng: str) -> dict:
+    files.write_atomic(outputPng, images.snapshot(docx.to_markdown(read(filePath)).split("\n"), os.path.basename(filePath)))
+    return {"output": outputPng}
 
 
-@tool("Text of a PDF, whole or by page", "filePath", filePath="string: PDF", pages="boolean: one text per page")
-def pdf_read(filePath: str, pages: bool = False) -> dict:
+@tool("Text of a PDF, whole or by page", "filePath", filePath="string: PDF", byPage="boolean: one text per page")
+def pdf_read(filePath: str, byPage: bool = False) -> dict:
     data = read(filePath)
-    return {"pages": pdf.pages(data)} if pages else {"content": pdf.text(data)}
+    return {"pages": pdf.pages(data)} if byPage else {"content": pdf.text(data)}
 
 
-@tool("Pictures of PDF pages, drawn from their text", "filePath outputPath", filePath="string: PDF", outputPath="string: PNG file, or a pattern with %d for several pages", page="integer: page, from 1", toPage="integer: last page")
-def pdf_snapshot(filePath: str, outputPath: str, page: int = 1, toPage: int = 0) -> dict:
+@tool("Pictures of PDF pages, drawn from their text: one, a range, or all", "filePath outputTarget", {"from": "integer: first page of a range", "to": "integer: last page of a range"}, filePath="string: PDF", outputTarget="string: PNG file; for several pages a folder or a pattern with %d", page="integer: page, from 1", all="boolean: every page")
+def pdf_snapshot(filePath: str, outputTarget: str, page: int = 1, all: bool = False, **limits: int) -> dict:
     found = pdf.pages(read(filePath))
-    first = min(max(page, 1), max(len(found), 1))
-    last = first if not toPage else min(max(toPage, first), len(found))
+    several = all or limits.get("from", 0) > 0 or limits.get("to", 0) > 0
+    first, last = pdf.page_range(len(found), limits.get("from", 0), limits.get("to", 0)) if several and found else (min(max(page, 1), max(len(found), 1)),) * 2
+    if several and "%d" not in outputTarget:
+        stem = os.path.splitext(outputTarget)[0] if outputTarget.lower().endswith(".png") else os.path.join(outputTarget, "page")
+        outputTarget = stem + "_%d.png"
     out = []
     for n in range(first, last + 1):
-        name = outputPath % n if "%d" in outputPath else outputPath if first == last else f"{os.path.splitext(outputPath)[0]}_page_{n}.png"
+        name = outputTarget.replace("%d", str(n))
+        os.makedirs(os.path.dirname(name) or ".", exist_ok=True)
         files.write_atomic(name, images.snapshot(found[n - 1].split("\n") if found else [], f"{os.path.basename(filePath)} {n}/{len(found)}"))
         out.append(name)
     return {"outputs": out}
 
 
-@tool("Save the pictures embedded in a document", "filePath outputDir", filePath="string: document", outputDir="string: folder")
-def image_extract(filePath: str, outputDir: str) -> dict:
-    data = read(filePath)
+# ``from`` is no name for a parameter, but it is one of the arguments
+TOOLS["pdf_snapshot"].properties.update(TOOLS["pdf_snapshot"].options)
+TOOLS["pdf_snapshot"].options.clear()
+
+
+@tool("Save the pictures embedded in a document", "documentPath outputDir", documentPath="string: document", outputDir="string: folder", page="integer: of a PDF, only this page")
+def image_extract(documentPath: str, outputDir: str, page: int = 0) -> dict:
+    data = read(documentPath)
     os.makedirs(outputDir, exist_ok=True)
     out = []
-    for name, body in pdf.embedded_images(data) if decode.format_of(filePath) == "pdf" else package.media(data):
+    for name, body in pdf.embedded_images(data, page) if decode.format_of(documentPath) == "pdf" else package.media(data):
         out.append(os.path.join(outputDir, name))
         files.write_atomic(out[-1], body)
     return {"images": out, "count": len(out)}
 
 
-@tool("Convert a file to another format", "inputPath outputPath", inputPath="string: file", outputPath="string: file, its extension names the format")
-def convert(inputPath: str, outputPath: str) -> dict:
-    files.write_atomic(outputPath, conversion.convert(read(inputPath), inputPath, outputPath))
-    return {"output": outputPath}
+@tool("Convert a file to another format", "input output", dict(delimiter="string: delimiter of a CSV", quality="integer: quality of a JPEG, 1 to 100"), input="string: file", output="string: file, its extension names the format", sheet="string: sheet of a workbook")
+def convert(input: str, output: str, sheet: str = "", delimiter: str = ",", quality: int = 0) -> dict:
+    files.write_atomic(output, conversion.convert(read(input), input, output, sheet=sheet, delimiter=delimiter[:1] or ",", quality=quality))
+    return {"output": output}
 
 
 @tool("Links, e-mail addresses and dates of a document", "filePath", filePath="string: document")
@@ -253,18 +304,18 @@ def extract_metadata(filePath: str) -> dict:
     return {"file_path": filePath, "format": kind} | decode.metadata_of(filePath, read(filePath))
 
 
-@tool("Search icons", query="string: words", collection="string: collection", limit="integer: most icons")
-def icon_search(query: str = "", collection: str = "", limit: int = 0) -> dict:
+@tool("Search icons", "query", query="string: words", collection="string: collection", limit="integer: most icons")
+def icon_search(query: str, collection: str = "", limit: int = 0) -> dict:
     got = _rows(icons.search(icons.catalogue(spark()), query, collection, limit).drop("ordinal"))
     return {"query": query, "total": len(got), "source": "catalogue", "icons": got}
 
 
-@tool("One icon as SVG, React component or data URI", "icon", icon="string: id, name or keyword", size="integer: width and height", color="string: colour", strokeWidth="string: stroke width", format="string: svg, jsx or datauri", outputPath="string: file to save it in")
-def icon_get(icon: str, size: int = 0, color: str = "", strokeWidth: str = "", format: str = "svg", outputPath: str = "") -> dict:
+@tool("One icon as SVG, React component or data URI", "icon", dict(strokeWidth="string: stroke width", width="integer: width", height="integer: height"), icon="string: id, name or keyword", color="string: colour", size="integer: width and height", format="string: svg, jsx or data-uri", outputPath="string: file to save it in")
+def icon_get(icon: str, color: str = "", size: int = 0, format: str = "svg", outputPath: str = "", strokeWidth: str = "", width: int = 0, height: int = 0) -> dict:
     hit = icons.get(icons.catalogue(spark()), icon)
     if not hit:
         raise ValueError(f"no icon {icon!r}")
-    col = svg.adjust(F.lit(hit[2]), size=size, stroke_width=strokeWidth, color=color)
+    col = svg.adjust(F.lit(hit[2]), size=size, width=width, height=height, stroke_width=strokeWidth, color=color)
     made = {"jsx": svg.to_jsx(col, F.lit(hit[1])), "react": svg.to_jsx(col, F.lit(hit[1])), "datauri": svg.data_uri(col), "data-uri": svg.data_uri(col)}.get(format.lower(), col)
     content = spark().range(1).select(made.alias("c")).first()["c"]
     if outputPath:
@@ -311,11 +362,11 @@ def check(t: Tool, arguments: dict) -> str:
         if r not in arguments:
             return f"missing argument {r!r}"
     for k, v in arguments.items():
-        if k not in t.properties:
+        if k not in t.accepted:
             return f"unknown argument {k!r}"
-        kind = KINDS[t.properties[k][0]]
+        kind = KINDS[t.accepted[k][0]]
         if not isinstance(v, kind) or (kind is int and isinstance(v, bool)):
-            return f"argument {k!r} must be {t.properties[k][0]}"
+            return f"argument {k!r} must be {t.accepted[k][0]}"
     return ""
 
 

@@ -50,6 +50,96 @@ def test_xlsx():
         xlsx.get_cell(x, "A1", "nosheet")
 
 
+def test_workbook_edits_keep_the_rest():
+    """A formula, styles, a merged range, other parts and the order of cells survive; only the named cell changes."""
+    parts = package.read(xlsx.from_csv("a,b\n1,2\n"))
+    sheet = parts["xl/worksheets/sheet1.xml"].decode().replace("<sheetData>", '<dimension ref="A1:B2"/><sheetData>').replace("</sheetData>", '<row r="5" spans="1:3" ht="20"><c r="A5" s="7"><f>SUM(A2)</f><v>1</v></c><c r="C5" s="2"/></row></sheetData><mergeCells><mergeCell ref="A7:B7"/></mergeCells>')
+    parts |= {"xl/worksheets/sheet1.xml": sheet.encode(), "xl/calcChain.xml": b'<calcChain><c r="A5" i="1"/></calcChain>', "xl/media/a.png": b"png"}
+    book = package.write(parts)
+    one = package.read(xlsx.set_cell(book, "B5", "x<y"))
+    text = one.pop("xl/worksheets/sheet1.xml").decode()
+    assert one == {k: v for k, v in parts.items() if k in one} and len(one) == len(parts) - 1
+    assert '<row r="5" ht="20"><c r="A5" s="7"><f>SUM(A2)</f><v>1</v></c><c r="B5" t="inlineStr"><is><t xml:space="preserve">x&lt;y</t></is></c><c r="C5" s="2"/></row>' in text and '<mergeCell ref="A7:B7"/>' in text
+    assert 'ref="A1:B5"' in text
+    two = package.read(xlsx.set_cell(book, "A5", "3"))  # the formula goes, and with it the list of formula cells
+    assert '<c r="A5" s="7"><v>3</v></c>' in two["xl/worksheets/sheet1.xml"].decode() and "xl/calcChain.xml" not in two
+    three, row = xlsx.add_row(book, ["p", "", " q "])
+    assert row == 6 and xlsx.read(three)[0][1][5] == ["p", "", "q"] and xlsx.get_cell(three, "A5") == "1"
+    for cell in ("A3", "D1", "A1", "Z9"):
+        assert xlsx.get_cell(xlsx.set_cell(book, cell, "new"), cell) == "new"
+    empty = xlsx.write([("S", [])])
+    assert xlsx.read(xlsx.set_cell(empty, "B2", "1"))[0][1] == [[], ["", "1"]] and xlsx.typed("t") is True
+    with pytest.raises(ValueError):
+        package.read(book, most=10)
+
+
+def _jvm_jpeg(spark, px):
+    """A JPEG written by another library, with chroma of half size."""
+    jvm = spark.sparkContext._jvm
+    out = jvm.java.io.ByteArrayOutputStream()
+    picture = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(images.to_png(px[..., :3].copy())))
+    jvm.javax.imageio.ImageIO.write(picture, "jpg", out)
+    return bytes(out.toByteArray()), jvm
+
+
+def test_jpeg(spark):
+    """Both directions against the JVM's library, odd sizes, quality, grey, broken files."""
+    y, x = np.mgrid[0:45, 0:70]
+    px = np.stack([x * 3, y * 5, 255 - x * 2 - y, np.full_like(x, 255)], 2).clip(0, 255).astype(np.uint8)
+    theirs, jvm = _jvm_jpeg(spark, px)
+    assert np.abs(images.decode(theirs).astype(int) - px).mean() < 6
+    ours = images.to_jpeg(px, 90)
+    back = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(ours))
+    rgb = [[back.getRGB(i, j) & 0xFFFFFF for i in range(0, 70, 7)] for j in range(0, 45, 9)]
+    want = px[::9, ::7, :3].astype(int)
+    got = np.array([[((v >> 16) & 255, (v >> 8) & 255, v & 255) for v in row] for row in rgb])
+    assert np.abs(got - want).max() <= 10 and (images.decode(ours)[..., :3].astype(int) - px[..., :3]).__abs__().max() <= 10
+    assert len(images.to_jpeg(px, 20)) < len(ours) and images.info(ours)["width"] == 70
+    noise = np.random.default_rng(3).integers(0, 255, (24, 17, 4), np.uint8)
+    assert images.decode(images.to_jpeg(noise, 100)).shape == noise.shape
+    for bad in (b"\xff\xd8\xff\xd9", ours[:100]):
+        with pytest.raises(ValueError):
+            images.decode(bad)
+    assert images.decode(ours[: len(ours) // 2]).shape == px.shape
+
+
+def test_png_depths():
+    """1, 2, 4 and 16 bits, palettes, transparent values and interlace, from rows packed here."""
+    rng = np.random.default_rng(5)
+
+    def png(w, h, bits, color, rows, more=b"", interlace=0):
+        head = images.struct.pack(">IIBBBBB", w, h, bits, color, 0, 0, interlace)
+        return images.PNG_MAGIC + images._chunk(b"IHDR", head) + more + images._chunk(b"IDAT", images.zlib.compress(rows)) + images._chunk(b"IEND", b"")
+
+    def packed(px, bits):
+        return b"".join(b"\0" + np.packbits(np.unpackbits(r.astype(np.uint8)[:, None], axis=1)[:, -bits:].reshape(-1)).tobytes() for r in px)
+
+    for bits in (1, 2, 4, 8):
+        px = rng.integers(0, 1 << bits, (5, 11))
+        assert (images.from_png(png(11, 5, bits, 0, packed(px, bits)))[..., 0] == px * (255 // ((1 << bits) - 1))).all()
+        passes = b"".join(packed(px[y::dy, x::dx], bits) for x, y, dx, dy in images._PASSES if px[y::dy, x::dx].size)
+        assert (images.from_png(png(11, 5, bits, 0, passes, interlace=1))[..., 0] == px * (255 // ((1 << bits) - 1))).all()
+    pal = images._chunk(b"PLTE", bytes(range(12))) + images._chunk(b"tRNS", b"\x07")
+    got = images.from_png(png(4, 1, 2, 3, packed(np.array([[0, 1, 2, 3]]), 2), pal))
+    assert got[0].tolist() == [[0, 1, 2, 7], [3, 4, 5, 255], [6, 7, 8, 255], [9, 10, 11, 255]]
+    deep = images.from_png(png(2, 1, 16, 2, b"\0" + bytes((200, 1, 100, 2, 50, 3, 1, 2, 3, 4, 5, 6)), images._chunk(b"tRNS", bytes((1, 2, 3, 4, 5, 6)))))
+    assert deep[0].tolist() == [[200, 100, 50, 255], [1, 3, 5, 0]]
+    for kind in range(5):  # every filter against its definition
+        raw = rng.integers(0, 256, (6, 12), np.uint8)
+        body = b"".join(bytes((kind,)) + r.tobytes() for r in raw)
+        out, prev = [], [0] * 12
+        for r in raw.tolist():
+            cur = []
+            for i, v in enumerate(r):
+                a, b, c = (cur[i - 3] if i > 2 else 0), prev[i], (prev[i - 3] if i > 2 else 0)
+                p = a + b - c
+                add = (0, a, b, (a + b) // 2, min((a, b, c), key=lambda z: abs(p - z)))[kind]
+                cur.append((v + add) & 255)
+            out.append(cur)
+            prev = cur
+        assert images.unfilter(body, 6, 12, 3).tolist() == out
+
+
 def test_images():
     px = np.random.default_rng(1).integers(0, 255, (40, 60, 4), np.uint8)
     png = images.to_png(px)
@@ -126,32 +216,32 @@ def test_tools(spark, folder):
     assert call("search_docs", query="alpha", dir=str(folder))["files_matched"] == 1
     assert [x["name"] for x in call("search_files", pattern="*.js", dir=str(folder))] == ["app.js"]
     assert call("read_lines", filePath=f, start=2)["lines"][0]["content"] == "use(alpha);"
-    call("insert_lines", filePath=f, line=1, content="// top")
+    call("insert_lines", filePath=f, line=1, content="// top", before=True)
     call("replace_lines", filePath=f, start=2, content="let b = 2;")
     call("delete_lines", filePath=f, start=3)
     assert open(f).read() == "// top\nlet b = 2;\n"
-    assert call("concat_files", patterns=f"{f},{folder}/*.csv", header="%b")["content"].startswith("app.js\n// top")
+    assert call("concat_files", patterns=[f, f"{folder}/*.csv"], header="%b")["content"].startswith("app.js\n// top")
     call("clean_file", filePath=f, removeChars="/")
     assert call("text_tokens", text="a b c d e f g h i")["words"] == 9
     assert call("text_chunk", text="a b\n" * 40, maxTokens=10)["total_chunks"] > 1
     x = str(folder / "t.xlsx")
-    call("convert", inputPath=str(folder / "t.csv"), outputPath=x)
+    call("convert", input=str(folder / "t.csv"), output=x)
     call("sheets_set_cell", filePath=x, cell="A2", value="5")
-    assert call("sheets_get_cell", filePath=x, cell="A2")["value"] == "5" and call("sheets_add_row", filePath=x, values="x, y")["row"] == 3 and call("sheets_info", filePath=x)["sheet_count"] == 1
+    assert call("sheets_get_cell", filePath=x, cell="A2")["value"] == "5" and call("sheets_add_row", filePath=x, values=["x", " y"])["row"] == 3 and call("sheets_info", filePath=x)["sheet_count"] == 1
     d = str(folder / "d.docx")
     assert "Head" in call("docs_read", filePath=d)["content"] and call("extract_tables", filePath=d)["table_count"] == 1 and call("extract_metadata", filePath=d)["tables"] == 1
-    call("docs_snapshot", filePath=d, outputPath=str(folder / "s.png"))
-    call("convert", inputPath=d, outputPath=str(folder / "d.pdf"))
-    assert call("pdf_read", filePath=str(folder / "d.pdf"), pages=True)["pages"][0].startswith("Head")
-    assert call("pdf_snapshot", filePath=str(folder / "d.pdf"), outputPath=str(folder / "p_%d.png"), page=1, toPage=1)["outputs"][0].endswith("p_1.png")
-    call("convert", inputPath=str(folder / "s.png"), outputPath=str(folder / "s.pdf"))
-    assert call("image_extract", filePath=str(folder / "s.pdf"), outputDir=str(folder / "out"))["count"] == 1
+    call("docs_snapshot", filePath=d, outputPng=str(folder / "s.png"))
+    call("convert", input=d, output=str(folder / "d.pdf"))
+    assert call("pdf_read", filePath=str(folder / "d.pdf"), byPage=True)["pages"][0].startswith("Head")
+    assert call("pdf_snapshot", filePath=str(folder / "d.pdf"), outputTarget=str(folder / "p"), all=True)["outputs"][0].endswith("p/page_1.png")
+    call("convert", input=str(folder / "s.png"), output=str(folder / "s.pdf"))
+    assert call("image_extract", documentPath=str(folder / "s.pdf"), outputDir=str(folder / "out"))["count"] == 1
     (folder / "l.md").write_text("https://a.example m@b.org 2024-01-02.")
     assert call("extract_links", filePath=str(folder / "l.md")) == {"urls": ["https://a.example"], "emails": ["m@b.org"], "dates": ["2024-01-02"]}
-    assert call("icon_search", query="find")["total"] == 1 and 'width="32"' in call("icon_get", icon="home", size=32)["content"]
+    assert call("icon_search", query="wagon")["total"] == 1 and 'width="32"' in call("icon_get", icon="camp", size=32)["content"]
     (folder / "p.html").write_text('<svg id="logo"><g/></svg><svg class="a b"></svg>')
     assert [s["file_name"] for s in call("icon_scrape", source=str(folder / "p.html"), outputDir=str(folder / "svg"))["svgs"]] == ["logo.svg", "a.svg"]
-    assert call("icon_get", icon="home", format="jsx", outputPath=str(folder / "new/home.jsx"))["saved_path"] and "HomeIcon" in (folder / "new/home.jsx").read_text()
+    assert call("icon_get", icon="camp", format="jsx", outputPath=str(folder / "new/camp.jsx"))["saved_path"] and "CampIcon" in (folder / "new/camp.jsx").read_text()
     assert svg.load("https://x.example", lambda u: "<svg></svg>") == "<svg></svg>" and registry.dispatch("icon_scrape", {"source": "https://x.example"})[1]
     for name, args in (("nothing", {}), ("read_lines", {}), ("read_lines", {"filePath": 3}), ("read_lines", {"filePath": "/no/such"}), ("text_tokens", "{bad")):
         assert registry.dispatch(name, args)[1]
@@ -183,8 +273,8 @@ def test_cli(spark, folder, capsys):
 def test_icons(spark):
     cat = icons.catalogue(spark)
     assert icons.search(cat, "", limit=0).count() == 10 and icons.search(cat, "", "MARKS", 99).count() == 16
-    assert icons.get(cat, "letter")[1] == "mail" and icons.get(cat, "x:y") is None
-    assert icons.get(cat, "home", fetch=lambda c, n: "<svg/>")[2] == "<svg/>"
+    assert icons.get(cat, "tide")[1] == "shore" and icons.get(cat, "x:y") is None
+    assert icons.get(cat, "camp", fetch=lambda c, n: "<svg/>")[2] == "<svg/>"
     df = spark.createDataFrame([('<svg width="1" stroke-width="2" fill="currentColor"><path width="3"/></svg>',), ("<svg/>",)], "s string")
     got = [r["s"] for r in df.select(svg.adjust(df["s"], size=9, color="red").alias("s")).collect()]
     assert got == ['<svg height="9" width="9" stroke-width="2" fill="red"><path width="9"/></svg>', '<svg height="9" width="9"/>']
