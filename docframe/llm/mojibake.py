@@ -6,14 +6,19 @@ The operator learns the wrong decodings from the corpus itself:
    punctuation separate them). Words with a non-ASCII character form the vocabulary, each
    with its context key: the ASCII letters of the word and of both neighbours. That key is
    the text stripped of its non-ASCII characters, so a garbled word and its clean twin share it.
-2. Every word yields hypotheses "written as R, read as W" with the text they would restore.
-3. Garbled words are joined with clean near-twins: equal key and equal restored word. The join
-   is an equi-join on both, so a hot key never pairs all its words. Aligned characters vote for
-   the transformation (W, R); the rarer spelling counts as the garbled one.
-4. Transformations with enough votes are applied to all remaining words, also to those
-   without a twin (one-byte ones only where ``stands_alone`` believes them); replacement characters (U+FFFD) are restored from a twin where there is one.
-
-Nulls and empty texts are never affected. Repeated rows are each reported, rows of one id once; a repeated
+2. Garbled words are joined with clean near-twins: equal key and equal shape (the word with each non-ASCII run as one
+   mark). Every group of key and shape has one twin, its shortest and then most frequent word, so a hot key never pairs its words.
+   The runs of both words are aligned, and within them the characters; each pair votes for a mapping (garbled sequence to
+   character). Mappings that most votes for their sequence agree on are learned, whether or not a known code page explains them.
+3. Learned mappings are applied to all words until nothing changes, so text garbled several times over is restored layer by
+   layer. What comes out must consist of characters that clean words hold.
+4. Code pages that explain learned mappings (UTF-8 read as W) go on to sequences no twin showed: the words the mappings
+   left are read through those pages, layer by layer.
+5. Encodings of one byte a letter, and East Asian ones, keep the number of characters or have no ASCII skeleton; they are joined with
+   clean words on key and restored form (``legacy_guesses``), the rarer spelling counting as garbled, and go on to words without a
+   twin where ``stands_alone`` believes them. Replacement characters (U+FFFD) are restored from a twin where there is one.
+
+``fixes`` names the route that decided each word. Nulls and empty texts are never affected. Repeated rows are each reported, rows of one id once; a repeated
 line counts once in the statistics. An empty table gives an empty result. Extra columns are ignored except for the
 named ones. Ties between hypotheses go to the one with more votes, then by name.
 """
@@ -88,7 +93,7 @@ def _utf8_pass(word: str, codec: str, alphabet: frozenset[str] | None) -> tuple[
 
 
 def utf8_guess(word: str, codecs: tuple[str, ...], alphabet: frozenset[str]) -> tuple[str, str] | None:
-    """(read as, restored) of a word as UTF-8 read through some of ``codecs``, up to three layers deep.
+    """(read as, restored) of a word as UTF-8 read through some of ``codecs``, any number of layers deep.
 
     The layers in between may hold any character; what comes out must consist of known ones. Where no
     chain restores the whole word, the sequences of one layer that stand for known characters are.
@@ -98,20 +103,19 @@ def utf8_guess(word: str, codecs: tuple[str, ...], alphabet: frozenset[str]) ->
         return all(c in alphabet for c in text if c > "\x7f")
 
     best = None
-    layer = [(0, word, None)]
-    for _ in range(3):
+    layer, seen = [(0, word, None)], {word}
+    while layer:  # every pass shortens the text, so this ends
         found = {}
         for done, text, first in layer:
             for i, c in enumerate(codecs):
                 out, n = _utf8_pass(text, c, None)
-                if n and out not in found:
+                if n and out not in found and out not in seen:
                     found[out] = (done + n, -i, out, first or c)
-        if not found:
-            break
         for n, i, out, first in found.values():
             if known(out) and (best is None or (n, i) > best[0]):
                 best = ((n, i), first, out)
-        layer = [(n, out, first) for n, _, out, first in sorted(found.values(), reverse=True)[:4]]
+        seen.update(found)
+        layer = [(n, out, first) for n, _, out, first in found.values()]
     if best:
         return best[1], best[2]
     part = max(((n, -i, c, t) for i, c in enumerate(codecs) for t, n in [_utf8_pass(word, c, alphabet)] if n), default=None)
@@ -251,6 +255,63 @@ def _guess_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=_GUESS.names)
 
 
+def aligned(word: str, twin: str) -> list[tuple[str, str]]:
+    """(garbled sequence, character) pairs of a word and its twin, whose non-ASCII runs stand in the same places.
+
+    A run of the twin that is one character long takes the whole garbled run; a longer one takes equal parts of it, and says
+    nothing where the lengths do not divide.
+    """
+    out = []
+    for got, want in zip(_HIGH.findall(word), _HIGH.findall(twin)):
+        if got == want:
+            continue
+        n, k = len(want), len(got)
+        if n == 1 and k > 1:
+            out.append((got, want))
+        elif n > 1 and k % n == 0 and k > n:
+            out += [(got[i * k // n : (i + 1) * k // n], want[i]) for i in range(n)]
+    return [(g, c) for g, c in out if g != c]
+
+
+_ALIGNED = T.StructType([T.StructField(n, T.StringType()) for n in ("got", "want")])
+
+
+def _align_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield pd.DataFrame([p for w, t in zip(pdf["word"], pdf["twin"]) for p in aligned(w, t)], columns=_ALIGNED.names)
+
+
+def explained(got: str, want: str, codecs: tuple[str, ...] = READ_AS) -> bool:
+    """Does UTF-8 read through a known code page turn the character into the sequence?"""
+    return any(_utf8_pass(got, c, None)[0] == want for c in codecs)
+
+
+def learned_mappings(votes: list[tuple[str, str, int]], least: int = 3, share: float = 0.9) -> dict[str, str]:
+    """Garbled sequence to character: those most votes for the sequence agree on.
+
+    A mapping that a known code page explains needs one vote; any other ``least`` votes, and that the
+    character is a letter and no part of the sequence.
+    """
+    total: dict[str, int] = {}
+    for got, _, n in votes:
+        total[got] = total.get(got, 0) + n
+    out = {}
+    for got, want, n in sorted(votes, key=lambda v: (v[2], v[0], v[1])):
+        known = explained(got, want)
+        if n >= share * total[got] and (known or (n >= least and want.isalpha() and want not in got)):
+            out[got] = want
+    return out
+
+
+def apply_mappings(word: str, pattern: re.Pattern, table: dict[str, str]) -> str:
+    """The word with learned sequences replaced until nothing changes."""
+    while True:
+        out = pattern.sub(lambda m: table[m.group()], word)
+        if out == word:
+            return out
+        word = out
+
+
 @F.pandas_udf(T.BooleanType())
 def _fills(word: pd.Series, twin: pd.Series) -> pd.Series:
     """Is the twin the word with its replacement characters filled in?"""
@@ -262,11 +323,11 @@ def _fills(word: pd.Series, twin: pd.Series) -> pd.Series:
     return pd.Series([one(w, t) for w, t in zip(word, twin)], dtype="bool")
 
 
-def learn(rec: DataFrame, min_votes: int = 1, min_legacy_votes: int = 3) -> dict[str, DataFrame]:
+def learn(rec: DataFrame, min_votes: int = 1, min_legacy_votes: int = 3, min_mapping_votes: int = 3) -> dict[str, DataFrame]:
     """Learn the wrong decodings of a corpus.
 
     Returns ``line_words`` (line_key, word, key), ``vocab`` (word, key, n), ``pairs`` (kind, read_as, written_as, votes, against, learned),
-    ``fixes`` (word, key or null, restored, read_as, written_as). What several joins use
+    ``mappings`` (got, want, votes, learned), ``fixes`` (word, key or null, restored, read_as, written_as, route). What several joins use
     is cut through the checkpoint folder.
     """
     line_words = checkpoint(_line_words(_lines(rec)))
@@ -276,6 +337,16 @@ def learn(rec: DataFrame, min_votes: int = 1, min_legacy_votes: int = 3) -> dict
     spread = int(rec.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     guesses = checkpoint(words.select("word").repartition(spread).mapInPandas(_guess_all, _GUESS))
 
+    # near-twins first: one clean form per key and shape, aligned with the longer forms of the group
+    # (a word without letters of its own that survive would be a twin of whatever stands between the same neighbours)
+    shaped = vocab.filter("key is not null").filter(~F.col("word").contains(LOST) & (F.length(F.regexp_replace("word", "[^A-Za-z]", "")) >= 2)).withColumn("shape", F.regexp_replace("word", r"[^\x00-\x7F]+", "\x01"))
+    one = shaped.groupBy("key", "shape").agg(F.min_by("word", F.struct(F.length("word"), -F.col("n"), "word")).alias("twin"), F.max(F.length("word")).alias("longest"))
+    near = shaped.join(one.filter("longest > length(twin)"), ["key", "shape"]).filter("length(word) > length(twin)").select("word", "twin")
+    mapped = checkpoint(near.mapInPandas(_align_all, _ALIGNED).groupBy("got", "want").agg(F.count("*").alias("votes")))
+    # sequences seen once and explained by no code page are of no use; what is left is bounded by the characters of all alphabets
+    votes_of = [(r["got"], r["want"], r["votes"]) for r in mapped.filter(F.length("got") <= 24).toLocalIterator()]
+    table = learned_mappings(votes_of, min_mapping_votes)
+
     seen = ["kind", "read_as", "written_as"]
 
     def align(part: DataFrame, clean: DataFrame) -> DataFrame:
@@ -320,7 +391,23 @@ def learn(rec: DataFrame, min_votes: int = 1, min_legacy_votes: int = 3) -> dict
             yield pd.DataFrame(rows, columns=schema.names)
 
     null_key = F.lit(None).cast("string")
-    by_rule = checkpoint(dirty.mapInPandas(structural, schema)).withColumn("key", null_key)
+    pattern = re.compile("|".join(map(re.escape, sorted(table, key=lambda g: (-len(g), g)))) or r"(?!)")
+
+    def mapping(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for word in pdf["word"]:
+                if LOST not in word and pattern.search(word):
+                    out = apply_mappings(word, pattern, table)
+                    # a word with further sequences, which no twin showed, is read through the code pages as a whole
+                    if out != word and all(c in alphabet for c in out if c > "\x7f") and not any(_utf8_pass(out, c, None)[1] for c in codecs):
+                        rows.append((word, out, None, None))
+            yield pd.DataFrame(rows, columns=schema.names)
+
+    by_map = checkpoint(words.select("word").mapInPandas(mapping, schema)).withColumn("key", null_key)
+    left = dirty.join(by_map.select("word"), "word", "left_anti")
+    by_page = checkpoint(left.mapInPandas(structural, schema)).withColumn("key", null_key)
+    by_rule = by_map.unionByName(by_page)
 
     # then other encodings, among the words that UTF-8 does not explain
     rest = words.select("word").join(by_rule.select("word"), "word", "left_anti")
@@ -373,8 +460,14 @@ def learn(rec: DataFrame, min_votes: int = 1, min_legacy_votes: int = 3) -> dict
     lost = vocab.filter(F.col("word").contains(LOST)).join(best, "key", "left")
     lost = lost.select("word", F.when(_fills(F.col("word"), F.col("restored")), F.col("restored")).alias("restored"), F.lit("utf-8").alias("read_as"), null_key.alias("written_as"), "key")
     cols = ["word", "key", "restored", "read_as", "written_as"]
-    fixes = checkpoint(by_rule.select(*cols).unionByName(by_twin.select(*cols)).unionByName(mostly.select(*cols)).unionByName(east.select(*cols)).unionByName(single.select(*cols)).unionByName(lost.select(*cols)))
-    return {"line_words": line_words, "vocab": vocab, "pairs": pairs, "fixes": fixes}
+    routes = {"mapping": by_map, "code page": by_page, "one-byte twin": by_twin, "one-byte twin elsewhere": mostly, "east asian": east, "one-byte alone": single, "lost characters": lost}
+    fixes = None
+    for name, part in routes.items():
+        part = part.select(*cols, F.lit(name).alias("route"))
+        fixes = part if fixes is None else fixes.unionByName(part)
+    learned = rec.sparkSession.createDataFrame(list(table.items()) or [("", "")], "got string, want string").withColumn("learned", F.lit(True))
+    mappings = mapped.join(learned, ["got", "want"], "left").withColumn("learned", F.coalesce("learned", F.lit(False)))
+    return {"line_words": line_words, "vocab": vocab, "pairs": pairs, "mappings": mappings, "fixes": checkpoint(fixes)}
 
 
 def affected(rec: DataFrame, **options) -> DataFrame:
@@ -399,8 +492,17 @@ def affected(rec: DataFrame, **options) -> DataFrame:
     return rows.groupBy("source_table", "row_id").agg(ordered.alias("fixes"))
 
 
+def routes(rec: DataFrame, **options) -> DataFrame:
+    """How many words, and distinct lines, each route decided: route, words, lines."""
+    learned = learn(rec, **options)
+    fixes = learned["fixes"].select("word", "route").distinct()
+    found = learned["line_words"].join(fixes, "word")
+    return found.groupBy("route").agg(F.count_distinct("word").alias("words"), F.count_distinct("line_key").alias("lines"))
+
+
 def restore(rec: DataFrame, **options) -> DataFrame:
     """Affected rows with ``text``, ``restored`` and ``complete`` (nothing unrecoverable is left)."""
-    rows = affected(rec, **options).join(rec, ["source_table", "row_id"])
+    # a text of ASCII letters alone is never affected: such texts are left out before the join moves them
+    rows = affected(rec, **options).join(rec.filter(F.col("text").rlike(r"[^\x00-\x7F]")), ["source_table", "row_id"])
     fixed = F.aggregate("fixes", F.col("text"), lambda t, x: F.replace(t, x["word"], x["restored"]))
     return rows.select("source_table", "row_id", "text", fixed.alias("restored"), (~F.coalesce(fixed.contains(LOST), F.lit(False))).alias("complete"))

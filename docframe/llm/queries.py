@@ -24,6 +24,11 @@ def p1_transformations(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.learn(_p1_records(spark, d))["pairs"].filter("learned").select("read_as", "written_as", "votes", "against")
 
 
+def p1_routes(spark: SparkSession, d: str) -> DataFrame:
+    """How many words and lines each route of the restoration decided."""
+    return mojibake.routes(_p1_records(spark, d))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     cut = splitting.pieces(table(spark, d, "chunks"), table(spark, d, "chunk_results"))
     return cut.filter("piece_index = 0").select("chunk_id")
@@ -75,7 +80,7 @@ def p8_levels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    named = (p1_found, p1_restored, p1_transformations, p3_found, p3_pieces, p5_found, p5_redacted, p6_ids, p6_round_trip, p7_found, p7_spans, p7_stripped, p8_found, p8_levels)
+    named = (p1_found, p1_restored, p1_transformations, p1_routes, p3_found, p3_pieces, p5_found, p5_redacted, p6_ids, p6_round_trip, p7_found, p7_spans, p7_stripped, p8_found, p8_levels)
     return {f.__name__: f for f in named}
 
 

@@ -55,3 +55,31 @@ def test_one_byte_words_without_a_twin(spark):
     first = len(CLEAN) * 3 + len(HARMLESS)
     assert set(got) == set(range(first, len(texts))) and got[len(texts) - 1] == "столица"
     assert not any(m.stands_alone(w, t) for w in ("naïve", "Übermaß", "привет", "cost–benefit", "Foo™") for _, _, t in m.legacy_guesses(w))
+
+
+def test_unlisted_decoding(spark):
+    """UTF-8 read through a page that is on no list: twins teach its letters, words without a twin are restored by them."""
+    assert "cp775" not in m.READ_AS
+    words = ("Größe der Schrift", "Löschen große Datei", "Möbel und Stühle", "Flügel der Tür", "Süße Übung macht müde")
+    texts = [w + f" ({k})" for w in words for k in range(2)] + [garble(w, "utf-8", "cp775") for w in words]
+    alone = garble("Hügelkönig", "utf-8", "cp775")
+    rec = frame(spark, [*texts, alone])
+    got = {r["row_id"]: r["restored"] for r in m.restore(rec).collect()}
+    assert {i: got.get(i) for i in range(10, 16)} == {10 + i: w for i, w in enumerate((*words, "Hügelkönig"))} and set(got) == set(range(10, 16))
+    by = {r["route"]: r["words"] for r in m.routes(rec).collect()}
+    assert set(by) == {"mapping"}
+
+
+def test_any_number_of_layers(spark):
+    bad = "Größe"
+    for _ in range(4):
+        bad = garble(bad, "utf-8", "cp1252")
+    texts = ["die Größe der Dinge"] * 2 + [f"die {garble('Größe', 'utf-8', 'cp1252')} der Dinge", f"die {bad} der Dinge", bad]
+    got = {r["row_id"]: r["restored"] for r in m.restore(frame(spark, texts)).collect()}
+    assert got == {2: "die Größe der Dinge", 3: "die Größe der Dinge", 4: "Größe"}
+
+
+def test_alignment():
+    assert m.aligned("GrÃ¶Ã\x9fe", "Größe") == [("Ã¶Ã\x9f"[:2], "ö"), ("Ã\x9f", "ß")]
+    assert m.aligned("señal", "señal") == [] and m.aligned("xÃ¶y", "xöy") == [("Ã¶", "ö")]
+    assert m.learned_mappings([("Ã¶", "ö", 1), ("zz––", "—", 2), ("ab", "c", 5), ("ab", "d", 5)]) == {"Ã¶": "ö"}
