@@ -1,11 +1,14 @@
 """Reading level of documents from word acquisition grades.
 
 1. Readers' labels give graded texts. For every word the share of each level's words that it makes up is
-   its graded distribution; the median of that distribution is the grade at which it is acquired.
+   its graded distribution; the median of that distribution is the grade at which it is acquired. Every word of the graded texts
+   has a grade. The model is fitted on at most ``MAX_LABELLED`` labelled documents, picked by a hash of their ids, a bound of
+   the model and not of the data it is applied to.
 2. A document's score is a quantile of the grades of its known words, prose only. Which quantile, and the
    score at which each level begins, is calibrated on the labelled documents.
-3. All documents are scored in one Arrow pass; the grade table is broadcast, at most ``MAX_WORDS`` words
-   (the most used ones first), a bound of the model and not of the data it is applied to.
+3. The two highest levels may share their words and differ in syntax. Among documents that the grades put at level 4 or above,
+   the words per sentence at which level 5 begins are calibrated too, and used where they agree with more labels than the grades do.
+4. All documents are scored in one Arrow pass; the grades are broadcast, their number bounded by the words of ``MAX_LABELLED`` documents.
 
 Prose: fenced code, headings, table rows, code and log lines, lines without a sentence and data lists
 do not count; a paragraph (lines between blank ones) counts where prose is at least half of it, and
@@ -33,9 +36,12 @@ from docframe.session import checkpoint
 
 LEVELS = (1, 2, 3, 4, 5)
 QUANTILES = (0.25, 0.5, 0.75)
-MAX_WORDS = 300_000
+#: Labelled documents the model is fitted on.
+MAX_LABELLED = 20_000
 #: Score bins of the calibration histogram.
 BINS = 400
+#: Words per sentence that one bin of the second calibration stands for.
+SENTENCE_BIN = 0.5
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]+")
@@ -101,19 +107,29 @@ def prose(text: str) -> list[tuple[str, list[str]]]:
     return out if taken * 9 >= code * 11 else []
 
 
-def words(text: str | None) -> list[str]:
-    """Lower-case words of the prose of a text."""
+_SENTENCE_END = re.compile(r"[.!?。！？]+(?=\s|$|[^\s\w.])")
+
+
+def measure(text: str | None) -> tuple[list[str], int]:
+    """Lower-case words of the prose of a text, and how many sentences end in it."""
     if not text:
-        return []
+        return [], 0
     flat: list[str] = []
+    ends = 0
     for line, found in prose(text.lower()):
+        ends += len(_SENTENCE_END.findall(line))
         if line.isascii() or not _CJK.search(line):
             flat += found
             continue
         for w in found:
             runs = _CJK.findall(w)
             flat += [run[i : i + 2] for run in runs for i in range(max(1, len(run) - 1))] if runs else [w]
-    return flat
+    return flat, ends
+
+
+def words(text: str | None) -> list[str]:
+    """Lower-case words of the prose of a text."""
+    return measure(text)[0]
 
 
 def true_levels(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -123,16 +139,17 @@ def true_levels(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return rated.groupBy(id_col).agg(F.percentile("l", 0.5).alias("level"))
 
 
-def graded_texts(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Labelled documents as word counts: id, level, words, counts."""
-    levels = true_levels(labels, id_col)
+def graded_texts(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """Labelled documents as word counts: id, level, words, counts, length (words per sentence)."""
+    levels = true_levels(labels, id_col).orderBy(F.xxhash64(id_col), id_col).limit(max_labelled)
     src = documents.select(id_col, F.col(text_col).alias("_t")).join(levels, id_col)
-    schema = T.StructType([src.schema[id_col], T.StructField("level", T.DoubleType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("counts", T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([src.schema[id_col], T.StructField("level", T.DoubleType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("counts", T.ArrayType(T.IntegerType())), T.StructField("length", T.DoubleType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            counted = [Counter(words(t)) for t in pdf["_t"]]
-            yield pd.DataFrame({id_col: pdf[id_col], "level": pdf["level"], "words": [list(c) for c in counted], "counts": [list(c.values()) for c in counted]})
+            got = [measure(t) for t in pdf["_t"]]
+            counted = [Counter(ws) for ws, _ in got]
+            yield pd.DataFrame({id_col: pdf[id_col], "level": pdf["level"], "words": [list(c) for c in counted], "counts": [list(c.values()) for c in counted], "length": [len(ws) / max(1, n) for ws, n in got]})
 
     return src.mapInPandas(run, schema)
 
@@ -148,7 +165,7 @@ def word_grades(graded: DataFrame) -> DataFrame:
     half = F.col("all") / 2
     hit = cum.filter((F.col("c") >= half) & (F.col("c") - F.col("p") < half))
     hit = hit.select("word", (F.col("lv") - 1 + (half - (F.col("c") - F.col("p"))) / F.col("p")).alias("grade"))
-    return hit.join(flat.groupBy("word").agg(F.sum("n").alias("n")), "word").filter("n >= 2")
+    return hit.join(flat.groupBy("word").agg(F.sum("n").alias("n")), "word")
 
 
 def _scores(ws, cs, grades: dict[str, float]) -> list[float] | None:
@@ -160,21 +177,42 @@ def _scores(ws, cs, grades: dict[str, float]) -> list[float] | None:
 
 
 class Model:
-    """Grades and calibration: plain values, small enough to broadcast."""
+    """Grades and calibration: plain values, small enough to broadcast. ``long_from``: words per sentence from which level 5 begins, None where the grades decide it."""
 
-    def __init__(self, grades: dict[str, float], quantile: float, cuts: list[float]) -> None:
-        self.grades, self.quantile, self.cuts = grades, quantile, cuts
+    def __init__(self, grades: dict[str, float], quantile: float, cuts: list[float], long_from: float | None = None) -> None:
+        self.grades, self.quantile, self.cuts, self.long_from = grades, quantile, cuts, long_from
 
-    def score(self, text: str | None) -> tuple[float | None, int]:
+    def score(self, text: str | None) -> tuple[float | None, int, float]:
+        """(score, known words, words per sentence) of a text."""
         get = self.grades.get
-        g = [x for x in map(get, words(text)) if x is not None]
+        ws, ends = measure(text)
+        g = [x for x in map(get, ws) if x is not None]
         if not g:
-            return None, 0
-        arr = np.array(g)
-        return float(np.quantile(arr, self.quantile)), len(g)
+            return None, 0, 0.0
+        return float(np.quantile(np.array(g), self.quantile)), len(g), len(ws) / max(1, ends)
+
+    def level(self, score: float | None, length: float = 0.0) -> int | None:
+        if score is None:
+            return None
+        level = LEVELS[bisect.bisect_right(self.cuts, score)]
+        if level >= LEVELS[-2] and self.long_from is not None:
+            return LEVELS[-1] if length >= self.long_from else LEVELS[-2]
+        return level
 
-    def level(self, score: float | None) -> int | None:
-        return None if score is None else LEVELS[bisect.bisect_right(self.cuts, score)]
+
+def calibrate_length(hist: list[tuple[int, int, float, int]], cut: float) -> float | None:
+    """Words per sentence at which level 5 begins, from rows (length bin, score bin, level, count) of documents at level 4 or above by their grades.
+
+    None where cutting by the score, as before, agrees with at least as many labels.
+    """
+    top = LEVELS[-1] - 0.25
+    by_score = sum(n for _, sb, lv, n in hist if (sb * LEVELS[-1] / BINS >= cut) == (lv >= top))
+    best, at = by_score, None
+    for b in sorted({lb for lb, *_ in hist}):
+        right = sum(n for lb, _, lv, n in hist if (lb >= b) == (lv >= top))
+        if right > best:
+            best, at = right, b * SENTENCE_BIN
+    return at
 
 
 def calibrate(hist: list[tuple[int, int, float, int]]) -> tuple[float, list[float]]:
@@ -202,26 +240,28 @@ def calibrate(hist: list[tuple[int, int, float, int]]) -> tuple[float, list[floa
     return best[1], best[2]
 
 
-def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_words: int = MAX_WORDS) -> Model:
-    """Word grades and calibration from all labelled documents."""
-    graded = checkpoint(graded_texts(documents, labels, id_col, text_col))
-    top = word_grades(graded).orderBy(F.desc("n"), "word").limit(max_words).select("word", "grade")
-    grades = {w: g for w, g in zip(*top.toPandas().to_dict("list").values())}  # bounded by max_words
+def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> Model:
+    """Word grades and calibration from the labelled documents, at most ``max_labelled``."""
+    graded = checkpoint(graded_texts(documents, labels, id_col, text_col, max_labelled))
+    grades = {w: g for w, g in zip(*word_grades(graded).select("word", "grade").toPandas().to_dict("list").values())}  # words of max_labelled documents
     shared = documents.sparkSession.sparkContext.broadcast(grades)
-    schema = "qi int, bin int, level double"
+    schema = "qi int, bin int, length int, level double"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for ws, cs, lv in zip(pdf["words"], pdf["counts"], pdf["level"]):
+            for ws, cs, lv, length in zip(pdf["words"], pdf["counts"], pdf["level"], pdf["length"]):
                 s = _scores(ws, cs, shared.value)
                 if s:
-                    rows += [(k, min(BINS, max(0, int(x * BINS / LEVELS[-1]))), lv) for k, x in enumerate(s)]
-            yield pd.DataFrame(rows, columns=["qi", "bin", "level"])
+                    rows += [(k, min(BINS, max(0, int(x * BINS / LEVELS[-1]))), min(BINS, int(length / SENTENCE_BIN)), lv) for k, x in enumerate(s)]
+            yield pd.DataFrame(rows, columns=["qi", "bin", "length", "level"])
 
-    hist = graded.mapInPandas(run, schema).groupBy("qi", "bin", "level").count().collect()  # bounded: quantiles x bins x levels
-    quantile, cuts = calibrate([tuple(r) for r in hist]) if hist else (QUANTILES[1], [2.0, 3.0, 4.0, 5.0])
-    return Model(grades, quantile, cuts)
+    hist = [tuple(r) for r in graded.mapInPandas(run, schema).groupBy("qi", "bin", "length", "level").count().toLocalIterator()]  # at most quantiles x max_labelled
+    if not hist:
+        return Model(grades, QUANTILES[1], [2.0, 3.0, 4.0, 5.0])
+    quantile, cuts = calibrate([(k, b, lv, n) for k, b, _, lv, n in hist])
+    mine = [(length, b, lv, n) for k, b, length, lv, n in hist if QUANTILES[k] == quantile and b * LEVELS[-1] / BINS >= cuts[-2]]
+    return Model(grades, quantile, cuts, calibrate_length(mine, cuts[-1]))
 
 
 def levels(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
@@ -235,7 +275,7 @@ def levels(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
         m = shared.value
         for batch in batches:
             got = [m.score(x.as_py()) for x in batch.column(1)]
-            cols = [batch.column(0), pa.array([m.level(s) for s, _ in got], pa.int32()), pa.array([s for s, _ in got], pa.float64()), pa.array([n for _, n in got], pa.int32())]
+            cols = [batch.column(0), pa.array([m.level(s, n) for s, _, n in got], pa.int32()), pa.array([s for s, _, _ in got], pa.float64()), pa.array([n for _, n, _ in got], pa.int32())]
             yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return src.mapInArrow(run, schema)
