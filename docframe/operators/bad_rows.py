@@ -19,9 +19,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from docframe.session import BROADCAST_ROWS, checkpoint
+
 KEYS = ["result_id", "table_pos", "row_number"]
-#: Stand-ins for a field separator; the first one that a record does not contain is used.
-_MARKS = ("\u0001", "\u0002", "\u0003", "￿")
+#: Stand-in for a field separator. In a record that holds it, it is doubled to ``_HELD`` and ``_CUT`` separates instead.
+_MARK, _HELD, _CUT = "\u0001", "\u0001a", "\u0001b"
 
 # Patterns of the value types.
 INTEGER = r"^[+-]?[0-9]+$"
@@ -32,11 +34,12 @@ DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
 
 def split_record(record: Column, delimiter: Column) -> Column:
     """Array of fields of an RFC 4180 record, null where its quoting is broken."""
+    held = record.contains(_MARK)
+    mark = F.when(held, _CUT).otherwise(_MARK)
+    delimiter = F.when(held, F.replace(delimiter, F.lit(_MARK), F.lit(_HELD))).otherwise(delimiter)
+    record = F.when(held, F.replace(record, F.lit(_MARK), F.lit(_HELD))).otherwise(record)
     parts = F.split(record, '"', -1)
     n = F.size(parts)
-    mark = F.lit(_MARKS[-1])
-    for m in reversed(_MARKS[:-1]):
-        mark = F.when(~record.contains(m), F.lit(m)).otherwise(mark)
 
     def outside(x: Column, i: Column) -> Column:
         """Is the text between two quoted stretches, or before the first or after the last, legal?"""
@@ -52,7 +55,8 @@ def split_record(record: Column, delimiter: Column) -> Column:
     )
     simple = F.when(~record.rlike(r"[\r\n]"), F.split(F.replace(record, delimiter, mark), mark, -1))
     quoted = F.when((n % 2 == 1) & legal, F.split(F.array_join(glued, ""), mark, -1))
-    return F.when(record.contains('"'), quoted).otherwise(simple)
+    fields = F.when(record.contains('"'), quoted).otherwise(simple)
+    return F.when(held, F.transform(fields, lambda x: F.replace(x, F.lit(_HELD), F.lit(_MARK)))).otherwise(fields)
 
 
 def records(tables_results: DataFrame) -> DataFrame:
@@ -105,6 +109,13 @@ def failures(tables_results: DataFrame, table_schemas: DataFrame) -> DataFrame:
     return found.select(*KEYS, "table_index", F.coalesce("shape", F.lit("value")).alias("reason"), "bad_columns")
 
 
+def _without_failures(recs: DataFrame, tables_results: DataFrame, table_schemas: DataFrame) -> DataFrame:
+    """Records that did not fail. The keys of failures are few as a rule; then the records are not moved for the anti-join."""
+    bad = checkpoint(failures(tables_results, table_schemas).select(*KEYS))
+    small = bad.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return recs.join(F.broadcast(bad) if small else bad, KEYS, "left_anti")
+
+
 def clean_records(tables_results: DataFrame, table_schemas: DataFrame) -> DataFrame:
     """Valid records in long typed form: KEYS, table_index, schema_name, col_name, and the value as text and typed.
 
@@ -112,7 +123,7 @@ def clean_records(tables_results: DataFrame, table_schemas: DataFrame) -> DataFr
     where the rule has that type, null for an empty nullable value.
     """
     recs = records(tables_results)
-    good = recs.join(failures(tables_results, table_schemas).select(*KEYS), KEYS, "left_anti")
+    good = _without_failures(recs, tables_results, table_schemas)
     cells = good.select(*KEYS, "table_index", "schema_name", F.posexplode("fields").alias("c", "raw"))
     cells = cells.withColumn("col_pos", F.col("c") + 1).join(rules(table_schemas), ["schema_name", "col_pos"])
     v = F.when(F.trim("raw") != "", F.trim("raw"))
@@ -134,7 +145,7 @@ def typed_table(tables_results: DataFrame, table_schemas: DataFrame, schema_name
     spec = rules(table_schemas).filter(F.col("schema_name") == schema_name).orderBy("col_pos").collect()  # the columns of one schema
     kinds = {"integer": "bigint", "decimal": "decimal(38,9)", "boolean": "boolean", "date": "date", "text": "string"}
     mine = tables_results.filter(F.col("schema_name") == schema_name)
-    good = records(mine).join(failures(mine, table_schemas).select(*KEYS), KEYS, "left_anti")
+    good = _without_failures(records(mine), mine, table_schemas)
     cols = []
     for r in spec:
         raw = F.try_element_at("fields", F.lit(r["col_pos"]))

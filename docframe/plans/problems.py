@@ -62,13 +62,14 @@ def _failures_sql() -> str:
     whole = _by_delimiter("regexp_full_match(record, '" + f"{_FIELD}(?:D{_FIELD})*".replace("D", "@") + "')")
     cells = _by_delimiter("regexp_extract_all(delimiter || record, '" + _CUT.replace("D", "@") + "', 1)")
     return f"""
-      tab AS (SELECT result_id, schema_name, delimiter, unnest(tables) AS t FROM tables_results),
-      raw AS (SELECT result_id, schema_name, delimiter, t.table_index AS table_index, unnest(t.rows) AS record, generate_subscripts(t.rows, 1) AS row_number FROM tab),
+      tab AS (SELECT result_id, schema_name, delimiter, unnest(tables) AS t, generate_subscripts(tables, 1) - 1 AS table_pos FROM tables_results),
+      raw AS (SELECT result_id, schema_name, delimiter, table_pos, t.table_index AS table_index, unnest(t.rows) AS record, generate_subscripts(t.rows, 1) AS row_number FROM tab),
       rec AS (SELECT *, {whole} AS quoted FROM raw WHERE row_number > 1 AND record IS NOT NULL AND record <> ''),
       parsed AS (SELECT *, CASE WHEN quoted THEN {cells} END AS fields FROM rec),
       width AS (SELECT schema_name, count(*) AS n FROM table_schemas GROUP BY schema_name),
-      cell AS (SELECT result_id, table_index, row_number, schema_name, generate_subscripts(fields, 1) AS col_pos, unnest(fields) AS f FROM parsed),
-      clean AS (SELECT *, trim(CASE WHEN f LIKE '"%' THEN replace(substr(f, 2, length(f) - 2), '""', '"') ELSE f END, ' ') AS v FROM cell),
+      cell AS (SELECT result_id, table_pos, table_index, row_number, schema_name, generate_subscripts(fields, 1) AS col_pos, unnest(fields) AS f FROM parsed),
+      bare AS (SELECT *, CASE WHEN f LIKE '"%' THEN replace(substr(f, 2, length(f) - 2), '""', '"') ELSE f END AS value FROM cell),
+      clean AS (SELECT *, trim(value, ' ') AS v FROM bare),
       bad AS (SELECT DISTINCT c.result_id, c.table_index, c.row_number FROM clean c JOIN table_schemas s ON c.schema_name = s.schema_name AND c.col_pos = s.col_pos
         WHERE CASE WHEN v = '' THEN NOT s.nullable
           WHEN s.value_type = 'integer' THEN NOT (regexp_full_match(v, '[+-]?[0-9]+') AND TRY_CAST(v AS BIGINT) IS NOT NULL)
@@ -84,6 +85,12 @@ def _failures_sql() -> str:
 def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": f"WITH {_failures_sql()} SELECT result_id, table_index, row_number, reason FROM failed WHERE reason IS NOT NULL",
+        "p2_cells": f"""WITH {_failures_sql()}
+          SELECT c.result_id, c.table_pos::INTEGER AS table_pos, c.row_number::INTEGER AS row_number, c.table_index, c.schema_name, c.col_pos::INTEGER AS col_pos, s.col_name, s.value_type, c.value,
+            CASE WHEN s.value_type = 'integer' THEN TRY_CAST(nullif(v, '') AS BIGINT) END AS as_integer, CASE WHEN s.value_type = 'decimal' THEN ltrim(nullif(v, ''), '+') END AS as_decimal,
+            CASE WHEN s.value_type = 'boolean' THEN lower(nullif(v, '')) = 'true' END AS as_boolean, CASE WHEN s.value_type = 'date' THEN TRY_CAST(nullif(v, '') AS DATE) END AS as_date
+          FROM clean c JOIN table_schemas s ON c.schema_name = s.schema_name AND c.col_pos = s.col_pos
+            JOIN failed x ON c.result_id = x.result_id AND c.table_index = x.table_index AND c.row_number = x.row_number WHERE x.reason IS NULL""",
         "p2_summary": f"""WITH {_failures_sql()}
           SELECT r.schema_name, f.reason, count(*) AS records FROM failed f JOIN tables_results r ON f.result_id = r.result_id WHERE f.reason IS NOT NULL GROUP BY r.schema_name, f.reason""",
     }

@@ -94,3 +94,11 @@ def test_defined_cases(spark, rules):
     assert b.failures(t, rules.limit(0)).select("reason").distinct().collect()[0]["reason"] == "quoting"
     long = frame(spark, ("s", ",", ['"' + "x" * 300_000 + '",1,2024-01-01', "," * 50_000]))
     assert [r["reason"] for r in b.failures(long, rules).collect()] == ["columns"]
+
+
+def test_separators_in_records(spark):
+    """Control characters of any kind in a record, or as the delimiter, are ordinary characters."""
+    rows = [("a\x01b\x02\x03\uffff,c", ","), ('"x,\x01y",\x01b', ","), ("p\x01q", "\x01"), ("\x01a,\x01b,\x01", ","), ('"\x01""",z', ",")]
+    df = spark.createDataFrame(rows, "r string, d string")
+    got = [r["f"] for r in df.select(b.split_record(df["r"], df["d"]).alias("f")).collect()]
+    assert got == [["a\x01b\x02\x03\uffff", "c"], ["x,\x01y", "\x01b"], ["p", "q"], ["\x01a", "\x01b", "\x01"], ['\x01"', "z"]]
