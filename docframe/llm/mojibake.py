@@ -107,9 +107,11 @@ def utf8_guess(word: str, codecs: tuple[str, ...], alphabet: frozenset[str]) ->
     while layer:  # every pass shortens the text, so this ends
         found = {}
         for done, text, first in layer:
-            for i, c in enumerate(codecs):
-                out, n = _utf8_pass(text, c, None)
-                if n and out not in found and out not in seen:
+            passes = [(*_utf8_pass(text, c, None), i, c) for i, c in enumerate(codecs)]
+            # beyond the first layer only by the pages that explain most of the text: what they read is the text of the layer before
+            least = max(n for _, n, _, _ in passes) if first and passes else 1
+            for out, n, i, c in passes:
+                if n and n >= least and out not in found and out not in seen:
                     found[out] = (done + n, -i, out, first or c)
         for n, i, out, first in found.values():
             if known(out) and (best is None or (n, i) > best[0]):
@@ -406,7 +408,7 @@ def learn(rec: DataFrame, min_votes: int = 1, min_legacy_votes: int = 3, min_map
 
     by_map = checkpoint(words.select("word").mapInPandas(mapping, schema)).withColumn("key", null_key)
     left = dirty.join(by_map.select("word"), "word", "left_anti")
-    by_page = checkpoint(left.mapInPandas(structural, schema)).withColumn("key", null_key)
+    by_page = checkpoint(left.repartition(spread).mapInPandas(structural, schema)).withColumn("key", null_key)
     by_rule = by_map.unionByName(by_page)
 
     # then other encodings, among the words that UTF-8 does not explain

@@ -38,6 +38,18 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.pieces(table(spark, d, "chunks"), table(spark, d, "chunk_results"))
 
 
+def p3_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Of every oversized chunk: do its pieces, without their overlaps, make up the text, and is each within the limit?"""
+    chunks, results = table(spark, d, "chunks"), table(spark, d, "chunk_results")
+    cut = splitting.pieces(chunks, results)
+    own = F.struct("piece_index", F.expr("substring(text, overlap_characters + 1)").alias("t"))
+    size = splitting.size_of(F.col("text"))
+    joined = cut.groupBy("chunk_id").agg(F.array_sort(F.collect_list(own)).alias("p"), F.max(size).alias("largest"), F.max(F.col("tokens") - size).alias("off"))  # the pieces of one text
+    src = splitting.oversized(chunks, results).select("chunk_id", F.col("text").alias("whole"), "_max")
+    text = F.array_join(F.transform("p", lambda x: x["t"]), "")
+    return joined.join(src, "chunk_id").select("chunk_id", (text == F.col("whole")).alias("whole"), (F.col("largest") <= F.col("_max")).alias("within"), (F.col("off") == 0).alias("sized"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return secrets.find(table(spark, d, "line_items"), table(spark, d, "match_locations")).select("source_table", "row_id")
 
@@ -80,21 +92,25 @@ def p8_levels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    named = (p1_found, p1_restored, p1_transformations, p1_routes, p3_found, p3_pieces, p5_found, p5_redacted, p6_ids, p6_round_trip, p7_found, p7_spans, p7_stripped, p8_found, p8_levels)
+    named = (p1_found, p1_restored, p1_transformations, p1_routes, p3_found, p3_pieces, p3_whole, p5_found, p5_redacted, p6_ids, p6_round_trip, p7_found, p7_spans, p7_stripped, p8_found, p8_levels)
     return {f.__name__: f for f in named}
 
 
 _SPACES = r"\t\n\x0b\f\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
 
-def oracle_sql() -> dict[str, str]:
-    return {
-        "p3_found": f"""
+# The chunks beyond their limit, with their size.
+_OVERSIZED = f"""
             WITH res AS (SELECT result_id, any_value(max_tokens) AS max_tokens FROM chunk_results GROUP BY result_id),
             sized AS (
               SELECT c.chunk_id, CASE WHEN r.max_tokens > 0 THEN r.max_tokens ELSE 512 END AS most,
                 floor((length(c.text) / 4.0::DOUBLE + len(regexp_extract_all(c.text, '[^{_SPACES}]+')) * 1.3::DOUBLE) / 2.0::DOUBLE) AS size
-              FROM chunks c LEFT JOIN res r ON c.result_id = r.result_id WHERE c.text IS NOT NULL)
-            SELECT chunk_id FROM sized WHERE size > most""",
+              FROM chunks c LEFT JOIN res r ON c.result_id = r.result_id WHERE c.text IS NOT NULL)"""
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "p3_found": f"{_OVERSIZED} SELECT chunk_id FROM sized WHERE size > most",
+        "p3_whole": f"{_OVERSIZED} SELECT chunk_id, true AS whole, true AS within, true AS sized FROM sized WHERE size > most",
         "p6_round_trip": "SELECT doc_id, length(coalesce(text, ''))::BIGINT AS n_chars FROM documents",
     }

@@ -30,6 +30,8 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 DEFAULT_MAX = 512
 # White space as Unicode's property has it.
 _SPACE = np.array([9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
+#: Runs without white space as Unicode defines it (U+001C to U+001F are none), the same in Python and the JVM.
+_WORD = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _SENTENCE = re.compile(r"[.!?…][\"'”’)\]]*(?=\s)|[。！？]")
 
 
@@ -188,7 +190,7 @@ def pieces(chunks: DataFrame, chunk_results: DataFrame) -> DataFrame:
                     at = a
                     part = text[a:b]
                     down = part[:-1].count("\n")
-                    words = len(re.findall(r"\S+", part))
+                    words = len(_WORD.findall(part))
                     lines = (None, None) if pd.isna(first) else (int(first) + line, int(first) + line + down)
                     rows.append((r[0], r[1], k, part, *lines, len(part), int((len(part) / 4 + words * 1.3) / 2), before - a if k else 0))
                     before = b
