@@ -1,7 +1,8 @@
 """File trees as a DataFrame, through a Python data source.
 
-``spark.read.format("filetree").option("root", dir).load()`` after ``register(spark)``. Sub-trees are pruned in the
-driver while listing; the readers only stat and read what is left. Every file is its own unit of work, grouped by size.
+``spark.read.format("filetree").option("root", dir).load()`` after ``register(spark)``. The driver lists only the upper levels of
+the tree, until it has ``FOLDERS`` folders; each of them is walked, pruned and read by a task of its own, and the files above them in
+groups of ``GROUP_FILES``. The driver neither looks into files nor holds the paths of the whole tree.
 ``path``, ``name``, ``size``, ``mod_time``, ``is_dir``, ``is_binary``; ``content`` is read only with
 ``option("content", "true")``, so listing stays cheap. The folder must be visible to all executors.
 
@@ -24,7 +25,8 @@ from pyspark.sql.types import StructType
 # Directories that are never entered.
 IGNORED = frozenset((".git", "node_modules", "vendor", ".vscode", ".idea", "dist", "build", "bin", "obj", "__pycache__", ".venv", "target"))
 SCHEMA = "path string, name string, size bigint, mod_time string, is_dir boolean, is_binary boolean, content binary"
-GROUP_BYTES = 64 << 20
+#: Folders at which the driver stops listing, and files of one task above them.
+FOLDERS, GROUP_FILES = 512, 1_000
 
 
 def glob_regex(glob: str) -> re.Pattern:
@@ -59,33 +61,48 @@ def is_binary(head: bytes) -> bool:
     return b"\0" in head[:512]
 
 
-def walk(root: str, include: list[str] = (), exclude: list[str] = (), dirs: bool = False, depth: int = 0, hidden: bool = False) -> Iterator[tuple[str, bool]]:
-    """(path, is directory) in lexical order, component by component."""
-    inc, exc = [glob_regex(g) for g in include], [glob_regex(g) for g in exclude]
+class Rules:
+    """What of a tree is listed: globs on base names, folders, depth, hidden entries."""
 
-    def visit(folder: str, level: int) -> Iterator[tuple[str, bool]]:
+    def __init__(self, include: list[str] = (), exclude: list[str] = (), dirs: bool = False, depth: int = 0, hidden: bool = False) -> None:
+        self.inc, self.exc = [glob_regex(g) for g in include], [glob_regex(g) for g in exclude]
+        self.dirs, self.depth, self.hidden = dirs, depth, hidden
+
+    def entries(self, folder: str, level: int) -> tuple[list[tuple[str, bool]], list[str]]:
+        """(listed entries as (path, is directory), folders to enter) of a folder, both by name; nothing of an unreadable one."""
+        listed, enter = [], []
         try:
-            entries = sorted(os.scandir(folder), key=lambda e: e.name)
+            found = sorted(os.scandir(folder), key=lambda e: e.name)
         except OSError:
-            return
-        for e in entries:
-            if e.name.startswith(".") and not hidden:
+            return listed, enter
+        for e in found:
+            if e.name.startswith(".") and not self.hidden:
                 continue
             if e.is_dir(follow_symlinks=False):
-                if e.name in IGNORED or (depth > 0 and level > depth):
+                if e.name in IGNORED or (self.depth > 0 and level > self.depth):
                     continue
-                if dirs:
-                    yield e.path, True
-                yield from visit(e.path, level + 1)
-            elif not any(p.match(e.name) for p in exc) and (not inc or any(p.match(e.name) for p in inc)):
-                yield e.path, False
-
-    yield from visit(root, 1)
+                enter.append(e.path)
+                if self.dirs:
+                    listed.append((e.path, True))
+            elif not any(p.match(e.name) for p in self.exc) and (not self.inc or any(p.match(e.name) for p in self.inc)):
+                listed.append((e.path, False))
+        return listed, enter
+
+    def walk(self, folder: str, level: int = 1) -> Iterator[tuple[str, bool]]:
+        """(path, is directory) of everything listed below a folder."""
+        todo = [(folder, level)]
+        while todo:
+            at, n = todo.pop()
+            listed, enter = self.entries(at, n)
+            yield from listed
+            todo += [(x, n + 1) for x in reversed(enter)]
 
 
 class _Group(InputPartition):
-    def __init__(self, entries: list[tuple[str, bool]]) -> None:
-        super().__init__(entries)
+    """Entries, or a folder to walk with its level."""
+
+    def __init__(self, entries: list[tuple[str, bool]], folder: str = "", level: int = 0) -> None:
+        super().__init__((entries, folder, level))
 
 
 class _Reader(DataSourceReader):
@@ -95,24 +112,27 @@ class _Reader(DataSourceReader):
     def _flag(self, name: str) -> bool:
         return str(self.o.get(name, "")).lower() in ("1", "true", "yes")
 
-    def partitions(self) -> list[InputPartition]:
+    def _rules(self) -> Rules:
         split = lambda k: [g for g in (x.strip() for x in self.o.get(k, "").split(",")) if g]
-        groups, size = [[]], 0
-        for path, folder in walk(self.o.get("root", "."), split("include"), split("exclude"), self._flag("dirs"), int(self.o.get("depth", 0)), self._flag("hidden")):
-            try:
-                n = 4096 if folder else os.stat(path).st_size + 4096
-            except OSError:
-                continue
-            if groups[-1] and size + n > GROUP_BYTES:
-                groups.append([])
-                size = 0
-            groups[-1].append((path, folder))
-            size += n
-        return [_Group(g) for g in groups]
+        return Rules(split("include"), split("exclude"), self._flag("dirs"), int(self.o.get("depth", 0)), self._flag("hidden"))
+
+    def partitions(self) -> list[InputPartition]:
+        rules, groups, own = self._rules(), [], []
+        todo = [(self.o.get("root", "."), 1)]
+        while todo and len(todo) < FOLDERS:
+            folder, level = todo.pop(0)
+            listed, enter = rules.entries(folder, level)
+            todo += [(x, level + 1) for x in enter]
+            own += listed
+            while len(own) >= GROUP_FILES:
+                groups.append(_Group(own[:GROUP_FILES]))
+                own = own[GROUP_FILES:]
+        return [*groups, *([_Group(own)] if own or not (groups or todo) else []), *(_Group([], f, n) for f, n in todo)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         whole = self._flag("content")
-        for path, folder in partition.value:
+        entries, below, level = partition.value
+        for path, folder in self._rules().walk(below, level) if below else entries:
             try:
                 st = os.stat(path)
                 body = b""

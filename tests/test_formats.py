@@ -193,6 +193,27 @@ def test_file_tree(spark, folder):
     assert files.extension_globs("js, *.ts,") == ["*.js", "*.ts"]
 
 
+def test_file_tree_is_walked_by_tasks(spark, tmp_path, monkeypatch):
+    """Below the level where the driver stops, tasks list the same entries."""
+    for i in range(9):
+        for j in range(4):
+            p = tmp_path / f"d{i}" / f"e{j}" / "deep"
+            p.mkdir(parents=True)
+            (p / "f.txt").write_text("x")
+            (p.parent / "g.md").write_text("y")
+    (tmp_path / "top.txt").write_text("z")
+    want = sorted(r["path"] for r in files.file_tree(spark, str(tmp_path), dirs=True).collect())
+    assert len(want) == 9 + 36 * 4 + 1
+    reader = files._Reader({"root": str(tmp_path), "dirs": "true"})
+    monkeypatch.setattr(files, "FOLDERS", 5)
+    monkeypatch.setattr(files, "GROUP_FILES", 3)
+    parts = reader.partitions()
+    assert sum(bool(p.value[1]) for p in parts) >= 5 and max(len(p.value[0]) for p in parts) <= 3
+    assert sorted(r[0] for p in parts for r in reader.read(p)) == want
+    shallow = files._Reader({"root": str(tmp_path), "depth": "1", "include": "*.txt,*.md"})
+    assert sorted(r[1] for p in shallow.partitions() for r in shallow.read(p)) == ["top.txt"]
+
+
 def test_decode(spark, folder):
     tree = files.file_tree(spark, str(folder), content=True).filter("not is_dir")
     docs = {os.path.basename(r["path"]): r for r in decode.documents(tree).collect()}
