@@ -9,11 +9,12 @@ from __future__ import annotations
 
 import re
 import struct
+import unicodedata
 import zlib
 
 import numpy as np
 
-from docframe.formats import images
+from docframe.formats import images, pdf_crypt
 from docframe.formats.docx import markdown_blocks
 
 A4 = (595.28, 841.89)
@@ -196,9 +197,29 @@ _REF = re.compile(rb"(\d+)\s+\d+\s+R")
 _TOKEN = re.compile(rb"<<|>>|\[|\]|/[^\s<>\[\]()/%]*|<[0-9A-Fa-f\s]*>|[^\s<>\[\]()/%]+|\(|%[^\r\n]*")
 
 
+def _decrypted(data: bytes, objs: dict[int, bytes], generations: dict[int, int]) -> None:
+    """Streams of an encrypted file made readable, in place; other files are left as they are."""
+    m = re.search(rb"/Encrypt\s+(\d+)\s+\d+\s+R", data)
+    inline = None if m else re.search(rb"/Encrypt\s*(<<.*?>>\s*(?:/|>>))", data, re.S)
+    if not (m or inline):
+        return
+    ident = re.search(rb"/ID\s*\[\s*(<[0-9A-Fa-f\s]*>|\()", data)
+    first = b""
+    if ident:
+        first = bytes.fromhex(re.sub(rb"\s", b"", ident[1][1:-1]).decode()) if ident[1][:1] == b"<" else literal(data, ident.end())[0]
+    key, aes = pdf_crypt.file_key(objs.get(int(m[1]), b"") if m else inline[1], first)
+    for n, body in objs.items():
+        head = _head(body)
+        if len(head) == len(body) or re.search(rb"/Type\s*/XRef\b", head):
+            continue
+        plain = pdf_crypt.decrypt(key, aes, n, generations[n], _payload(body, objs))
+        objs[n] = re.sub(rb"/Length\s+\d+(\s+\d+\s+R)?", b"/Length %d" % len(plain), head) + b"stream\n" + plain + b"\nendstream"
+
+
 def _objects(data: bytes) -> dict[int, bytes]:
-    """Body of every object by number; the last definition counts. Object streams are unpacked."""
+    """Body of every object by number; the last definition counts. Streams are decrypted, object streams unpacked."""
     out: dict[int, bytes] = {}
+    generations: dict[int, int] = {}
     at = 0
     while m := _OBJ.search(data, at):
         end = data.find(b"endobj", m.end())
@@ -208,7 +229,9 @@ def _objects(data: bytes) -> dict[int, bytes]:
             end = data.find(b"endobj", e) if e >= 0 else end
         end = len(data) if end < 0 else end
         out[int(m[1])] = data[m.end() : end]
+        generations[int(m[1])] = int(m[2])
         at = end
+    _decrypted(data, out, generations)
     for body in list(out.values()):
         if b"/ObjStm" in body[:300]:
             try:
@@ -235,7 +258,8 @@ def _int(body: bytes, key: bytes, objs: dict[int, bytes], default: int = 0) -> i
     return int(objs.get(int(m[1]), b"0").strip() or 0) if m[2] else int(m[1])
 
 
-def _stream(body: bytes, objs: dict[int, bytes]) -> bytes:
+def _payload(body: bytes, objs: dict[int, bytes]) -> bytes:
+    """The bytes of a stream as they are stored."""
     s = body.find(b"stream")
     if s < 0:
         return b""
@@ -243,7 +267,14 @@ def _stream(body: bytes, objs: dict[int, bytes]) -> bytes:
     at += 2 if body[at : at + 2] == b"\r\n" else 1 if body[at : at + 1] in b"\r\n" else 0
     n = _int(body, b"Length", objs)
     e = body.rfind(b"endstream")
-    raw = body[at : at + n] if 0 < n <= len(body) - at else body[at : e if e >= 0 else len(body)]
+    return body[at : at + n] if 0 < n <= len(body) - at else body[at : e if e >= 0 else len(body)]
+
+
+def _stream(body: bytes, objs: dict[int, bytes]) -> bytes:
+    s = body.find(b"stream")
+    if s < 0:
+        return b""
+    raw = _payload(body, objs)
     if b"/FlateDecode" in body[:s] or b"/Fl " in body[:s]:
         raw = zlib.decompressobj().decompress(raw)
         if (pred := _int(body, b"Predictor", objs, 1)) >= 10 and pred <= 15:
@@ -304,6 +335,103 @@ def _unicode_map(body: bytes) -> dict[int, str]:
     return out
 
 
+# Names of glyphs that are no letter with a mark.
+_GLYPH_NAMES = {
+    "space": " ", "exclam": "!", "quotedbl": '"', "numbersign": "#", "dollar": "$", "percent": "%", "ampersand": "&", "quotesingle": "'", "parenleft": "(", "parenright": ")", "asterisk": "*", "plus": "+", "comma": ",", "hyphen": "-", "period": ".", "slash": "/",
+    "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "colon": ":", "semicolon": ";", "less": "<", "equal": "=", "greater": ">", "question": "?", "at": "@",
+    "bracketleft": "[", "backslash": "\\", "bracketright": "]", "underscore": "_", "braceleft": "{", "bar": "|", "braceright": "}", "quoteleft": "‘", "quoteright": "’", "quotedblleft": "“", "quotedblright": "”", "endash": "–", "emdash": "—", "bullet": "•", "ellipsis": "…",
+    "fi": "fi", "fl": "fl", "ff": "ff", "ffi": "ffi", "ffl": "ffl", "germandbls": "ß", "ae": "æ", "AE": "Æ", "oe": "œ", "OE": "Œ", "oslash": "ø", "Oslash": "Ø", "Euro": "€", "section": "§", "degree": "°", "copyright": "©",
+}
+_MARKS = {"acute": "ACUTE", "grave": "GRAVE", "circumflex": "CIRCUMFLEX", "dieresis": "DIAERESIS", "tilde": "TILDE", "ring": "RING ABOVE", "cedilla": "CEDILLA", "caron": "CARON", "ogonek": "OGONEK", "macron": "MACRON", "breve": "BREVE"}
+
+
+def glyph_text(name: str) -> str:
+    """Text of a glyph name, "" if it tells nothing: single letters, ``uniXXXX``, a letter with a mark, or a known name."""
+    name = name.split(".")[0]
+    if len(name) == 1:
+        return name
+    if m := re.fullmatch(r"(?:uni|u)([0-9A-F]{4,6})", name):
+        return chr(int(m[1], 16)) if int(m[1], 16) < 0x110000 else ""
+    if name[1:] in _MARKS and name[0].isalpha():
+        try:
+            return unicodedata.lookup(f"LATIN {'CAPITAL' if name[0].isupper() else 'SMALL'} LETTER {name[0].upper()} WITH {_MARKS[name[1:]]}")
+        except KeyError:
+            return ""
+    return _GLYPH_NAMES.get(name, "")
+
+
+def _differences(body: bytes, objs: dict[int, bytes]) -> dict[int, str]:
+    """Characters of a simple font's own encoding."""
+    enc = _follow(re.search(rb"/Encoding\s+(\d+)\s+\d+\s+R", body), objs) or body
+    m = re.search(rb"/Differences\s*\[(.*?)\]", enc, re.S)
+    if not m:
+        return {}
+    base = "mac-roman" if b"/MacRomanEncoding" in enc else "cp1252"
+    out = {i: bytes([i]).decode(base, "replace") for i in range(32, 256)}
+    code = 0
+    for n, name in re.findall(rb"(\d+)|/([^\s/\[\]<>()]+)", m[1]):
+        if n:
+            code = int(n)
+        else:
+            if found := glyph_text(name.decode("latin-1")):
+                out[code] = found
+            code += 1
+    return out
+
+
+def truetype_map(data: bytes) -> dict[int, str]:
+    """Character of every glyph, from the character map of a TrueType program."""
+    out: dict[int, str] = {}
+    count = struct.unpack(">H", data[4:6])[0]
+    at = next((struct.unpack(">I", data[12 + 16 * i + 8 : 12 + 16 * i + 12])[0] for i in range(count) if data[12 + 16 * i : 12 + 16 * i + 4] == b"cmap"), 0)
+    if not at:
+        return out
+    for i in range(struct.unpack(">H", data[at + 2 : at + 4])[0]):
+        platform, _, off = struct.unpack(">HHI", data[at + 4 + 8 * i : at + 12 + 8 * i])
+        t = data[at + off :]
+        kind = struct.unpack(">H", t[:2])[0]
+        if platform not in (0, 3):
+            continue
+        if kind == 4:
+            n = struct.unpack(">H", t[6:8])[0] // 2
+            ends, starts = struct.unpack(f">{n}H", t[14 : 14 + 2 * n]), struct.unpack(f">{n}H", t[16 + 2 * n : 16 + 4 * n])
+            deltas, ranges = struct.unpack(f">{n}H", t[16 + 4 * n : 16 + 6 * n]), struct.unpack(f">{n}H", t[16 + 6 * n : 16 + 8 * n])
+            for k in range(n):
+                for c in range(starts[k], min(ends[k], 0xFFFE) + 1):
+                    g = c
+                    if ranges[k]:
+                        place = 16 + 6 * n + 2 * k + ranges[k] + 2 * (c - starts[k])
+                        g = struct.unpack(">H", t[place : place + 2])[0] if place + 2 <= len(t) else 0
+                        if not g:
+                            continue
+                    out.setdefault((g + deltas[k]) & 0xFFFF, chr(c))
+        elif kind == 12:
+            for k in range(min(struct.unpack(">I", t[12:16])[0], 100_000)):
+                lo, hi, g = struct.unpack(">III", t[16 + 12 * k : 28 + 12 * k])
+                for c in range(lo, min(hi, 0x10FFFF) + 1):
+                    out.setdefault(g + c - lo, chr(c))
+    return out
+
+
+def _embedded_map(body: bytes, objs: dict[int, bytes]) -> dict[int, str]:
+    """Characters of a composite font without a Unicode map, from the font program it embeds."""
+    below = _follow(re.search(rb"/DescendantFonts\s*\[?\s*(\d+)\s+\d+\s+R", body), objs)
+    if below.lstrip().startswith(b"["):
+        below = _follow(_REF.search(below), objs)
+    program = _follow(re.search(rb"/FontFile2\s+(\d+)\s+\d+\s+R", _follow(re.search(rb"/FontDescriptor\s+(\d+)\s+\d+\s+R", below), objs)), objs)
+    if not program or b"/Identity" not in body:
+        return {}
+    try:
+        by_glyph = truetype_map(_stream(program, objs))
+    except (struct.error, ValueError, zlib.error):
+        return {}
+    order = _follow(re.search(rb"/CIDToGIDMap\s+(\d+)\s+\d+\s+R", below), objs)
+    if not order:
+        return by_glyph
+    table = _stream(order, objs)
+    return {i: by_glyph[g] for i in range(len(table) // 2) if (g := int.from_bytes(table[2 * i : 2 * i + 2], "big")) in by_glyph}
+
+
 def _fonts(page: bytes, objs: dict[int, bytes]) -> dict[bytes, tuple[dict[int, str], int]]:
     """Unicode map and bytes per code of the page's fonts, by resource name."""
     res = _follow(re.search(rb"/Resources\s+(\d+)\s+\d+\s+R", page), objs) or page
@@ -315,11 +443,13 @@ def _fonts(page: bytes, objs: dict[int, bytes]) -> dict[bytes, tuple[dict[int, s
     for name, num in re.findall(rb"/([^\s/<>]+)\s+(\d+)\s+\d+\s+R", block):
         body = objs.get(int(num), b"")
         uni = _follow(re.search(rb"/ToUnicode\s+(\d+)\s+\d+\s+R", body), objs)
-        out[name] = (_unicode_map(_stream(uni, objs)) if uni else {}, 2 if b"/Type0" in body else 1)
+        wide = b"/Type0" in body
+        table = _unicode_map(_stream(uni, objs)) if uni else _embedded_map(body, objs) if wide else _differences(body, objs)
+        out[name] = (table, 2 if wide else 1)
     return out
 
 
-def _literal(data: bytes, at: int) -> tuple[bytes, int]:
+def literal(data: bytes, at: int) -> tuple[bytes, int]:
     """A string in parentheses that begins behind ``at``, and the position behind it."""
     out, depth, n = bytearray(), 1, len(data)
     simple = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
@@ -377,7 +507,7 @@ def _page_text(content: bytes, fonts: dict) -> str:
     while m := _TOKEN.search(content, at):
         tok, at = m[0], m.end()
         if tok == b"(":
-            value, at = _literal(content, at)
+            value, at = literal(content, at)
         elif tok[:1] == b"<" and tok != b"<<":
             h = re.sub(rb"\s", b"", tok[1:-1])
             value = bytes.fromhex((h + b"0" * (len(h) % 2)).decode())

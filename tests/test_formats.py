@@ -1,11 +1,12 @@
 import io
 import json
 import os
+import struct
 
 import numpy as np
 import pytest
 
-from docframe.formats import convert, docx, images, package, pdf, xlsx
+from docframe.formats import convert, docx, images, package, pdf, pdf_crypt, xlsx
 from docframe.operators import icons, svg
 from docframe.plans import format_queries
 from docframe.sources import decode, files
@@ -318,3 +319,65 @@ def test_pdf_long_cells():
     long, word = " ".join(f"cell{i}" for i in range(400)), "x" * 200
     got = pdf.text(pdf.from_markdown(f"| a | b | c |\n|---|---|---|\n| {long} | {word} | end |\n| 1 | 2 | 3 |")).split()
     assert sorted(got) == sorted(["a", "b", "c", *long.split(), word, "end", "1", "2", "3"])
+
+
+def _encrypted(plain: bytes, aes: bool) -> bytes:
+    """A PDF of the writer, its streams encrypted under the empty user password."""
+    ident, owner, perm = b"0123456789abcdef", bytes(range(32)), -44
+    h = pdf_crypt.hashlib.md5(pdf_crypt._PAD + owner + struct.pack("<I", perm & 0xFFFFFFFF) + ident).digest()
+    for _ in range(50):
+        h = pdf_crypt.hashlib.md5(h).digest()
+    check = pdf_crypt.rc4(h, pdf_crypt.hashlib.md5(pdf_crypt._PAD + ident).digest())
+    for i in range(1, 20):
+        check = pdf_crypt.rc4(bytes(b ^ i for b in h), check)
+    out = []
+    for n, body in pdf._objects(plain).items():
+        if b"stream" in body:
+            data = pdf._payload(body, {})
+            own = pdf_crypt.hashlib.md5(h + struct.pack("<I", n)[:3] + b"\0\0" + (b"sAlT" if aes else b"")).digest()
+            if aes:
+                keys, prev, enc = pdf_crypt._round_keys(own), b"v" * 16, b"v" * 16
+                data += bytes([16 - len(data) % 16]) * (16 - len(data) % 16)
+                for i in range(0, len(data), 16):
+                    prev = pdf_crypt.aes_encrypt_block(keys, pdf_crypt._xor(data[i : i + 16], prev))
+                    enc += prev
+                data = enc
+            else:
+                data = pdf_crypt.rc4(own, data)
+            body = pdf.re.sub(rb"/Length \d+", b"/Length %d" % len(data), pdf._head(body)) + b"stream\n" + data + b"\nendstream"
+        out.append(b"%d 0 obj\n%s\nendobj\n" % (n, body))
+    how = b"/V 4 /R 4 /Length 128 /CF << /StdCF << /CFM /AESV2 >> >> /StmF /StdCF" if aes else b"/V 2 /R 3 /Length 128"
+    out.append(b"999 0 obj\n<< /Filter /Standard %s /O <%s> /U <%s> /P %d >>\nendobj\n" % (how, owner.hex().encode(), (check + b"\0" * 16).hex().encode(), perm))
+    return b"%PDF-1.6\n" + b"".join(out) + b"trailer << /Root 1 0 R /Encrypt 999 0 R /ID [<%s> <%s>] >>" % (ident.hex().encode(), ident.hex().encode())
+
+
+def test_encrypted_pdf():
+    block = pdf_crypt.aes_encrypt_block(pdf_crypt._round_keys(bytes(range(16))), bytes.fromhex("00112233445566778899aabbccddeeff"))
+    assert block.hex() == "69c4e0d86a7b0430d8cdb78070b4c55a" and pdf_crypt.aes_decrypt_block(pdf_crypt._round_keys(bytes(range(16))), block).hex() == "00112233445566778899aabbccddeeff"
+    assert pdf_crypt.rc4(b"Key", b"Plaintext").hex() == "bbf316e8d940af0ad3"
+    plain = pdf.from_pages(["Secret page Größe", "Второй лист"])
+    for aes in (False, True):
+        locked = _encrypted(plain, aes)
+        assert b"Secret" not in locked and pdf.pages(locked) == pdf.pages(plain)
+        with pytest.raises(ValueError):
+            pdf.pages(locked.replace(b"/P -44", b"/P -45"))
+
+
+def test_pdf_fonts_without_a_map():
+    """A simple font with its own encoding, and a composite one whose letters only its embedded program tells."""
+    assert [pdf.glyph_text(n) for n in ("a", "eacute", "Ccaron", "uni0416", "fi", "zero", "germandbls", "nothing", "g12")] == ["a", "é", "Č", "Ж", "fi", "0", "ß", "", ""]
+    sub = struct.pack(">HHHHHHH", 4, 32, 0, 4, 0, 0, 0) + struct.pack(">HH", 0x416, 0xFFFF) + b"\0\0" + struct.pack(">HH", 0x416, 0xFFFF) + struct.pack(">HH", (5 - 0x416) & 0xFFFF, 1) + struct.pack(">HH", 0, 0)
+    cmap = struct.pack(">HHHHI", 0, 1, 3, 1, 12) + sub
+    program = struct.pack(">IHHHH", 0x10000, 1, 0, 0, 0) + b"cmap" + struct.pack(">III", 0, 28, len(cmap)) + cmap
+    assert pdf.truetype_map(program)[5] == "Ж"
+
+    def stream(n, body, head=b""):
+        return b"%d 0 obj\n<< /Length %d %s >>\nstream\n%s\nendstream\nendobj\n" % (n, len(body), head, body)
+
+    doc = b"%PDF-1.4\n1 0 obj\n<< /Type /Catalog /Pages 2 0 R >>\nendobj\n2 0 obj\n<< /Type /Pages /Kids [3 0 R] /Count 1 >>\nendobj\n"
+    doc += b"3 0 obj\n<< /Type /Page /Parent 2 0 R /Contents 4 0 R /Resources << /Font << /F1 5 0 R /F2 6 0 R >> >> >>\nendobj\n"
+    doc += stream(4, b"BT /F1 12 Tf 10 700 Td (\x01b\x02) Tj /F2 12 Tf 0 -20 Td <00050005> Tj ET")
+    doc += b"5 0 obj\n<< /Type /Font /Subtype /Type1 /Encoding << /Differences [1 /eacute /Zcaron] >> >>\nendobj\n"
+    doc += b"6 0 obj\n<< /Type /Font /Subtype /Type0 /Encoding /Identity-H /DescendantFonts [7 0 R] >>\nendobj\n7 0 obj\n<< /Type /Font /Subtype /CIDFontType2 /FontDescriptor 8 0 R /CIDToGIDMap /Identity >>\nendobj\n"
+    doc += b"8 0 obj\n<< /Type /FontDescriptor /FontFile2 9 0 R >>\nendobj\n" + stream(9, program)
+    assert pdf.pages(doc) == ["ébŽ\nЖЖ"]
