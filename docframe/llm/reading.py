@@ -142,7 +142,7 @@ def true_levels(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def graded_texts(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> DataFrame:
     """Labelled documents as word counts: id, level, words, counts, length (words per sentence)."""
     levels = true_levels(labels, id_col).orderBy(F.xxhash64(id_col), id_col).limit(max_labelled)
-    src = documents.select(id_col, F.col(text_col).alias("_t")).join(levels, id_col)
+    src = documents.select(id_col, F.col(text_col).alias("_t")).join(F.broadcast(levels), id_col)  # at most max_labelled rows
     schema = T.StructType([src.schema[id_col], T.StructField("level", T.DoubleType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("counts", T.ArrayType(T.IntegerType())), T.StructField("length", T.DoubleType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
