@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import xml.etree.ElementTree as ET
-from xml.sax.saxutils import escape
+from xml.sax.saxutils import escape, unescape
 
 from docframe.formats import package
 
@@ -170,19 +170,51 @@ def from_markdown(text: str) -> bytes:
     })
 
 
-def replace_text(data: bytes, old: str, new: str) -> tuple[bytes, int]:
-    """Occurrences inside text nodes replaced, and how many; one split across runs is not found."""
-    parts = package.read(data)
-    xml, n = parts[_DOC].decode(), 0
+_PARAGRAPH = re.compile(r"<w:p[\s>](?:(?!<w:p[\s>]).)*?</w:p>", re.S)
+_TEXT = re.compile(r"<w:t((?: [^>]*)?)>([^<]*)</w:t>")
 
-    def node(m: re.Match) -> str:
-        nonlocal n
-        n += m[2].count(escape(old))
-        return m[1] + m[2].replace(escape(old), escape(new)) + m[3]
 
-    if old:
-        xml = re.sub(r"(<w:t(?: [^>]*)?>)([^<]*)(</w:t>)", node, xml)
-    return package.write(parts | {_DOC: xml}), n
+def replace_text(data: bytes, old: str, new: str) -> tuple[bytes, int]:
+    """Occurrences within a paragraph replaced, and how many. One split across runs is found too; what replaces it stands in its first run."""
+    parts = package.read(data)
+    count = 0
+
+    def paragraph(m: re.Match) -> str:
+        nonlocal count
+        nodes = [unescape(t[2], {"&quot;": '"', "&apos;": "'"}) for t in _TEXT.finditer(m[0])]
+        whole = "".join(nodes)
+        hits, at = [], whole.find(old)
+        while at >= 0:
+            hits.append(at)
+            at = whole.find(old, at + len(old))
+        if not hits:
+            return m[0]
+        count += len(hits)
+        made, start = [], 0
+        for text in nodes:
+            end, out, at = start + len(text), "", start
+            for h in hits:
+                if h + len(old) <= start or h >= end:
+                    continue
+                out += whole[at : max(h, at)]
+                if h >= start:
+                    out += new
+                at = min(max(h + len(old), at), end)
+            made.append(out + whole[at:end])
+            start = end
+        texts = iter(made)
+
+        def node(t: re.Match) -> str:
+            text = next(texts)
+            attrs = t[1] if "xml:space" in t[1] or text == text.strip() else t[1] + ' xml:space="preserve"'
+            return f"<w:t{attrs}>{escape(text)}</w:t>"
+
+        return _TEXT.sub(node, m[0])
+
+    if not old:
+        return package.write(parts), 0
+    xml = _PARAGRAPH.sub(paragraph, parts[_DOC].decode())
+    return package.write(parts | {_DOC: xml}), count
 
 
 def append(data: bytes, text: str, heading: int = 0) -> bytes:

@@ -21,8 +21,6 @@ _DATE_FORMS = r"(\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{2,4}|(?:Jan|Feb|Mar|Apr|Ma
 DATE = rf"\b{_DATE_FORMS}\b"
 ANSI = r"\x1b\[[0-9;]*[a-zA-Z]"
 TRIMMED = ".,;:)"
-#: Inserted between sentences; a private-use character, escaped beforehand where a text holds it.
-_MARK = "\ue000"
 
 
 def scan_lines(text: Column) -> Column:
@@ -52,8 +50,7 @@ def token_estimate(text: Column) -> Column:
 
 def sentences(line: Column) -> Column:
     """Sentences of a line: they end at ``. ! ?`` before white space; trimmed, blank ones dropped."""
-    marked = F.regexp_replace(F.replace(line, F.lit(_MARK), F.lit(" ")), r"(?U)([.!?])(\s)", f"$1{_MARK}$2")
-    return F.filter(F.transform(F.split(marked, _MARK), unicode_trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(line, r"(?U)(?<=[.!?])(?=\s)"), unicode_trim), lambda x: x != "")
 
 
 def unicode_trim(text: Column) -> Column:

@@ -25,6 +25,14 @@ def test_docx():
     assert docx.to_text(docx.from_markdown("")) == "" and docx.info(docx.from_markdown(""))["paragraph_count"] == 1
 
 
+def test_docx_replace_across_runs():
+    d = docx.from_markdown("Some **bold** text & more.\n\nSome bold text")
+    d, n = docx.replace_text(d, "me bold te", "<X>")
+    assert n == 2 and docx.to_text(d) == "So<X>xt & more.\nSo<X>xt"
+    assert docx.replace_text(d, "amp", "zzz")[1] == 0 and docx.replace_text(d, "", "y")[1] == 0
+    assert docx.to_text(docx.replace_text(d, "&", "and ")[0]).startswith("So<X>xt and  more.")
+
+
 def test_pdf():
     p = pdf.from_markdown(MD)
     assert "Some bold text." in pdf.text(p) and pdf.info(p)["page_count"] == 1
