@@ -109,7 +109,7 @@ def _cell(r: int, c: int, value: object, style: str = "", prefix: str = "") -> s
         return f'{head} t="b"><{p}v>{int(value)}</{p}v></{p}c>'
     if isinstance(value, int | float):
         return f"{head}><{p}v>{value!r}</{p}v></{p}c>"
-    safe = escape(re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "", str(value)))
+    safe = escape(re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "", str(value))).replace("\r", "&#13;")  # a parser would drop the bare character
     return f'{head} t="inlineStr"><{p}is><{p}t xml:space="preserve">{safe}</{p}t></{p}is></{p}c>'
 
 

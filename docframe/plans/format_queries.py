@@ -114,22 +114,38 @@ def pdf_pages(spark, d):
     return decode.pages(made)
 
 
-def _pdf_words(docs: DataFrame) -> DataFrame:
-    @F.pandas_udf("int")
-    def count(texts):
-        return texts.map(lambda t: len(pdf.text(pdf.from_pages([t])).split()))
+def pdf_words(spark, d):
+    """Words of every document that is not null, of any letters, after a round trip through PDF pages: none may be lost."""
+    count = _arrow(lambda t: len(pdf.text(pdf.from_pages([t])).split()), "int")
+    return table(spark, d, "documents", "doc_id", "text").filter("text is not null").select("doc_id", count("text").alias("words"))
 
-    return docs.select("doc_id", count("text").alias("words"))
 
+def docx_stable(spark, d):
+    """Is the Markdown of every document's Word file the Markdown of a Word file made from it again?"""
 
-def pdf_words(spark, d):
-    """Words of the documents' ASCII texts after a round trip through PDF pages: none may be lost. The SQL fixes this part."""
-    return _pdf_words(table(spark, d, "documents", "doc_id", "text").filter(F.col("text").rlike(r"^[\x20-\x7E\n]+$")))
+    def stable(text):
+        once = docx.to_markdown(docx.from_markdown(text))
+        return docx.to_markdown(docx.from_markdown(once)) == once
+
+    return table(spark, d, "documents", "doc_id", "text").filter("text is not null").select("doc_id", _arrow(stable, "boolean")("text").alias("stable"))
+
+
+def sheet_tables(spark, d):
+    """Every result's tables as a workbook, a sheet for each and a cell for each raw record, read back: sheets, records, characters."""
 
+    def counts(tables):
+        book = xlsx.write([(f"table {i}", [[r or ""] for r in (t["rows"] if t is not None and t["rows"] is not None else [])]) for i, t in enumerate(tables)])
+        cells = [v for _, rows in xlsx.read(book) for row in rows for v in row if v]
+        return {"sheets": len(xlsx.read(book)), "records": len(cells), "characters": sum(map(len, cells))}
 
-def pdf_words_all(spark, d):
-    """The same of every document that is not null, of any letters."""
-    return _pdf_words(table(spark, d, "documents", "doc_id", "text").filter("text is not null"))
+    kind = "sheets int, records int, characters bigint"
+
+    @F.pandas_udf(kind)
+    def run(col: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([counts(x) for x in col], columns=["sheets", "records", "characters"])
+
+    src = table(spark, d, "tables_results", "result_id", "tables").filter("size(tables) > 0")
+    return src.select("result_id", run("tables").alias("k")).select("result_id", "k.*")
 
 
 def pdf_split_merge(spark, d):
@@ -247,10 +263,14 @@ def batch_run(spark, d):
 
 
 def queries() -> dict:
-    named = (sheet_roundtrip, sheet_info, sheet_edit, sheet_edit_keeps, jpeg_roundtrip, docx_text, docx_tables, docx_metadata, docx_markdown, pdf_pages, pdf_words, pdf_words_all, pdf_split_merge, image_roundtrip, image_info, media_extract, convert_matrix, file_scan, tool_schema, batch_run)
+    named = (sheet_roundtrip, sheet_info, sheet_edit, sheet_edit_keeps, jpeg_roundtrip, docx_text, docx_tables, docx_metadata, docx_markdown, pdf_pages, pdf_words, docx_stable, sheet_tables, pdf_split_merge, image_roundtrip, image_info, media_extract, convert_matrix, file_scan, tool_schema, batch_run)
     return {f.__name__: f for f in named}
 
 
+# White space, and a record without the characters that XML cannot hold.
+_BLANK = r"\t\n\x0b\f\r \x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_KEPT = r"regexp_replace(coalesce(r, ''), '[\x00-\x08\x0b\x0c\x0e-\x1f]', '', 'g')"
+
 # The tools and their arguments, ! where required.
 _ARGUMENTS = """search_code query!:string,dir:string,regex:boolean,caseSensitive:boolean,ext:string,context:integer
 search_files pattern:string,dir:string,depth:integer
@@ -299,7 +319,10 @@ def oracle_sql() -> dict[str, str]:
         "docx_metadata": "SELECT r_regionkey::VARCHAR || '.docx' AS path, 3::BIGINT AS paragraphs, 1::BIGINT AS tables, (7 + len(string_split(r_name, ' ')))::BIGINT AS words FROM region",
         "docx_markdown": f"""SELECT r_regionkey::VARCHAR || '.docx' AS path, '# Region ' || r_name || {nl} || '- 1st <&> item' || {nl} || '| key | name |' || {nl} || '| ' || r_regionkey::VARCHAR || ' | ' || r_name || ' |' || {nl} || {nl} || 'Its number is ' || r_regionkey::VARCHAR || '.' || {nl} || '## The end' AS markdown FROM region""",
         "pdf_pages": f"SELECT r_regionkey::VARCHAR || '.pdf' AS path, 1 AS page, {page} AS text FROM region",
-        "pdf_words": "SELECT doc_id, len(regexp_extract_all(text, '[^ \\n]+'))::INTEGER AS words FROM documents WHERE regexp_full_match(text, '[\\x20-\\x7E\\n]+')",
+        "pdf_words": f"SELECT doc_id, len(regexp_extract_all(text, '[^{_BLANK}]+'))::INTEGER AS words FROM documents WHERE text IS NOT NULL",
+        "docx_stable": "SELECT doc_id, true AS stable FROM documents WHERE text IS NOT NULL",
+        "sheet_tables": f"""WITH t AS (SELECT result_id, len(tables)::INTEGER AS sheets, flatten(list_transform(tables, lambda x: coalesce(x.rows, []))) AS rows FROM tables_results WHERE len(tables) > 0)
+          SELECT result_id, sheets, len(list_filter(rows, lambda r: {_KEPT} <> ''))::INTEGER AS records, coalesce(list_sum(list_transform(rows, lambda r: length({_KEPT}))), 0)::BIGINT AS characters FROM t""",
         "pdf_split_merge": f"SELECT (row_number() OVER (ORDER BY r_regionkey) - 1)::INTEGER AS page, {page} AS text FROM region WHERE r_regionkey IN (SELECT r_regionkey FROM region ORDER BY r_regionkey LIMIT 2 OFFSET 1)",
         "image_roundtrip": "SELECT r_regionkey, kind, (200 + r_regionkey)::INTEGER AS width, 100 AS height FROM region, (VALUES ('png'), ('gif'), ('pdf0'), ('pdf1')) v(kind)",
         "image_info": """SELECT r_regionkey::VARCHAR || '.img' AS path, CASE WHEN r_regionkey % 2 = 1 THEN 'gif' ELSE 'png' END AS format, (30 + r_regionkey)::INTEGER AS width, 20 AS height, (30 + r_regionkey) / 20.0::DOUBLE AS aspect_ratio, false AS failed FROM region

@@ -318,7 +318,7 @@ def test_pdf_any_letters(spark, tmp_path):
         assert pdf.text(pdf.from_pages([t])).split() == t.split()
     rows = [*enumerate(texts), (99, None)]
     spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r["doc_id"]: r["words"] for r in format_queries.pdf_words_all(spark, str(tmp_path)).collect()}
+    got = {r["doc_id"]: r["words"] for r in format_queries.pdf_words(spark, str(tmp_path)).collect()}
     assert got == {i: len(t.split()) for i, t in enumerate(texts)}
 
 
