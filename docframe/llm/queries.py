@@ -58,6 +58,12 @@ def p5_redacted(spark: SparkSession, d: str) -> DataFrame:
     return secrets.find(table(spark, d, "line_items"), table(spark, d, "match_locations"))
 
 
+def p5_residual(spark: SparkSession, d: str) -> DataFrame:
+    """Rows whose redacted text still holds a secret of its own: none should."""
+    found = secrets.find(table(spark, d, "line_items"), table(spark, d, "match_locations"))
+    return secrets.line_secrets(found.select("source_table", "row_id", F.col("redacted").alias("text"))).select("source_table", "row_id")
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode.encode(table(spark, d, "documents", "doc_id", "text"))
 
@@ -82,6 +88,12 @@ def p7_stripped(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", F.length("text").alias("n_chars"))
 
 
+def p7_residual(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that still leak an item after the passages are taken out: none should."""
+    docs, items = table(spark, d, "documents", "doc_id", "text"), table(spark, d, "eval_items")
+    return leakage.find(leakage.strip(docs, items), items).select("doc_id", "item_id")
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     out = reading.levels(table(spark, d, "documents", "doc_id", "text"), table(spark, d, "reading_labels"))
     return out.filter("level >= 4").select("doc_id")
@@ -92,7 +104,7 @@ def p8_levels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    named = (p1_found, p1_restored, p1_transformations, p1_routes, p3_found, p3_pieces, p3_whole, p5_found, p5_redacted, p6_ids, p6_round_trip, p7_found, p7_spans, p7_stripped, p8_found, p8_levels)
+    named = (p1_found, p1_restored, p1_transformations, p1_routes, p3_found, p3_pieces, p3_whole, p5_found, p5_redacted, p5_residual, p6_ids, p6_round_trip, p7_found, p7_spans, p7_stripped, p7_residual, p8_found, p8_levels)
     return {f.__name__: f for f in named}
 
 
@@ -112,5 +124,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p3_found": f"{_OVERSIZED} SELECT chunk_id FROM sized WHERE size > most",
         "p3_whole": f"{_OVERSIZED} SELECT chunk_id, true AS whole, true AS within, true AS sized FROM sized WHERE size > most",
+        "p5_residual": "SELECT 'line_items' AS source_table, line_id AS row_id FROM line_items WHERE false",
+        "p7_residual": "SELECT doc_id, 0::BIGINT AS item_id FROM documents WHERE false",
         "p6_round_trip": "SELECT doc_id, length(coalesce(text, ''))::BIGINT AS n_chars FROM documents",
     }

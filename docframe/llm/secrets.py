@@ -14,7 +14,7 @@ Private key blocks span lines. Marker lines are put in order within blocks of ``
 open marker is handed from block to block, so one hot file is never sorted by one task. Between BEGIN and END every non-null
 line counts, where most lines look like key material; otherwise, and without the other marker, the unbroken run of key lines next to the marker, however long.
 
-Defined cases: null and empty texts hold nothing of their own. Repeated rows are each reported. Rows without
+Defined cases: null and empty texts hold nothing of their own; what is redacted already (``MASK``) is no secret. Repeated rows are each reported. Rows without
 file or line number can hold secrets of their own line only. In tables of matches the context arrays take the
 place of neighbouring lines. An empty table gives an empty result.
 """
@@ -296,7 +296,7 @@ class Crf:
                     out[-1] = (out[-1][0], spans[i][1])
                 else:
                     out.append(spans[i])
-        return [(a, b) for a, b in out if _ALNUM.search(line, a, b)]
+        return [(a, b) for a, b in out if _ALNUM.search(line, a, b) and line[a:b] != MASK]
 
 
 def _overlaps(span: tuple[int, int], marks: list[tuple[int, int]]) -> bool:
