@@ -39,13 +39,13 @@ LINKED = "concat(text, ' see https://example.com/', doc_id::VARCHAR, ', (http://
 
 
 def _svg(spark: SparkSession, d: str) -> DataFrame:
-    """A page of the whole text and four inline SVG. The SQL page holds the first 40 characters only, equal as long as no text holds an SVG."""
+    """A page of the whole text and four inline SVG."""
     n = F.col("doc_id").cast("string")
     html = F.concat(F.lit('<p class="x">'), F.col("text"), F.lit('</p><svg id="i'), n, F.lit(' a" class="k z" viewBox="0 0 24 24" stroke="currentColor">\n<g/></svg><svg class="dot m" width="8"><path/></svg><SVG data-id="q" fill="currentColor"><b/></SVG><svg class="dot"></svg>'))
     return _docs(spark, d).select("doc_id", html.alias("html"))
 
 
-HTML = """concat('<p class="x">', substr(text, 1, 40), '</p><svg id="i', doc_id::VARCHAR, ' a" class="k z" viewBox="0 0 24 24" stroke="currentColor">', chr(10), '<g/></svg><svg class="dot m" width="8"><path/></svg><SVG data-id="q" fill="currentColor"><b/></SVG><svg class="dot"></svg>')"""
+HTML = """concat('<p class="x">', text, '</p><svg id="i', doc_id::VARCHAR, ' a" class="k z" viewBox="0 0 24 24" stroke="currentColor">', chr(10), '<g/></svg><svg class="dot m" width="8"><path/></svg><SVG data-id="q" fill="currentColor"><b/></SVG><svg class="dot"></svg>')"""
 
 
 # --- queries -------------------------------------------------------------------------------------------------
