@@ -22,6 +22,7 @@ import datetime as dt
 import zoneinfo
 from functools import lru_cache
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from docframe.session import checkpoint
@@ -53,7 +54,9 @@ OFFSET = r"^([+-])([0-9]{2}):?([0-9]{2})$"
 
 
 def _month_map() -> Column:
-    return F.create_map(*[F.lit(x) for i, names in enumerate(MONTHS, 1) for n in names for x in (n, i)])
+    # one literal that Catalyst folds: hundreds of them cost more to plan than the query to run
+    pairs = ",".join(f"{n}:{i}" for i, names in enumerate(MONTHS, 1) for n in names)
+    return F.str_to_map(F.lit(pairs), F.lit(","), F.lit(":")).cast("map<string,int>")
 
 
 def _int(text: Column, pattern: str, group: int) -> Column:
@@ -177,7 +180,8 @@ def abbreviations(since: int = 1990, until: int = 2038) -> tuple[tuple[str, str,
 
 def with_abbreviation(df: DataFrame, zone: str, written: Column) -> DataFrame:
     """Add ``_abbr_s``, the offset that the abbreviation ``written`` has in the zone, null where it has none."""
-    rows = df.sparkSession.createDataFrame(list(abbreviations()), "_az string, _aa string, _abbr_s int")
+    # through Arrow it is a local relation of known size, which Spark broadcasts by its own threshold
+    rows = df.sparkSession.createDataFrame(pd.DataFrame(abbreviations(), columns=["_az", "_aa", "_abbr_s"]), "_az string, _aa string, _abbr_s int")
     return df.join(rows, (F.col(zone) == F.col("_az")) & (written == F.col("_aa")), "left").drop("_az", "_aa")
 
 
@@ -188,7 +192,7 @@ def to_instant(p: Column, zone: Column, abbr_s: Column) -> Column:
     bare = F.regexp_replace(z, r"\[[^\]]*\]$", "")
     hh, mm = _int(bare, OFFSET, 2), _int(bare, OFFSET, 3)
     seconds = F.when((hh <= 18) & (mm < 60), (hh * 3600 + mm * 60) * F.when(F.regexp_extract(bare, OFFSET, 1) == "-", -1).otherwise(1))
-    known = F.array(*[F.lit(x) for x in known_zones()])
+    known = F.split(F.lit(",".join(known_zones())), ",")
 
     def minus(sec: Column) -> Column:
         return F.timestamp_micros(F.unix_micros(local) - sec.cast("bigint") * 1_000_000)
@@ -250,7 +254,7 @@ def estimate_zones(ev: DataFrame, future: DataFrame | None = None, preferred: Da
     the time it was seen; ``names`` (group, abbr, n) that the zone must know the abbreviations written. Returns group, zone_name, violations, support. Many zones share a history; ties go to a zone
     of ``preferred`` (zone_name), then to the first name.
     """
-    zones = F.explode(F.array(*[F.lit(z) for z in (*known_zones(), "UTC")])).alias("zone_name")
+    zones = F.explode(F.split(F.lit(",".join((*known_zones(), "UTC"))), ",")).alias("zone_name")
     tested = ev.select("group", "hour", "offset_s", "n", zones)
     expected = F.unix_seconds(F.from_utc_timestamp("hour", F.col("zone_name"))) - F.unix_seconds("hour")
     tested = tested.select("group", "zone_name", "n", (expected != F.col("offset_s")).alias("bad"))
