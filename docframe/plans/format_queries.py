@@ -111,7 +111,7 @@ def docx_markdown(spark, d):
 
 def pdf_pages(spark, d):
     made = decode.encode(_markdown(spark, d), "r_regionkey", "t", "pdf").select(F.concat(F.col("r_regionkey").cast("string"), F.lit(".pdf")).alias("path"), "content")
-    return decode.pages(made)
+    return decode.pages(made).select("path", "page", "text")
 
 
 def pdf_words(spark, d):

@@ -55,7 +55,8 @@ def metadata_of(path: str, data: bytes) -> dict:
     return out | {"words": len(text.split()), "characters": len(text.encode())}
 
 
-def _each(df: DataFrame, path_col: str, content_col: str, schema: str, rows: Callable[[str, bytes], list[tuple]], keep_errors: bool) -> DataFrame:
+def _each(df: DataFrame, path_col: str, content_col: str, schema: str, rows: Callable[[str, bytes], list[tuple]]) -> DataFrame:
+    """Rows of every file; a file that cannot be read has one row, with the error and nulls."""
     src = df.filter(F.col(content_col).isNotNull()).select(F.col(path_col).alias("path"), F.col(content_col).alias("content"))
     full = f"path string, {schema}, error string"
     width = len(T._parse_datatype_string(f"struct<{schema}>").fields)
@@ -68,8 +69,7 @@ def _each(df: DataFrame, path_col: str, content_col: str, schema: str, rows: Cal
                 try:
                     out += [(path, *r, None) for r in rows(path, bytes(data))]
                 except Exception as x:  # a broken file must not stop the others
-                    if keep_errors:
-                        out.append((path, *[None] * width, f"{type(x).__name__}: {x}"))
+                    out.append((path, *[None] * width, f"{type(x).__name__}: {x}"))
             yield pd.DataFrame(out, columns=names, dtype=object)
 
     return src.mapInPandas(run, full)
@@ -77,43 +77,43 @@ def _each(df: DataFrame, path_col: str, content_col: str, schema: str, rows: Cal
 
 def documents(df: DataFrame, path_col: str = "path", content_col: str = "content") -> DataFrame:
     """path, format (``unknown`` where it cannot be read), text, error."""
-    out = _each(df, path_col, content_col, "format string, text string", lambda p, b: [(format_of(p), text_of(p, b))], True)
+    out = _each(df, path_col, content_col, "format string, text string", lambda p, b: [(format_of(p), text_of(p, b))])
     return out.withColumn("format", F.coalesce("format", F.lit("unknown"))).withColumn("text", F.coalesce("text", F.lit("")))
 
 
 def cells(df: DataFrame, path_col: str = "path", content_col: str = "content") -> DataFrame:
-    """Non-empty cells of workbooks: path, sheet, sheet_index, row, col, value (rows and columns from 1)."""
+    """Non-empty cells of workbooks: path, sheet, sheet_index, row, col, value (rows and columns from 1), error."""
     rows = lambda p, b: [(n, i, r, c, v) for i, (n, table) in enumerate(xlsx.read(b)) for r, row in enumerate(table, 1) for c, v in enumerate(row, 1) if v != ""]
-    return _each(df, path_col, content_col, "sheet string, sheet_index int, row int, col int, value string", rows, False).drop("error")
+    return _each(df, path_col, content_col, "sheet string, sheet_index int, row int, col int, value string", rows)
 
 
 def sheet_info(df: DataFrame, path_col: str = "path", content_col: str = "content") -> DataFrame:
     rows = lambda p, b: [(s["name"], s["index"], s["row_count"], s["col_count"], s["headers"]) for s in xlsx.info(b)]
-    return _each(df, path_col, content_col, "name string, index int, row_count int, col_count int, headers array<string>", rows, True)
+    return _each(df, path_col, content_col, "name string, index int, row_count int, col_count int, headers array<string>", rows)
 
 
 def pages(df: DataFrame, path_col: str = "path", content_col: str = "content") -> DataFrame:
-    return _each(df, path_col, content_col, "page int, text string", lambda p, b: list(enumerate(pdf.pages(b), 1)), False).drop("error")
+    return _each(df, path_col, content_col, "page int, text string", lambda p, b: list(enumerate(pdf.pages(b), 1)))
 
 
 def tables(df: DataFrame, path_col: str = "path", content_col: str = "content") -> DataFrame:
     rows = lambda p, b: [(i, t) for i, t in enumerate(tables_of(p, b))]
-    return _each(df, path_col, content_col, "index int, rows array<array<string>>", rows, True)
+    return _each(df, path_col, content_col, "index int, rows array<array<string>>", rows)
 
 
 def metadata(df: DataFrame, path_col: str = "path", content_col: str = "content") -> DataFrame:
     names = ("size_bytes", "pages", "sheets", "paragraphs", "tables", "words", "characters")
     rows = lambda p, b: [tuple((m := metadata_of(p, b)).get(n) for n in names)]
-    return _each(df, path_col, content_col, ", ".join(f"{n} bigint" for n in names), rows, True)
+    return _each(df, path_col, content_col, ", ".join(f"{n} bigint" for n in names), rows)
 
 
 def media(df: DataFrame, path_col: str = "path", content_col: str = "content") -> DataFrame:
-    """Embedded pictures: path, name, data."""
+    """Embedded pictures: path, name, data, error."""
 
     def rows(p: str, b: bytes) -> list[tuple]:
         return pdf.embedded_images(b) if format_of(p) == "pdf" else package.media(b)
 
-    return _each(df, path_col, content_col, "name string, data binary", rows, False).drop("error")
+    return _each(df, path_col, content_col, "name string, data binary", rows)
 
 
 def image_info(df: DataFrame, path_col: str = "path", content_col: str = "content") -> DataFrame:
@@ -123,7 +123,7 @@ def image_info(df: DataFrame, path_col: str = "path", content_col: str = "conten
             raise ValueError("unknown image format")
         return [(m["format"], m["width"], m["height"], m["aspect_ratio"], m["file_size"])]
 
-    return _each(df, path_col, content_col, "format string, width int, height int, aspect_ratio double, file_size bigint", rows, True)
+    return _each(df, path_col, content_col, "format string, width int, height int, aspect_ratio double, file_size bigint", rows)
 
 
 def encode(df: DataFrame, id_col: str, text_col: str, kind: str) -> DataFrame:
