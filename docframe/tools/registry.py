@@ -8,7 +8,8 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docframe import session
 from docframe.formats import convert as conversion, docx, images, package, pdf, xlsx
@@ -77,12 +78,15 @@ def _text_tree(folder: str, globs: list[str], exclude: str = "") -> DataFrame:
 
 
 def _found(docs: DataFrame, query: str, regex: bool, case: bool, before: int, after: int, scan: bool, limit: int = 0) -> dict:
-    """The answer of a search. The documents are counted while they are searched, so none is decoded twice."""
-    seen = Observation()
-    docs = docs.observe(seen, F.count(F.lit(1)).alias("files"))
-    hits = search.search_lines(docs, "path", "text", query, regex=regex, case_sensitive=case, before=before, after=after, scan=scan)
-    shown = _rows(search.capped(hits, "path", limit) if limit else hits.orderBy("path", "line_number"))
-    return {"query": query, "is_regex": regex, "total_matches": len(shown), "files_scanned": seen.get.get("files", 0), "files_matched": len({h["path"] for h in shown}), "matches": shown}
+    """The answer of a search. The documents are decoded once and kept, on disk where memory is short, for the count and the search."""
+    docs = docs.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        scanned = docs.count()
+        hits = search.search_lines(docs, "path", "text", query, regex=regex, case_sensitive=case, before=before, after=after, scan=scan)
+        shown = _rows(search.capped(hits, "path", limit) if limit else hits.orderBy("path", "line_number"))
+    finally:
+        docs.unpersist()
+    return {"query": query, "is_regex": regex, "total_matches": len(shown), "files_scanned": scanned, "files_matched": len({h["path"] for h in shown}), "matches": shown}
 
 
 _Q = dict(query="string: text or pattern to find", dir="string: folder to search", regex="boolean: read the query as a pattern", caseSensitive="boolean: respect case", ext="string: extensions, parted by commas", context="integer: lines shown around a match")

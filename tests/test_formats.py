@@ -243,7 +243,12 @@ def test_tools(spark, folder):
     f = str(folder / "src/app.js")
     found = call("search_code", query="ALPHA", dir=str(folder), ext="js", context=1)
     assert found["total_matches"] == 2 and found["matches"][0]["after_context"] == ["use(alpha);"]
-    assert call("search_docs", query="alpha", dir=str(folder))["files_matched"] == 1
+    assert found["files_scanned"] == 1 and call("search_code", query="alpha", dir=str(folder), exclude="*.js,*.md")["total_matches"] == 0
+    assert call("search_docs", query="alpha", dir=str(folder))["files_matched"] == 1 and call("search_docs", query="alpha", dir=str(folder), exclude="*.md")["files_matched"] == 0
+    assert call("search_code", query="alpha", dir=str(folder), max=1)["total_matches"] == 1
+    (folder / "nothing").mkdir()
+    for tool in ("search_code", "search_docs"):
+        assert call(tool, query="alpha", dir=str(folder / "nothing"))["files_scanned"] == 0
     assert [x["name"] for x in call("search_files", pattern="*.js", dir=str(folder))] == ["app.js"]
     assert call("read_lines", filePath=f, start=2)["lines"][0]["content"] == "use(alpha);"
     call("insert_lines", filePath=f, line=1, content="// top", before=True)
