@@ -6,9 +6,10 @@ import os
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from docframe.formats import convert, docx, images, package, pdf, xlsx
+from docframe.formats import convert, docx, images, jpeg, package, pdf, xlsx
 from docframe.sources import decode, files
 from docframe.session import shared_folder, table
 from docframe.tools import registry, server
@@ -216,17 +217,28 @@ def convert_matrix(spark, d):
 
 
 def jpeg_roundtrip(spark, d):
-    """Pictures with a gradient per part, through JPEG on the executors: size, and whether no sample is off by more than 8 in 255."""
+    """Pictures with a gradient per part, through JPEG on the executors, many at a time: size, and whether no sample is off by more than 8 in 255.
 
-    def rows(key):
+    A picture costs far more than its key: the keys are spread, as the table may be a single piece that one task reads.
+    """
+
+    def picture(key):
         w, h = 16 + key % 50, 9 + key % 23
         px = np.full((h, w, 4), 255, np.uint8)
         px[..., 0], px[..., 1], px[..., 2] = np.linspace(0, 255, w)[None], np.linspace(255, 0, h)[:, None], key % 256
-        back = images.decode(images.to_jpeg(px, 95))
-        return [{"width": back.shape[1], "height": back.shape[0], "near": bool(np.abs(back.astype(int) - px).max() <= 8)}]
-
-    call = _arrow(rows, "array<struct<width:int,height:int,near:boolean>>")
-    return table(spark, d, "part", "p_partkey").select("p_partkey", F.explode(call("p_partkey")).alias("x")).select("p_partkey", "x.*")
+        return px
+
+    def run(batches):
+        for batch in batches:
+            pictures = [picture(key) for key in batch.column(0).to_pylist()]
+            back = [(x.shape[1], x.shape[0], bool(np.abs(x.astype(int) - px).max() <= 8)) for x, px in zip(jpeg.decode_many(jpeg.encode_many(pictures, 95)), pictures, strict=True)]
+            width, height, near = zip(*back) if back else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(width, pa.int32()), pa.array(height, pa.int32()), pa.array(near, pa.bool_())], names=["p_partkey", "width", "height", "near"])
+
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = table(spark, d, "part", "p_partkey").filter(F.col("p_partkey").isNotNull()).repartition(spread, "p_partkey")
+    schema = T.StructType([keys.schema[0], *T._parse_datatype_string("width int, height int, near boolean").fields])
+    return keys.mapInArrow(run, schema)
 
 
 _FILES = ("a.js", "src/b.js", "src/c.css", "src/.hidden.js", "node_modules/d.js", "src/deep/e.js", "src/deep/deeper/f.js", ".git/g.js", "h.min.js")

@@ -5,8 +5,9 @@ import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from docframe.formats import convert, docx, images, package, pdf, pdf_crypt, xlsx
+from docframe.formats import convert, docx, images, jpeg, package, pdf, pdf_crypt, xlsx
 from docframe.operators import icons, svg
 from docframe.plans import format_queries
 from docframe.sources import decode, files
@@ -112,6 +113,39 @@ def test_jpeg(spark):
     assert images.decode(ours[: len(ours) // 2]).shape == px.shape
 
 
+def test_jpegs_together(spark):
+    """Pictures coded and decoded together are those coded and decoded alone, sampled, cut off or with restarts; sizes may differ widely."""
+    rng = np.random.default_rng(7)
+    pictures = [np.cumsum(rng.integers(0, 4, (int(h), int(w), c)), 1).astype(np.uint8) for h, w, c in zip(rng.integers(1, 40, 40), rng.integers(1, 40, 40), [3, 4] * 20)]
+    pictures.append(rng.integers(0, 256, (300, 200, 4), np.uint8))
+    for quality in (5, 100):
+        files = list(jpeg.encode_many(pictures, quality))
+        assert files == [images.to_jpeg(px, quality) for px in pictures]
+        files += [f[: max(len(f) - n, f.index(b"\xff\xda") + 15)] for n, f in enumerate(files)]
+        for f, px in zip(files, jpeg.decode_many(files), strict=True):
+            assert np.array_equal(px, images.decode(f)) and px.shape[2] == 4
+    near = jpeg.decode_many(jpeg.encode_many(pictures, 100))
+    assert all(np.abs(a[..., :3].astype(int) - b).max() <= 3 for a, b in zip(near, pictures, strict=True) if b.shape[2] == 3)
+    theirs = [_jvm_jpeg(spark, px)[0] for px in pictures[:20]]
+    assert all(np.array_equal(a, images.decode(b)) for a, b in zip(jpeg.decode_many(theirs), theirs, strict=True))
+    assert list(jpeg.encode_many([])) == [] and list(jpeg.decode_many([])) == []
+    # the only block again and again, a restart before each
+    one = images.to_jpeg(rng.integers(0, 256, (8, 8, 3), np.uint8), 90)
+    frame, scan = one.index(b"\xff\xc0"), one.index(b"\xff\xda")
+    row = one[: frame + 7] + struct.pack(">H", 160) + one[frame + 9 : scan] + b"\xff\xdd\x00\x04\x00\x01" + one[scan : scan + 14]
+    row += b"".join(one[scan + 14 : -2] + bytes((0xFF, 0xD0 + n % 8)) for n in range(19)) + one[scan + 14 :]
+    assert np.array_equal(images.decode(row), np.tile(images.decode(one), (1, 20, 1)))
+
+
+def test_jpeg_roundtrip_is_spread(spark, tmp_path):
+    """A table in a single piece is worked on by many tasks, every row once, each task's pictures together."""
+    spark.range(7, 607).withColumnRenamed("id", "p_partkey").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    out = format_queries.jpeg_roundtrip(spark, str(tmp_path))
+    assert out.select(F.spark_partition_id()).distinct().count() > 1
+    assert out.columns == ["p_partkey", "width", "height", "near"] and out.dtypes[1:] == [("width", "int"), ("height", "int"), ("near", "boolean")]
+    assert sorted(map(tuple, out.collect())) == [(k, 16 + k % 50, 9 + k % 23, True) for k in range(7, 607)]
+
+
 def test_png_depths():
     """1, 2, 4 and 16 bits, palettes, transparent values and interlace, from rows packed here."""
     rng = np.random.default_rng(5)
